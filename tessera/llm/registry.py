@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import language, mixing, toxicity
 
 QUERIES = {
+    "op5_language_id": language.op5_language_id,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 SQL = {
     "op7_mix_sources": mixing.OP7_SQL,
