@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import language, mixing, toxicity
+from . import language, media, mixing, tokens, toxicity
 
 QUERIES = {
+    "op1_interleaved_media": media.op1_interleaved_media,
     "op5_language_id": language.op5_language_id,
+    "op6_token_counts": tokens.op6_token_counts,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op9_toxicity": toxicity.op9_toxicity,
 }
