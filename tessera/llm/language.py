@@ -17,10 +17,10 @@ from typing import Iterator
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import crc_mod, read
+from .shared import bounded_sample, crc_mod, read
 
 CHUNK, LEVEL = 2048, 3
 LETTER = regex.compile(r"\p{L}")
@@ -52,7 +52,7 @@ def train_languages(docs: DataFrame, *, key="doc_id", text="text", lang="lang",
     """Dictionaries by language, from per_lang documents each; max_langs bounds what comes to the driver (an error beyond)."""
     seen = docs.select(F.col(key).alias("k"), F.col(lang).alias("l")).where("k is not null and l is not null")
     seen = seen.where(crc_mod("k", 4) != 2 if train is None else train)
-    chosen = seen.withColumn("rn", F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("k"), "k"))).where(F.col("rn") <= per_lang).drop("rn")
+    chosen = bounded_sample(seen, "l", "k", per_lang)
     full = docs.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t")).where("t is not null")
 
     def piece(it: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import language, media, mixing, tokens, toxicity
+from . import language, media, mixing, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_interleaved_media": media.op1_interleaved_media,
+    "op3_simhash": simhash.op3_simhash,
     "op5_language_id": language.op5_language_id,
     "op6_token_counts": tokens.op6_token_counts,
     "op7_mix_sources": mixing.op7_mix_sources,

@@ -22,10 +22,10 @@ from typing import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import crc_mod, read
+from .shared import bounded_sample, crc_mod, read
 
 PUNCTUATION = bytes.maketrans(b'.,;:!?"()[]|', b" " * 12)
 CARRIER = b"0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -156,8 +156,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, key="doc_id", text="te
     if not (total.get(0) and total.get(1)):
         p = (total.get(1, 0) + 1) / (sum(total.values()) + 2)
         return ToxicityModel(weights=[log(p / (1 - p)), 0.0, 0.0, 0.0, 0.0])
-    order = Window.partitionBy("y").orderBy(F.xxhash64("k"), "k")
-    chosen = seen.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= per_class).drop("rn")
+    chosen = bounded_sample(seen, "y", "k", per_class)
 
     def distinct(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for a in it:
