@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, media, mixing, simhash, tokens, toxicity
+from . import decontaminate, language, media, mixing, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_interleaved_media": media.op1_interleaved_media,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_language_id": language.op5_language_id,
     "op6_token_counts": tokens.op6_token_counts,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op8_decontamination": decontaminate.op8_decontamination,
     "op9_toxicity": toxicity.op9_toxicity,
 }
 SQL = {
