@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, media, mixing, simhash, tokens, toxicity
+from . import decontaminate, language, linededup, media, mixing, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_interleaved_media": media.op1_interleaved_media,
@@ -12,7 +12,9 @@ QUERIES = {
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_line_dedup": linededup.op10_line_dedup,
 }
 SQL = {
     "op7_mix_sources": mixing.OP7_SQL,
+    "op10_line_dedup": linededup.OP10_SQL,
 }
