@@ -162,3 +162,14 @@ def near_duplicates(docs: DataFrame, *, key="doc_id", text="text", size: int = 3
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def keep_first(docs: DataFrame, *, key="doc_id", text="text", size: int = 5, bits: int = 5) -> DataFrame:
+    """The documents without those that have an earlier near duplicate: of each component its least key stays, all columns kept.
+
+    Rows that repeat that key within the component stay once.
+    """
+    comps = near_duplicates(docs, key=key, text=text, size=size, bits=bits)
+    first = comps.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp").distinct().withColumnsRenamed({"doc_id": "_id", "fp": "_fp"})
+    rows = add_fingerprint(docs, text=text, size=size, out="_mine").join(first, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_mine") == F.col("_fp")), "left_semi")
+    return rows.drop("_mine")
