@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, linededup, media, mixing, simhash, tokens, toxicity
+from . import decontaminate, language, linededup, media, mixing, quotes, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_interleaved_media": media.op1_interleaved_media,
+    "op2_quote_links": quotes.op2_quote_links,
     "op3_simhash": simhash.op3_simhash,
     "op5_language_id": language.op5_language_id,
     "op6_token_counts": tokens.op6_token_counts,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_line_dedup": linededup.op10_line_dedup,
 }
 SQL = {
+    "op2_quote_links": quotes.OP2_SQL,
     "op7_mix_sources": mixing.OP7_SQL,
     "op10_line_dedup": linededup.OP10_SQL,
 }
