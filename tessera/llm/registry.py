@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, linededup, media, mixing, quotes, simhash, tokens, toxicity
+from . import decontaminate, language, linededup, lm, media, mixing, quotes, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_interleaved_media": media.op1_interleaved_media,
     "op2_quote_links": quotes.op2_quote_links,
     "op3_simhash": simhash.op3_simhash,
+    "op4_lm_scores": lm.op4_lm_scores,
     "op5_language_id": language.op5_language_id,
     "op6_token_counts": tokens.op6_token_counts,
     "op7_mix_sources": mixing.op7_mix_sources,
