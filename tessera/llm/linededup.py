@@ -2,14 +2,15 @@ r"""Line dedup by an exact set-similarity join (DataFrame functions only).
 
 A line is the set of its lower-cased words, compared as 32-bit hashes; lines of fewer than `least` words are left
 alone. A line goes if an earlier line, in the order of (key, text hash, position), has a Jaccard similarity of 0.8 or
-more. Equal sets form a class, named by a 64-bit hash; only classes are joined, so copies of a line make no pairs.
+more. Lines that are equal but for case form a class, named by a 64-bit hash; only classes are
+joined, so copies of a line make no pairs.
 
-1. Words are counted in 2^16 hash buckets over all lines; a word's rarity is the logarithm of its bucket's count.
-2. A class holds its first line and its words, rarest first, in a table bucketed by class.
-3. Heads: each class is compared with the first class that shares its least word hash, or its greatest. Most members
-   of large groups of near copies are settled here, by one comparison each.
-4. Prefix join: classes share a word among their first n - ceil(0.8 n) + 1 words; pairs pass the length filter and the
-   positional filter, at least one side is not settled yet, and the rest is verified on the whole sets.
+1. A class holds its first line, its words and their parity bits, in a table bucketed by class. Words are counted in
+   2^16 hash buckets over all classes; a word's rarity is the logarithm of its bucket's count.
+2. Heads: each class is compared with the first class that shares its least word hash. Most members of large groups
+   of near copies are settled here, by one comparison each.
+3. Prefix join: classes share a word among the n - ceil(0.8 n) + 1 rarest of their words; pairs pass the positional,
+   length and parity filters, at least one side is not settled yet, and the rest is verified on the whole sets.
 
 Defined cases: a null text has no lines and stays null; an empty text has one empty line; a null key sorts first; rows
 that agree in key and text are one document that occurs twice, and share all decisions; an empty table gives an empty
@@ -26,23 +27,31 @@ from pyspark.sql import functions as F
 from .shared import materialise, read
 
 BUCKETS = 1 << 16
+
+
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def hashed(line: Column) -> Column:
-    """The distinct word hashes of a line."""
-    return F.array_distinct(F.transform(F.filter(F.split(F.lower(line), BLANKS), lambda x: x != ""), lambda x: F.hash(x)))
+    """The distinct word hashes of a lower-cased line, sorted."""
+    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(line, BLANKS), ""), lambda x: F.hash(x))))
+
+
+def parity(w: Column) -> Column:
+    """64 bits: for each the parity of the number of words that fall to it. Two sets differ in at least as many words
+    as their parities differ in bits."""
+    return F.aggregate(w, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x)))
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc_id, th (hash of the text), pos, words for each line."""
+    """c (class), doc_id, th (hash of the text), pos, line (lower-cased) for each line."""
     rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
-    return rows.select("doc_id", "th", "pos", hashed(F.col("line")).alias("words"))
+    return rows.select("doc_id", "th", "pos", F.lower("line").alias("line")).withColumn("c", F.xxhash64("line"))
 
 
-def rarity(lines: DataFrame) -> Column:
-    """A function of a word hash, as a byte table: 1 + log2 of its bucket's count over all lines."""
-    counts = lines.select(F.explode("words").alias("w")).groupBy(F.pmod("w", F.lit(BUCKETS)).alias("b")).agg(F.count("*").alias("n"))
+def rarity(classes: DataFrame) -> Column:
+    """1 + log2 of the count of a word's bucket over all classes, as a table of BUCKETS bytes."""
+    counts = classes.select(F.explode("w").alias("w")).groupBy(F.pmod("w", F.lit(BUCKETS)).alias("b")).agg(F.count("*").alias("n"))
     table = bytearray(b"\x01" * BUCKETS)
     for r in counts.collect():  # BUCKETS rows at most
         table[r.b] = r.n.bit_length()
@@ -56,24 +65,25 @@ def by_rarity(words: Column, table: Column) -> Column:
     return F.transform(keys, lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int"))
 
 
-def class_of(words: Column) -> Column:
-    return F.xxhash64(F.sort_array(words))
-
-
 def enough(common: Column, n: Column, m: Column) -> Column:
     """Jaccard >= 4/5 for sets of n and m words."""
     return common * 9 >= (n + m) * 4
 
 
+def may_match(n: Column, m: Column, b: Column, d: Column) -> Column:
+    """Length filter and parity filter: sets within Jaccard 4/5 differ in at most (n + m) / 9 words."""
+    return (F.least(n, m) * 5 >= F.greatest(n, m) * 4) & (F.bit_count(b.bitwiseXOR(d)) * 9 <= n + m)
+
+
 class Classes:
-    """The classes of all lines, in a table bucketed by class; drop() removes it."""
+    """The classes of all lines, in a table bucketed by class: c, o (first line), w (words), b (parity); drop() removes it."""
 
-    def __init__(self, lines: DataFrame, table: Column, least: int):
+    def __init__(self, lines: DataFrame, least: int):
         self.spark, self.name = lines.sparkSession, f"tessera_classes_{uuid.uuid4().hex}"
-        rows = lines.where(F.size("words") >= least).select(class_of(F.col("words")).alias("c"), F.struct("doc_id", "th", "pos").alias("o"), by_rarity(F.col("words"), table).alias("w"))
-        first = rows.groupBy("c").agg(F.min(F.struct("o", "w")).alias("m")).select("c", F.col("m.o").alias("o"), F.col("m.w").alias("w"))
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        first.write.bucketBy(parts, "c").sortBy("c").option("compression", "none").saveAsTable(self.name)
+        first = lines.where(F.length("line") >= 2 * least - 1).groupBy("c").agg(F.min(F.struct("doc_id", "th", "pos", "line")).alias("o"))
+        words = first.select("c", F.struct("o.doc_id", "o.th", "o.pos").alias("o"), hashed(F.col("o.line")).alias("w")).where(F.size("w") >= least)
+        words.withColumn("b", parity(F.col("w"))).write.bucketBy(parts, "c").sortBy("c").option("compression", "none").saveAsTable(self.name)
 
     @property
     def rows(self) -> DataFrame:
@@ -92,45 +102,41 @@ class Classes:
 
 
 def head_pairs(classes: DataFrame) -> DataFrame:
-    """Each class with the first class of the same least, or greatest, word hash."""
-    out = None
-    for sketch in (F.array_min("w"), F.array_max("w")):
-        narrow = classes.select("c", "o", sketch.alias("s"), F.size("w").alias("n"))
-        heads = narrow.groupBy("s").agg(F.min(F.struct("o", "c", "n")).alias("h"))
-        size_fits = F.least("n", "h.n") * 5 >= F.greatest("n", "h.n") * 4
-        pairs = narrow.join(heads, "s").where((F.col("c") != F.col("h.c")) & size_fits).select(F.least("c", F.col("h.c")).alias("a"), F.greatest("c", F.col("h.c")).alias("b"))
-        out = pairs if out is None else out.union(pairs)
-    return out.distinct()
-
-
-def prefix_pairs(classes: DataFrame, settled: DataFrame) -> DataFrame:
-    """Pairs of classes that pass the prefix, length and positional filters, one of them not settled."""
+    """Each class with the first class of the same least word hash."""
+    narrow = classes.select("c", "o", F.element_at("w", 1).alias("s"), F.size("w").alias("n"), "b")
+    heads = narrow.groupBy("s").agg(F.min(F.struct("o", "c", "n", "b")).alias("h"))
+    pairs = narrow.join(heads, "s").where((F.col("c") != F.col("h.c")) & may_match(F.col("n"), F.col("h.n"), F.col("b"), F.col("h.b")))
+    return pairs.select(F.least("c", F.col("h.c")).alias("a"), F.greatest("c", F.col("h.c")).alias("b")).distinct()
+
+
+def prefix_pairs(classes: DataFrame, settled: DataFrame, table: Column) -> DataFrame:
+    """Pairs of classes that pass the prefix, positional, length and parity filters, one of them not settled."""
     marked = classes.join(settled.select("c", F.lit(0).alias("open")), "c", "left").withColumn("open", F.coalesce("open", F.lit(1)))
     n = F.size("w")
-    prefix = F.slice("w", F.lit(1), n - F.floor((n * 4 + 4) / 5).cast("int") + 1)
-    # one row: word, class and a number packed of the set's size, the place of the word and whether it is open
-    rows = marked.select("c", n.alias("n"), "open", F.posexplode(prefix).alias("k", "t")).select("t", "c", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("k") * 2 + F.col("open")).alias("v"))
+    prefix = F.slice(by_rarity(F.col("w"), table), F.lit(1), n - F.floor((n * 4 + 4) / 5).cast("int") + 1)
+    # one row: word, class, parity and a number packed of the set's size, the place of the word and whether it is open
+    rows = marked.select("c", "b", n.alias("n"), "open", F.posexplode(prefix).alias("k", "t")).select("t", "c", "b", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("k") * 2 + F.col("open")).alias("v"))
     x, y = rows.alias("x"), rows.alias("y")
     size = lambda v: F.shiftright(v, 32)
     place = lambda v: F.shiftright(v.bitwiseAND(F.lit(0xFFFFFFFF)), 1)
     v, u = F.col("x.v"), F.col("y.v")
-    length = F.least(size(v), size(u)) * 5 >= F.greatest(size(v), size(u)) * 4
     position = F.least(size(v) - place(v), size(u) - place(u)) * 9 >= (size(v) + size(u)) * 4
     either = F.greatest(v % 2, u % 2) == 1
-    return x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.c") < F.col("y.c")) & either & length & position).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+    near = may_match(size(v), size(u), F.col("x.b"), F.col("y.b")) & position & either
+    return x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.c") < F.col("y.c")) & near).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
 
 
 def repeated_lines(docs: DataFrame, *, key="doc_id", text="text", least: int = 5) -> DataFrame:
     """doc_id, th, removed (sorted positions of the lines that go) for each document that loses any."""
     lines = lines_of(docs, key, text)
-    classes = Classes(lines, rarity(lines), least)
+    classes = Classes(lines, least)
     try:
         settled = materialise(classes.verified(head_pairs(classes.rows)))
-        late = materialise(settled.union(classes.verified(prefix_pairs(classes.rows, settled))).distinct())
+        late = materialise(settled.union(classes.verified(prefix_pairs(classes.rows, settled, rarity(classes.rows)))).distinct())
         first = materialise(classes.rows.select("c", "o").join(late.select("c", F.lit(1).alias("late")), "c", "left"))
     finally:
         classes.drop()
-    mine = lines.where(F.size("words") >= least).select(class_of(F.col("words")).alias("c"), F.struct("doc_id", "th", "pos").alias("mine"))
+    mine = lines.select("c", F.struct("doc_id", "th", "pos").alias("mine"))
     gone = mine.join(first, "c").where(F.col("late").isNotNull() | (F.col("mine") != F.col("o"))).select("mine.*")
     return gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
 
