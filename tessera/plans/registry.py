@@ -1,4 +1,6 @@
-"""Queries and their SQL by name."""
+"""All queries and their SQL by name."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import curation, evaluation, provenance
+
+QUERIES = curation.Q | evaluation.Q | provenance.Q
+SQL = curation.S | evaluation.S | provenance.S
