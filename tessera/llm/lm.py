@@ -234,7 +234,7 @@ def score_blocks(total: int, distinct: int, shards: int, offset: np.ndarray, bac
     return run
 
 
-def score_documents(docs: DataFrame, *, key="doc_id", text="text", held=None, block_tokens: int = 3_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, *, key="doc_id", text="text", held=None, block_tokens: int = 1_500_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; `held` is a condition for rows not to learn from."""
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
