@@ -38,9 +38,10 @@ def hashed(line: Column) -> Column:
 
 
 def parity(w: Column) -> Column:
-    """64 bits: for each the parity of the number of words that fall to it. Two sets differ in at least as many words
-    as their parities differ in bits."""
-    return F.aggregate(w, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x)))
+    """Two numbers of 64 bits: for each of 128 cells the parity of the number of words that fall to it. Two sets differ
+    in at least as many words as their parities differ in bits."""
+    odd = lambda half: F.aggregate(F.filter(w, lambda x: F.call_function("getbit", x, F.lit(6)) == half), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x)))
+    return F.struct(odd(0).alias("x"), odd(1).alias("y"))
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -72,7 +73,8 @@ def enough(common: Column, n: Column, m: Column) -> Column:
 
 def may_match(n: Column, m: Column, b: Column, d: Column) -> Column:
     """Length filter and parity filter: sets within Jaccard 4/5 differ in at most (n + m) / 9 words."""
-    return (F.least(n, m) * 5 >= F.greatest(n, m) * 4) & (F.bit_count(b.bitwiseXOR(d)) * 9 <= n + m)
+    differ = F.bit_count(b["x"].bitwiseXOR(d["x"])) + F.bit_count(b["y"].bitwiseXOR(d["y"]))
+    return (F.least(n, m) * 5 >= F.greatest(n, m) * 4) & (differ * 9 <= n + m)
 
 
 class Classes:
@@ -115,15 +117,15 @@ def prefix_pairs(classes: DataFrame, settled: DataFrame, table: Column) -> DataF
     n = F.size("w")
     prefix = F.slice(by_rarity(F.col("w"), table), F.lit(1), n - F.floor((n * 4 + 4) / 5).cast("int") + 1)
     # one row: word, class, parity and a number packed of the set's size, the place of the word and whether it is open
-    rows = marked.select("c", "b", n.alias("n"), "open", F.posexplode(prefix).alias("k", "t")).select("t", "c", "b", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("k") * 2 + F.col("open")).alias("v"))
-    x, y = rows.alias("x"), rows.alias("y")
+    rows = marked.select("c", "b", n.alias("n"), "open", F.posexplode(prefix).alias("k", "t")).select("t", "c", "b.x", "b.y", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("k") * 2 + F.col("open")).alias("v"))
+    l, r = rows.alias("l"), rows.alias("r")
     size = lambda v: F.shiftright(v, 32)
     place = lambda v: F.shiftright(v.bitwiseAND(F.lit(0xFFFFFFFF)), 1)
-    v, u = F.col("x.v"), F.col("y.v")
+    v, u = F.col("l.v"), F.col("r.v")
     position = F.least(size(v) - place(v), size(u) - place(u)) * 9 >= (size(v) + size(u)) * 4
     either = F.greatest(v % 2, u % 2) == 1
-    near = may_match(size(v), size(u), F.col("x.b"), F.col("y.b")) & position & either
-    return x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.c") < F.col("y.c")) & near).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+    near = may_match(size(v), size(u), F.struct("l.x", "l.y"), F.struct("r.x", "r.y")) & position & either
+    return l.join(r, (F.col("l.t") == F.col("r.t")) & (F.col("l.c") < F.col("r.c")) & near).select(F.col("l.c").alias("a"), F.col("r.c").alias("b")).distinct()
 
 
 def repeated_lines(docs: DataFrame, *, key="doc_id", text="text", least: int = 5) -> DataFrame:
