@@ -7,8 +7,8 @@ joined, so copies of a line make no pairs.
 
 1. A class holds its first line, its words and their parity bits, in a table bucketed by class. Words are counted in
    2^16 hash buckets over all classes; a word's rarity is the logarithm of its bucket's count.
-2. Heads: each class is compared with the first class that shares its least word hash. Most members of large groups
-   of near copies are settled here, by one comparison each.
+2. Heads: each class is compared with the likelier of the first classes that share its least and its greatest word
+   hash. Most members of large groups of near copies are settled here, by one comparison each.
 3. Prefix join: classes share a word among the n - ceil(0.8 n) + 1 rarest of their words; pairs pass the positional,
    length and parity filters, at least one side is not settled yet, and the rest is verified on the whole sets.
 
@@ -29,12 +29,10 @@ from .shared import materialise, read
 BUCKETS = 1 << 16
 
 
-BLANKS = r"[\x20\x09-\x0D]+"
-
-
 def hashed(line: Column) -> Column:
     """The distinct word hashes of a lower-cased line, sorted."""
-    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(line, BLANKS), ""), lambda x: F.hash(x))))
+    words = F.array_remove(F.split(F.translate(line, "\t\n\x0b\x0c\r", " " * 5), " "), "")
+    return F.sort_array(F.array_distinct(F.transform(words, lambda x: F.hash(x))))
 
 
 def parity(w: Column) -> Column:
@@ -44,24 +42,25 @@ def parity(w: Column) -> Column:
     return F.struct(odd(0).alias("x"), odd(1).alias("y"))
 
 
-def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """c (class), doc_id, th (hash of the text), pos, line (lower-cased) for each line."""
+def lines_of(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
+    """c (class), doc_id, th (hash of the text), pos, line (lower-cased) for each line that is long enough for `least` words."""
     rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
+    rows = rows.where(F.octet_length("line") >= 2 * least - 1)
     return rows.select("doc_id", "th", "pos", F.lower("line").alias("line")).withColumn("c", F.xxhash64("line"))
 
 
 def rarity(classes: DataFrame) -> Column:
     """1 + log2 of the count of a word's bucket over all classes, as a table of BUCKETS bytes."""
     counts = classes.select(F.explode("w").alias("w")).groupBy(F.pmod("w", F.lit(BUCKETS)).alias("b")).agg(F.count("*").alias("n"))
-    table = bytearray(b"\x01" * BUCKETS)
+    table = [1] * BUCKETS
     for r in counts.collect():  # BUCKETS rows at most
         table[r.b] = r.n.bit_length()
-    return F.lit(bytes(table))
+    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # folded to one constant array
 
 
 def by_rarity(words: Column, table: Column) -> Column:
     """The words, rarest first, hashes breaking ties."""
-    rank = lambda w: F.ascii(F.substring(table, F.pmod(w, F.lit(BUCKETS)) + 1, F.lit(1)).cast("string")).cast("long")
+    rank = lambda w: F.get(table, F.pmod(w, F.lit(BUCKETS)))
     keys = F.sort_array(F.transform(words, lambda w: F.shiftleft(rank(w), 32).bitwiseOR(w.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))))
     return F.transform(keys, lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int"))
 
@@ -71,10 +70,13 @@ def enough(common: Column, n: Column, m: Column) -> Column:
     return common * 9 >= (n + m) * 4
 
 
+def differing(b: Column, d: Column) -> Column:
+    return F.bit_count(b["x"].bitwiseXOR(d["x"])) + F.bit_count(b["y"].bitwiseXOR(d["y"]))
+
+
 def may_match(n: Column, m: Column, b: Column, d: Column) -> Column:
     """Length filter and parity filter: sets within Jaccard 4/5 differ in at most (n + m) / 9 words."""
-    differ = F.bit_count(b["x"].bitwiseXOR(d["x"])) + F.bit_count(b["y"].bitwiseXOR(d["y"]))
-    return (F.least(n, m) * 5 >= F.greatest(n, m) * 4) & (differ * 9 <= n + m)
+    return (F.least(n, m) * 5 >= F.greatest(n, m) * 4) & (differing(b, d) * 9 <= n + m)
 
 
 class Classes:
@@ -83,8 +85,9 @@ class Classes:
     def __init__(self, lines: DataFrame, least: int):
         self.spark, self.name = lines.sparkSession, f"tessera_classes_{uuid.uuid4().hex}"
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        first = lines.where(F.length("line") >= 2 * least - 1).groupBy("c").agg(F.min(F.struct("doc_id", "th", "pos", "line")).alias("o"))
-        words = first.select("c", F.struct("o.doc_id", "o.th", "o.pos").alias("o"), hashed(F.col("o.line")).alias("w")).where(F.size("w") >= least)
+        # words are hashed before the shuffle, which is narrower than the lines; the filter on them stands above it, so none is hashed twice
+        first = lines.select("c", "doc_id", "th", "pos", hashed(F.col("line")).alias("w")).groupBy("c").agg(F.min(F.struct("doc_id", "th", "pos", "w")).alias("o"))
+        words = first.select("c", F.struct("o.doc_id", "o.th", "o.pos").alias("o"), F.col("o.w").alias("w")).where(F.size("w") >= least)
         words.withColumn("b", parity(F.col("w"))).write.bucketBy(parts, "c").sortBy("c").option("compression", "none").saveAsTable(self.name)
 
     @property
@@ -104,11 +107,12 @@ class Classes:
 
 
 def head_pairs(classes: DataFrame) -> DataFrame:
-    """Each class with the first class of the same least word hash."""
-    narrow = classes.select("c", "o", F.element_at("w", 1).alias("s"), F.size("w").alias("n"), "b")
-    heads = narrow.groupBy("s").agg(F.min(F.struct("o", "c", "n", "b")).alias("h"))
-    pairs = narrow.join(heads, "s").where((F.col("c") != F.col("h.c")) & may_match(F.col("n"), F.col("h.n"), F.col("b"), F.col("h.b")))
-    return pairs.select(F.least("c", F.col("h.c")).alias("a"), F.greatest("c", F.col("h.c")).alias("b")).distinct()
+    """For each class the likeliest of two earlier ones: the first classes of its least and of its greatest word hash."""
+    ends = F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.element_at("w", e).alias("s")) for k, e in enumerate((1, -1))]))
+    narrow = classes.select("c", "o", F.size("w").alias("n"), "b", ends)
+    heads = narrow.groupBy("k", "s").agg(F.min(F.struct("o", "c", "n", "b")).alias("h"))
+    pairs = narrow.join(heads, ["k", "s"]).where((F.col("c") != F.col("h.c")) & may_match(F.col("n"), F.col("h.n"), F.col("b"), F.col("h.b")))
+    return pairs.groupBy(F.col("c").alias("a")).agg(F.min(F.struct(differing(F.col("b"), F.col("h.b")).alias("d"), F.col("h.c").alias("b")))["b"].alias("b"))
 
 
 def prefix_pairs(classes: DataFrame, settled: DataFrame, table: Column) -> DataFrame:
@@ -130,7 +134,7 @@ def prefix_pairs(classes: DataFrame, settled: DataFrame, table: Column) -> DataF
 
 def repeated_lines(docs: DataFrame, *, key="doc_id", text="text", least: int = 5) -> DataFrame:
     """doc_id, th, removed (sorted positions of the lines that go) for each document that loses any."""
-    lines = lines_of(docs, key, text)
+    lines = lines_of(docs, key, text, least)
     classes = Classes(lines, least)
     try:
         settled = materialise(classes.verified(head_pairs(classes.rows)))
