@@ -31,7 +31,9 @@ BUCKETS = 1 << 16
 
 def hashed(line: Column) -> Column:
     """The distinct word hashes of a lower-cased line, sorted."""
-    words = F.array_remove(F.split(F.translate(line, "\t\n\x0b\x0c\r", " " * 5), " "), "")
+    for blank in "\t\x0b\x0c\r":  # replacing bytes is far cheaper than splitting at a pattern
+        line = F.replace(line, F.lit(blank), F.lit(" "))
+    words = F.array_remove(F.split(line, " "), "")
     return F.sort_array(F.array_distinct(F.transform(words, lambda x: F.hash(x))))
 
 
@@ -58,11 +60,11 @@ def rarity(classes: DataFrame) -> Column:
     return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # folded to one constant array
 
 
-def by_rarity(words: Column, table: Column) -> Column:
-    """The words, rarest first, hashes breaking ties."""
+def rarest(words: Column, table: Column, most: Column) -> Column:
+    """The `most` rarest words, rarest first, hashes breaking ties."""
     rank = lambda w: F.get(table, F.pmod(w, F.lit(BUCKETS)))
     keys = F.sort_array(F.transform(words, lambda w: F.shiftleft(rank(w), 32).bitwiseOR(w.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))))
-    return F.transform(keys, lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int"))
+    return F.transform(F.slice(keys, F.lit(1), most), lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int"))
 
 
 def enough(common: Column, n: Column, m: Column) -> Column:
@@ -119,7 +121,7 @@ def prefix_pairs(classes: DataFrame, settled: DataFrame, table: Column) -> DataF
     """Pairs of classes that pass the prefix, positional, length and parity filters, one of them not settled."""
     marked = classes.join(settled.select("c", F.lit(0).alias("open")), "c", "left").withColumn("open", F.coalesce("open", F.lit(1)))
     n = F.size("w")
-    prefix = F.slice(by_rarity(F.col("w"), table), F.lit(1), n - F.floor((n * 4 + 4) / 5).cast("int") + 1)
+    prefix = rarest(F.col("w"), table, n - F.floor((n * 4 + 4) / 5).cast("int") + 1)
     # one row: word, class, parity and a number packed of the set's size, the place of the word and whether it is open
     rows = marked.select("c", "b", n.alias("n"), "open", F.posexplode(prefix).alias("k", "t")).select("t", "c", "b.x", "b.y", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("k") * 2 + F.col("open")).alias("v"))
     l, r = rows.alias("l"), rows.alias("r")
