@@ -152,7 +152,7 @@ def repeated_lines(docs: DataFrame, *, key="doc_id", text="text", least: int = 5
 def with_removed(docs: DataFrame, *, key="doc_id", text="text", least: int = 5) -> DataFrame:
     """The documents with a column _removed: sorted positions of lines that go, null where none does."""
     gone = materialise(repeated_lines(docs, key=key, text=text, least=least)).withColumnsRenamed({"doc_id": "_id", "th": "_th", "removed": "_removed"})
-    return docs.join(gone, F.col(key).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text)) == F.col("_th")), "left").drop("_id", "_th")
+    return docs.join(gone.hint("merge"), F.col(key).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text)) == F.col("_th")), "left").drop("_id", "_th")
 
 
 def remove_repeated_lines(docs: DataFrame, *, key="doc_id", text="text", least: int = 5) -> DataFrame:

@@ -150,14 +150,14 @@ def first_part(plan: list[tuple[list[int], int]], x: Column) -> Column:
 
 
 def near_duplicates(docs: DataFrame, *, key="doc_id", text="text", size: int = 3, bits: int = 3) -> DataFrame:
-    """doc_id, fp, fingerprint (hex), component_id for each document."""
-    marked = materialise(add_fingerprint(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), size=size).select("doc_id", "fp"))
+    """doc_id, th (hash of the text), fp, fingerprint (hex), component_id for each document."""
+    marked = materialise(add_fingerprint(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), size=size).select("doc_id", "fp", F.xxhash64("text").alias("th")))
     classes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     comps = connected_components(link_fingerprints(classes.select("fp"), bits))
     named = classes.join(comps, classes.fp == comps.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("comp"))
     least = named.groupBy("comp").agg(F.min("first").alias("component_id"))
     by_fp = named.join(least, "comp").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(by_fp, "fp").select("doc_id", "th", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,9 +167,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_first(docs: DataFrame, *, key="doc_id", text="text", size: int = 5, bits: int = 5) -> DataFrame:
     """The documents without those that have an earlier near duplicate: of each component its least key stays, all columns kept.
 
-    Rows that repeat that key within the component stay once.
+    Rows that agree in key and text stay once; a key that repeats with another text stays for each text. Documents are
+    shuffled once, by key and text hash, whatever the size: the fingerprint is not computed again.
     """
     comps = near_duplicates(docs, key=key, text=text, size=size, bits=bits)
-    first = comps.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp").distinct().withColumnsRenamed({"doc_id": "_id", "fp": "_fp"})
-    rows = add_fingerprint(docs, text=text, size=size, out="_mine").join(first, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_mine") == F.col("_fp")), "left_semi")
-    return rows.drop("_mine")
+    named = lambda k: F.coalesce(F.col(k).cast("string"), F.lit(""))
+    first = comps.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(named("doc_id").alias("_key"), F.col("th").alias("_th"))
+    rows = docs.withColumns({"_key": named(key), "_th": F.xxhash64(text)})
+    return rows.join(first.hint("merge"), ["_key", "_th"], "left_semi").dropDuplicates(["_key", "_th"]).select(*docs.columns)
