@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read
+from .shared import free_names, read
 
 HIT = "array<struct<item_id: long, distance: int, start: int, stop: int>>"
 KIND = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())]))
@@ -147,8 +147,9 @@ def find_items(docs: DataFrame, items: DataFrame, *, key="doc_id", text="text",
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, text="text", rate: float = 0.08) -> DataFrame:
     """The documents in which no item is found, all columns kept."""
+    (hits,) = free_names(docs, "_hits")
     for block in item_blocks(items):
-        docs = add_hits(docs, block, rate, text=text, out="_hits").where(F.size("_hits") == 0).drop("_hits")
+        docs = add_hits(docs, block, rate, text=text, out=hits).where(F.size(hits) == 0).drop(hits)
     return docs
 
 

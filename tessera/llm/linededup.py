@@ -24,7 +24,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialise, read
+from .shared import free_names, materialise, read
 
 BUCKETS = 1 << 16
 
@@ -149,17 +149,20 @@ def repeated_lines(docs: DataFrame, *, key="doc_id", text="text", least: int = 5
     return gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
 
 
-def with_removed(docs: DataFrame, *, key="doc_id", text="text", least: int = 5) -> DataFrame:
-    """The documents with a column _removed: sorted positions of lines that go, null where none does."""
-    gone = materialise(repeated_lines(docs, key=key, text=text, least=least)).withColumnsRenamed({"doc_id": "_id", "th": "_th", "removed": "_removed"})
-    return docs.join(gone.hint("merge"), F.col(key).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text)) == F.col("_th")), "left").drop("_id", "_th")
+def with_removed(docs: DataFrame, *, key="doc_id", text="text", least: int = 5, out="removed") -> DataFrame:
+    """The documents with a column of the sorted positions of lines that go, null where none does."""
+    k, th, mine = free_names(docs, "_id", "_th", "_mine")
+    gone = materialise(repeated_lines(docs, key=key, text=text, least=least)).withColumnsRenamed({"doc_id": k, "th": th, "removed": out})
+    rows = docs.withColumn(mine, F.xxhash64(F.col(text)))
+    return rows.join(gone.hint("merge"), F.col(key).eqNullSafe(F.col(k)) & (F.col(mine) == F.col(th)), "left").drop(k, th, mine)
 
 
 def remove_repeated_lines(docs: DataFrame, *, key="doc_id", text="text", least: int = 5) -> DataFrame:
     """The documents with the lines that repeat an earlier one removed from their text."""
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col("_removed"), i)), "\n")
-    out = with_removed(docs, key=key, text=text, least=least)
-    return out.withColumn(text, F.when(F.col("_removed").isNotNull(), kept).otherwise(F.col(text))).drop("_removed")
+    (gone,) = free_names(docs, "_removed")
+    kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
+    out = with_removed(docs, key=key, text=text, least=least, out=gone)
+    return out.withColumn(text, F.when(F.col(gone).isNotNull(), kept).otherwise(F.col(text))).drop(gone)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

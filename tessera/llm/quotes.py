@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise, read
+from .shared import free_names, materialise, read
 
 MARK = r"^(?:[ \t]*>)+"
 WROTE = r"(?i)^[ \t]*\S.{0,200} wrote:[ \t]*$"
@@ -96,17 +96,18 @@ def link_quotes(messages: DataFrame, *, conv="conv_id", turn="turn", text="text"
     wanted = original_units(rows).join(quoted.select("conv", "h").distinct(), ["conv", "h"], "left_semi")
     points = latest_before(quoted, wanted, ["conv", "h"], "turn").groupBy("conv", "turn", "found").agg(F.sum("n").alias("n"))
     links = materialise(points.groupBy("conv", "turn").agg(F.max(F.struct("n", "found"))["found"].alias("reply_to")))
-    placed = links.join(threads(links), ["conv", "turn"]).withColumnsRenamed({"conv": "_conv", "turn": "_turn"})
+    mine, c, t = free_names(messages, "_key", "_conv", "_turn")
+    placed = links.join(threads(links), ["conv", "turn"]).withColumnsRenamed({"conv": c, "turn": t})
     levels = F.transform(F.split(text, "\n"), level)
     out = messages.withColumns({
         "quoted_lines": F.coalesce(F.size(F.filter(levels, lambda x: x > 0)), F.lit(0)),
         "quote_level": F.coalesce(F.array_max(levels), F.lit(0)),
-        "_key": F.coalesce(F.xxhash64(F.when(F.col(conv).isNotNull(), F.col(conv).cast("string"))), F.lit(0)),
+        mine: F.coalesce(F.xxhash64(F.when(F.col(conv).isNotNull(), F.col(conv).cast("string"))), F.lit(0)),
         text: F.when(F.col(text).rlike(r"(?m)" + MARK), unquoted(F.col(text))).otherwise(F.col(text)),
     })
     out = out.withColumn("quoted_lines", F.greatest("quoted_lines", F.lit(0)))
-    joined = out.join(placed, (F.col("_key") == F.col("_conv")) & (F.col(turn) == F.col("_turn")), "left")
-    return joined.withColumns({"root_turn": F.coalesce("root_turn", F.col(turn).cast("long")), "depth": F.coalesce("depth", F.lit(0))}).drop("_key", "_conv", "_turn")
+    joined = out.join(placed, (F.col(mine) == F.col(c)) & (F.col(turn) == F.col(t)), "left")
+    return joined.withColumns({"root_turn": F.coalesce("root_turn", F.col(turn).cast("long")), "depth": F.coalesce("depth", F.lit(0))}).drop(mine, c, t)
 
 
 def op2_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:

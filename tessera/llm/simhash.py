@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialise, read, words
+from .shared import free_names, materialise, read, words
 
 BATCH = 16_384
 #: A candidate costs as much as so many probes: candidates grow with the square of the input.
@@ -171,7 +171,8 @@ def keep_first(docs: DataFrame, *, key="doc_id", text="text", size: int = 5, bit
     shuffled once, by key and text hash, whatever the size: the fingerprint is not computed again.
     """
     comps = near_duplicates(docs, key=key, text=text, size=size, bits=bits)
+    k, th = free_names(docs, "_key", "_th")
     named = lambda k: F.coalesce(F.col(k).cast("string"), F.lit(""))
-    first = comps.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(named("doc_id").alias("_key"), F.col("th").alias("_th"))
-    rows = docs.withColumns({"_key": named(key), "_th": F.xxhash64(text)})
-    return rows.join(first.hint("merge"), ["_key", "_th"], "left_semi").dropDuplicates(["_key", "_th"]).select(*docs.columns)
+    first = comps.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(named("doc_id").alias(k), F.col("th").alias(th))
+    rows = docs.withColumns({k: named(key), th: F.xxhash64(text)})
+    return rows.join(first.hint("merge"), [k, th], "left_semi").dropDuplicates([k, th]).drop(k, th)
