@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import free_names, materialise, read, words
+from .shared import materialise, read, words
+from .shingles import keep_first  # noqa: F401 - the documents without near duplicates
 
 BATCH = 16_384
 #: A candidate costs as much as so many probes: candidates grow with the square of the input.
@@ -162,17 +163,3 @@ def near_duplicates(docs: DataFrame, *, key="doc_id", text="text", size: int = 3
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
-
-
-def keep_first(docs: DataFrame, *, key="doc_id", text="text", size: int = 5, bits: int = 5) -> DataFrame:
-    """The documents without those that have an earlier near duplicate: of each component its least key stays, all columns kept.
-
-    Rows that agree in key and text stay once; a key that repeats with another text stays for each text. Documents are
-    shuffled once, by key and text hash, whatever the size: the fingerprint is not computed again.
-    """
-    comps = near_duplicates(docs, key=key, text=text, size=size, bits=bits)
-    k, th = free_names(docs, "_key", "_th")
-    named = lambda k: F.coalesce(F.col(k).cast("string"), F.lit(""))
-    first = comps.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(named("doc_id").alias(k), F.col("th").alias(th))
-    rows = docs.withColumns({k: named(key), th: F.xxhash64(text)})
-    return rows.join(first.hint("merge"), [k, th], "left_semi").dropDuplicates([k, th]).drop(k, th)
