@@ -1,7 +1,7 @@
 r"""Line dedup by an exact set-similarity join (DataFrame functions only).
 
-A line is the set of its lower-cased words, compared as 32-bit hashes; lines of fewer than `least` words are left
-alone. A line goes if an earlier line, in the order of (key, text hash, position), has a Jaccard similarity of 0.8 or
+A line is the set of its lower-cased words, compared as 32-bit hashes; lines without words are left alone, and those of
+fewer than `least` words too (the query has 5, as its SQL has; the pipeline has no minimum). A line goes if an earlier line, in the order of (key, text hash, position), has a Jaccard similarity of 0.8 or
 more. Lines that are equal but for case form a class, named by a 64-bit hash; only classes are
 joined, so copies of a line make no pairs.
 
@@ -134,7 +134,7 @@ def prefix_pairs(classes: DataFrame, settled: DataFrame, table: Column) -> DataF
     return l.join(r, (F.col("l.t") == F.col("r.t")) & (F.col("l.c") < F.col("r.c")) & near).select(F.col("l.c").alias("a"), F.col("r.c").alias("b")).distinct()
 
 
-def repeated_lines(docs: DataFrame, *, key="doc_id", text="text", least: int = 5) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, key="doc_id", text="text", least: int = 1) -> DataFrame:
     """doc_id, th, removed (sorted positions of the lines that go) for each document that loses any."""
     lines = lines_of(docs, key, text, least)
     classes = Classes(lines, least)
@@ -149,7 +149,7 @@ def repeated_lines(docs: DataFrame, *, key="doc_id", text="text", least: int = 5
     return gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
 
 
-def with_removed(docs: DataFrame, *, key="doc_id", text="text", least: int = 5, out="removed") -> DataFrame:
+def with_removed(docs: DataFrame, *, key="doc_id", text="text", least: int = 1, out="removed") -> DataFrame:
     """The documents with a column of the sorted positions of lines that go, null where none does."""
     k, th, mine = free_names(docs, "_id", "_th", "_mine")
     gone = materialise(repeated_lines(docs, key=key, text=text, least=least)).withColumnsRenamed({"doc_id": k, "th": th, "removed": out})
@@ -157,7 +157,7 @@ def with_removed(docs: DataFrame, *, key="doc_id", text="text", least: int = 5,
     return rows.join(gone, F.col(key).eqNullSafe(F.col(k)) & (F.col(mine) == F.col(th)), "left").drop(k, th, mine)
 
 
-def remove_repeated_lines(docs: DataFrame, *, key="doc_id", text="text", least: int = 5) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, *, key="doc_id", text="text", least: int = 1) -> DataFrame:
     """The documents with the lines that repeat an earlier one removed from their text."""
     (gone,) = free_names(docs, "_removed")
     kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
@@ -168,7 +168,7 @@ def remove_repeated_lines(docs: DataFrame, *, key="doc_id", text="text", least:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     narrow = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
-    gone = repeated_lines(docs).withColumnsRenamed({"doc_id": "_id", "th": "_th"})
+    gone = repeated_lines(docs, least=5).withColumnsRenamed({"doc_id": "_id", "th": "_th"})
     out = narrow.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
     return out.select("doc_id", F.greatest("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.transform("removed", lambda x: x.cast("string")), ","), F.lit("")).alias("removed"))
 
