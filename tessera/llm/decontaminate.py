@@ -6,8 +6,9 @@ One Aho-Corasick pass over a whole text finds all pieces of a block of items; ar
 algorithm gives the least edit distance of the item to any stretch of the text. Items come in blocks of at most
 `block_chars` characters, one block after the other, each against all documents.
 
-Defined cases: null or empty texts match nothing; items shorter than `min_chars` after folding are skipped, null items
-too; repeated items match under each id; repeated documents give a row each; empty tables give no rows. Extra columns
+Defined cases: null or empty texts match nothing; null items and those without characters after folding are skipped; an
+item too short for an edit must stand exactly and not inside a longer word, where its script sets words apart; items
+with a null id are left out by `find_items` only; repeated items match under each id; repeated documents give a row each; empty tables give no rows. Extra columns
 are ignored by `find_items` and kept by `decontaminate`.
 """
 
@@ -63,6 +64,14 @@ def myers(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
     return best, end
 
 
+def in_word(text: str, at: int) -> bool:
+    """Whether a word of a script with blanks goes on from text[at - 1] to text[at]. Thai, Lao, Burmese, Khmer, kana and Han have none."""
+    if not 0 < at < len(text):
+        return False
+    bare = lambda c: "\u0e00" <= c <= "\u0eff" or "\u1000" <= c <= "\u109f" or "\u1780" <= c <= "\u17ff" or "\u2e80" <= c <= "\u9fff" or "\uf900" <= c <= "\ufaff" or c >= "\U00020000"
+    return all(c.isalnum() and not bare(c) for c in text[at - 1 : at + 1])
+
+
 class Matcher:
     """Items of one block, ready to search texts."""
 
@@ -91,6 +100,11 @@ class Matcher:
         for k, starts in spans.items():
             item, t, budget, masks = self.items[k]
             best = (budget + 1, 0, 0)
+            if not budget:  # hits are the whole item
+                at = next((a for a in sorted(starts) if not in_word(text, a) and not in_word(text, a + len(t))), None)
+                if at is not None:
+                    out.append((item, 0, at, at + len(t)))
+                continue
             for a, b in self._windows(sorted(starts), len(t), budget):
                 a = max(0, a)
                 part = text[a:b]
@@ -100,7 +114,7 @@ class Matcher:
                     best = (d, max(0, a + end - len(t)), a + end)
             if best[0] <= budget:
                 out.append((item, *best))
-        return sorted(out)
+        return sorted(out, key=lambda h: (h[0] is not None, h[0] or 0, h[1:]))
 
     @staticmethod
     def _windows(starts: list[int], n: int, budget: int) -> Iterator[tuple[int, int]]:
@@ -117,14 +131,14 @@ class Matcher:
             yield a - budget, b + n + budget
 
 
-def item_blocks(items: DataFrame, *, key="item_id", text="text", min_chars: int = 24, block_chars: int = 2_000_000) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(items: DataFrame, *, key="item_id", text="text", block_chars: int = 2_000_000) -> Iterator[list[tuple[int, str]]]:
     """Folded items, a bounded block at a time."""
-    rows = items.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("k is not null and t is not null")
+    rows = items.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("t is not null")
     total = rows.agg(F.sum(F.char_length("t"))).first()[0] or 0
     n = total // block_chars + 1
     for i in range(n):
         block = rows.where(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == i).collect()
-        yield sorted((r.k, t) for r in block if len(t := fold(r.t)) >= min_chars)
+        yield sorted(((r.k, t) for r in block if (t := fold(r.t))), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
 
 
 def add_hits(docs: DataFrame, block: list[tuple[int, str]], rate: float, *, text="text", out="hits") -> DataFrame:
@@ -139,7 +153,7 @@ def add_hits(docs: DataFrame, block: list[tuple[int, str]], rate: float, *, text
 def find_items(docs: DataFrame, items: DataFrame, *, key="doc_id", text="text", rate: float = 0.08) -> DataFrame:
     """doc_id, item_id, distance, start, stop for each document and item within its budget."""
     found = None
-    for block in item_blocks(items):
+    for block in item_blocks(items.where("item_id is not null")):
         hits = add_hits(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), block, rate).select("doc_id", F.inline("hits"))
         found = hits if found is None else found.union(hits)
     return found
