@@ -154,7 +154,8 @@ def with_removed(docs: DataFrame, *, key="doc_id", text="text", least: int = 1,
     k, th, mine = free_names(docs, "_id", "_th", "_mine")
     gone = materialise(repeated_lines(docs, key=key, text=text, least=least)).withColumnsRenamed({"doc_id": k, "th": th, "removed": out})
     rows = docs.withColumn(mine, F.xxhash64(F.col(text)))
-    return rows.join(gone, F.col(key).eqNullSafe(F.col(k)) & (F.col(mine) == F.col(th)), "left").drop(k, th, mine)
+    same = (F.col(mine) == F.col(th)) & F.col(key).eqNullSafe(F.col(k))
+    return rows.join(gone.hint("merge"), same, "left").drop(k, th, mine)  # the same join at every size
 
 
 def remove_repeated_lines(docs: DataFrame, *, key="doc_id", text="text", least: int = 1) -> DataFrame:

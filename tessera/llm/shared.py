@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -19,21 +21,48 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one is set only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder of spark.checkpoint.dir. Only a session on this machine alone gets one of its own where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named or "/tmp/checkpoints/tessera")
+        spark.sparkContext.setCheckpointDir(named or f"{tempfile.gettempdir()}/checkpoints/tessera")
     return (named or spark.sparkContext.getCheckpointDir()).rstrip("/")
 
 
+#: Folders and tables that were written and not deleted yet, in order.
+WRITTEN: list[str] = []
+
+
 def materialise(df: DataFrame, parts: int | None = None) -> DataFrame:
     """Write df to the shared folder as Parquet and read it back: lineage ends in files that every executor sees."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
     (df.coalesce(parts) if parts else df).write.option("compression", "zstd").parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str) -> DataFrame:
+    """Write df as a table in the warehouse, bucketed by a column, and read it back: joins by it shuffle nothing of df."""
+    spark, name = df.sparkSession, f"tessera_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(parts, column).write.bucketBy(parts, column).sortBy(column).option("compression", "zstd").saveAsTable(name)
+    WRITTEN.append(name)
+    return spark.table(name)
+
+
+def discard(spark: SparkSession, names: list[str]) -> None:
+    """Delete what materialise and bucketed have written under these names."""
+    for name in names:
+        if "/" in name:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        else:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+    WRITTEN[:] = [x for x in WRITTEN if x not in names]
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The names, lengthened until no column of df has them."""
     taken, out = {c.lower() for c in df.columns}, []
