@@ -20,6 +20,7 @@ named as `out` is replaced; other extra columns stay with `score_toxicity` and a
 
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from itertools import accumulate
 from math import log
 from typing import Iterator
 
@@ -34,7 +35,7 @@ from .shared import bounded_sample, crc_mod, materialise, read
 PUNCTUATION = bytes.maketrans(b'.,;:!?"()[]|', b" " * 12)
 #: Each window stands between these. zstandard starts no match in the last 8 bytes, and stores small blocks that do not
 #: shrink as they are: the tail keeps the one away from the words, the carrier, which both dictionaries end with, the other.
-CARRIER, TAIL = b"0123456789ABCDEFGHIJKLMNOPQRSTUV", b"}{~^][><"
+CARRIER, TAIL = b"0123456789ABCDEFGHIJ", b"}{~^][><"
 WINDOW, STEP, PIECE = 4, 2, 40
 LEVEL, SHARED_BYTES, GOING_ON = 6, 8192, 150
 GAINS = (2, 3, 4, 5, 7)
@@ -101,9 +102,11 @@ class ToxicityModel:
         if self._made is None:
             self._made = tuple(self._compressor(x) for x in (self.ordinary, self.toxic))
         sizes = lambda c, windows: np.array([len(x) for x in c.multi_compress_to_buffer(windows, threads=0)])
+        text = b" " + b" ".join(ws) + b" "
+        spaces = [*accumulate((len(w) + 1 for w in ws), initial=0)]  # before each word, and the last
         stop = max(1, len(ws) - WINDOW + STEP) if ws else 0
         for start in range(0, stop, STEP * at_once):
-            windows = [CARRIER + b" " + b" ".join(ws[i : i + WINDOW]) + b" " + TAIL for i in range(start, min(stop, start + STEP * at_once), STEP)]
+            windows = [CARRIER + text[spaces[i] : spaces[min(i + WINDOW, len(ws))] + 1] + TAIL for i in range(start, min(stop, start + STEP * at_once), STEP)]
             yield sizes(self._made[0], windows) - sizes(self._made[1], windows)
 
     def counts(self, ws: list[bytes]) -> np.ndarray:
