@@ -89,7 +89,8 @@ def streams(sizes: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, *, key="doc_id", text="text", source="source", weights=(5, 2, 1), share=1.5, cap=2, block=256) -> DataFrame:
-    """For each document doc_id, size, source_size, target (its source's) and taken, the words that the mix takes of it."""
+    """For each document doc_id, size, source_size, target (its source's), taken, the words that the mix takes of it, and
+    first_slot and last_slot, where its words stand in the schedule (null where none is taken)."""
     sizes = materialise(sized(docs, key, text, source))
     sources = materialise(source_targets(sizes, weights, share, cap), 1)
     slots = schedule(docs.sparkSession, sources, block)
@@ -98,8 +99,8 @@ def mix_sources(docs: DataFrame, *, key="doc_id", text="text", source="source",
     spans = rows.withColumn("span", F.explode_outer(F.filter(passes, lambda p: p["b"] > p["a"])))
     spans = spans.withColumn("rank", F.explode_outer(F.when(F.col("span").isNotNull(), F.sequence(F.floor(F.col("span.a") / block), F.floor((F.col("span.b") - 1) / block)))))
     part = F.least(F.col("span.b"), (F.col("rank") + 1) * block) - F.greatest(F.col("span.a"), F.col("rank") * block)
-    taken = spans.join(slots, ["idx", "rank"], "left").groupBy("idx", "bucket", "row", "doc_id", "size", "source_size", "target").agg(F.sum(F.when(F.col("slot").isNotNull(), part).otherwise(0)).alias("taken"))
-    return taken.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    taken = spans.join(slots, ["idx", "rank"], "left").groupBy("idx", "bucket", "row", "doc_id", "size", "source_size", "target").agg(F.sum(F.when(F.col("slot").isNotNull(), part).otherwise(0)).alias("taken"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
+    return taken.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot", "last_slot")
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,10 +117,20 @@ l as (select *, most / weight as ratio, sum(source_size) over () * 1.5::double a
 m as (select *, (goal - coalesce(sum(most) over (order by ratio, idx rows between unbounded preceding and 1 preceding), 0)::double)
                 / nullif(sum(weight) over () - coalesce(sum(weight) over (order by ratio, idx rows between unbounded preceding and 1 preceding), 0), 0) as level from l),
 f as (select level from m where most > weight * level order by ratio, idx limit 1),
-t as (select source, source_size, least(most::double, coalesce(weight * (select level from f), 0.0)) as target from m),
-p as (select d.doc_id, d.size, t.source_size, t.target, floor(t.target)::bigint as quota,
+t as (select idx, source, source_size, least(most::double, coalesce(weight * (select level from f), 0.0)) as target, floor(least(most::double, coalesce(weight * (select level from f), 0.0)))::bigint as quota from m),
+p as (select row_number() over () as id, d.doc_id, d.size, t.idx, t.source_size, t.target, t.quota,
              sum(d.size) over (partition by d.source order by d.h, d.doc_id, d.size, d.th rows unbounded preceding)::bigint - d.size as a
-      from d join t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target,
-       (greatest(least(a + size, quota) - a, 0) + greatest(least(source_size + a + size, quota) - source_size - a, 0))::bigint as taken from p
+      from d join t on d.source is not distinct from t.source),
+n as (select idx, ceil(quota / 256)::bigint as need, floor((sum(quota) over (order by idx) - quota)::double / greatest(sum(quota) over (), 1) * 281474976710656)::bigint as lo,
+             floor(sum(quota) over (order by idx)::double / greatest(sum(quota) over (), 1) * 281474976710656)::bigint as hi from t),
+k as (select unnest(range(0, coalesce((select sum(need) from n), 0)::bigint)) as slot),
+v as (select slot, list_sum([((slot >> b) & 1) << (47 - b) for b in range(0, 48)])::bigint as x from k),
+r as (select slot, idx, need, row_number() over (partition by idx order by slot) - 1 as rank from v join n on x >= lo and x < hi),
+c as (select n.idx, n.need, count(r.slot) as have from n left join r using (idx) group by all),
+e as (select slot, idx, rank from r where rank < need union all
+      select (select sum(need) from n)::bigint + idx, idx, unnest(range(have, need)) as rank from c where have < need),
+g as (select id, idx, a + i * source_size as a, least(a + i * source_size + size, quota) as b from p, (select unnest([0, 1]) as i)),
+w2 as (select id, min(slot) as first_slot, max(slot) as last_slot, sum(least(b, (rank + 1) * 256) - greatest(a, rank * 256))::bigint as taken
+       from g join e on e.idx = g.idx and b > a and rank between a // 256 and (b - 1) // 256 group by id)
+select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken, first_slot, last_slot from p left join w2 using (id)
 """

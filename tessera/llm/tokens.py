@@ -1,14 +1,17 @@
 """Exact token counts of byte-level BPE at every prefix of a text, by dynamic programming.
 
-A text is split into pieces by the vocabulary's pattern; merges never cross a piece. `PrefixTable` keeps the exact
-count at every piece boundary. Inside a piece the count at byte i comes from the only token t that can end the
-encoding of the first i bytes: t ends there, and (last token before t, t) stays two tokens when encoded together; then
-count[i] = count[i - len(t)] + 1. So truncation and budget questions are answered without encoding the text again.
-Counts of pieces are remembered by each worker. Texts with characters on which the pattern engines may differ (outside
-Latin letters and common signs) are counted by the library itself.
+A text is split into pieces by the vocabulary's rule; merges never cross a piece. Inside a piece the count at byte i comes
+from the only token t that can end the encoding of the first i bytes: t ends there, and (last token before t, t) stays
+two tokens when encoded together; then count[i] = count[i - len(t)] + 1. `PrefixTable` holds the counts at all piece
+boundaries, and those inside a piece as they are asked for; the count of a text is its last entry, and truncation and
+budget questions are answered from the table without encoding the text again. The last entries of pieces are remembered
+by each worker. Texts with characters on which pattern engines may differ (outside Latin letters and common signs) are
+split by the library's own splitter.
 
 Defined cases: a null or empty text has 0 bytes and 0 tokens; special strings count as the library's default counts
-them (one token); an empty table gives an empty result; nulls elsewhere and extra columns do not matter.
+them (one token, no merge across them; a prefix that ends inside one has it as plain text); a file with a normalizer,
+another splitter or another model is refused; an empty table gives an empty result; nulls elsewhere and extra columns do
+not matter, but a column named as `out` is replaced.
 """
 
 import json
@@ -18,6 +21,7 @@ from functools import lru_cache
 from itertools import accumulate
 from typing import Iterator
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +34,8 @@ PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 PLAIN = regex.compile(r"[\t-\r\x20-\x7e\xa1-\xac\xae-ɏ‐-―‘-‟•…€™]*")
 #: A boundary for certain: one space between two other characters.
 CUT = regex.compile(r"(?<=\S) (?=\S)")
-PART, KNOWN = 1_000_000, 600_000  #: characters split at once; pieces remembered
+BLANKS = regex.compile(r"[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*")
+PART, KNOWN, SHORT = 1_000_000, 600_000, 64  #: characters split at once; pieces remembered, of so many characters at most
 
 
 def byte_letters() -> dict[int, str]:
@@ -40,17 +45,19 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Counts(dict):
-    """Token counts of pieces; a new piece goes to the library's merges."""
+class Totals(dict):
+    """Token counts of whole pieces: the last entries of their prefix counts."""
 
-    def __init__(self, model, table):
+    def __init__(self, counter):
         super().__init__()
-        self.model, self.table = model, table
+        self.counter = counter
 
     def __missing__(self, piece: str) -> int:
+        n = 1 if piece in self.counter.special else self.counter.prefix_counts(piece.encode("utf-8", "surrogatepass"))[-1]
         if len(self) >= KNOWN:
             self.clear()
-        n = self[piece] = len(self.model.tokenize(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table)))
+        if len(piece) <= SHORT:
+            self[piece] = n
         return n
 
 
@@ -61,16 +68,26 @@ class TokenCounter:
 
         self.library = Tokenizer.from_file(path)
         spec = json.loads(self.library.to_str())
-        letters = byte_letters()
-        back = {c: b for b, c in letters.items()}
-        self.special = [t["content"] for t in spec["added_tokens"]]
-        self.split = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        rule, model = spec["pre_tokenizer"] or {}, spec["model"]
+        if spec["normalizer"] or (rule.get("type"), rule.get("add_prefix_space"), rule.get("use_regex", True)) != ("ByteLevel", False, True):
+            raise ValueError(f"{path}: not split as plain byte-level BPE is")
+        if model["type"] != "BPE" or model["dropout"] or model["continuing_subword_prefix"] or model["end_of_word_suffix"] or model.get("ignore_merges"):
+            raise ValueError(f"{path}: not plain byte-level BPE")
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
+            raise ValueError(f"{path}: special strings that take their surroundings along")
+        back = {c: b for b, c in byte_letters().items()}
+        self.special = {t["content"] for t in spec["added_tokens"]}
+        self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         to_bytes = lambda s: bytes(back[c] for c in s)
         self.ranks = {(to_bytes(a), to_bytes(b)): i for i, (a, b) in enumerate(merges)}
-        self.vocab = {to_bytes(t) for t in spec["model"]["vocab"] if all(c in back for c in t)}
-        self.longest = max(map(len, self.vocab))
-        self.counts = Counts(self.library.model, letters)
+        vocab = {to_bytes(t) for t in model["vocab"] if all(c in back for c in t)}
+        self.longest = max(map(len, vocab))
+        self.ends = ahocorasick.Automaton()  # finds the tokens that end at each byte
+        for t in vocab:
+            self.ends.add_word(t.decode("latin-1"), t)
+        self.ends.make_automaton()
+        self.totals = Totals(self)
         self.apart = lru_cache(200_000)(self._apart)
 
     def _apart(self, a: bytes, b: bytes) -> bool:
@@ -83,85 +100,96 @@ class TokenCounter:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts == [a, b]
 
-    def piece_counts(self, piece: bytes) -> list[int]:
+    def prefix_counts(self, piece: bytes) -> list[int]:
         """Token counts of all byte prefixes of one piece."""
-        count, last = [0], [b""]
-        for i in range(1, len(piece) + 1):
-            for n in range(min(i, self.longest), 0, -1):
-                t = piece[i - n : i]
-                if t in self.vocab and (i == n or self.apart(last[i - n], t)):
-                    count.append(count[i - n] + 1)
-                    last.append(t)
-                    break
+        count, last = [0] * (len(piece) + 1), [b""] * (len(piece) + 1)
+        for end, t in self.ends.iter(piece.decode("latin-1")):
+            i = end + 1
+            if not count[i] and (i == len(t) or self.apart(last[i - len(t)], t)):
+                count[i], last[i] = count[i - len(t)] + 1, t
         return count
 
+    def _plain_pieces(self, text: str) -> Iterator[list[str]]:
+        at, plain = 0, PLAIN.fullmatch(text)
+        while at < len(text):
+            far = len(text) - at > PART and CUT.search(text, at + PART)
+            stop = far.start() if far else len(text)
+            yield PATTERN.findall(text, at, stop) if plain else [text[at + i : at + j] for _, (i, j) in self.library.pre_tokenizer.pre_tokenize_str(text[at:stop])]
+            at = stop
+
     def pieces(self, text: str) -> Iterator[list[str]]:
-        """Lists of pieces of a plain text, about PART characters at a time."""
-        at = 0
-        while len(text) - at > PART and (m := CUT.search(text, at + PART)):
-            yield PATTERN.findall(text, at, m.start())
-            at = m.start()
-        yield PATTERN.findall(text, at)
-
-    def _plain_count(self, text: str) -> int:
-        if not PLAIN.fullmatch(text):
-            return len(self.library.encode(text, add_special_tokens=False).ids)
-        get = self.counts.__getitem__
-        return sum(sum(map(get, p)) for p in self.pieces(text))
+        """Lists of pieces, of about PART characters at a time; a special string is a piece of its own."""
+        if self.split is None or not any(s in text for s in self.special):
+            yield from self._plain_pieces(text)
+            return
+        for part in self.split.split(text):
+            if part in self.special:
+                yield [part]
+            elif part:
+                yield from self._plain_pieces(part)
 
     def count(self, text: str | None) -> int:
-        if not text:
-            return 0
-        if self.split is None or not any(s in text for s in self.special):
-            return self._plain_count(text)
-        parts = self.split.split(text)
-        return sum(map(self._plain_count, parts)) + len(parts) - 1
+        return sum(sum(map(self.totals.__getitem__, p)) for p in self.pieces(text or ""))
 
 
 class PrefixTable:
-    """Exact token counts of all prefixes of a text (special strings, if any, taken as plain text)."""
-
-    def __init__(self, counter: TokenCounter, text: str):
-        self.counter, self.text = counter, text
-        self.pieces = [p for ps in counter.pieces(text) for p in ps]
-        self.ends = list(accumulate(map(len, self.pieces)))
-        self.sums = list(accumulate(map(counter.counts.__getitem__, self.pieces)))
+    """Exact token counts of all prefixes of a text, as the library counts each prefix by itself.
+
+    With `keep`, boundaries are held only as far as answers for budgets up to it need them.
+    """
+
+    def __init__(self, counter: TokenCounter, text: str, keep: int | None = None):
+        self.counter, self.text, self.total = counter, text, 0
+        self.pieces, self.ends, self.sums = [], [], []
+        for part in counter.pieces(text):
+            counts = list(map(counter.totals.__getitem__, part))
+            if keep is None or self.total <= keep:
+                self.pieces += part
+                self.ends += list(accumulate(map(len, part), initial=self.ends[-1] if self.ends else 0))[1:]
+                self.sums += list(accumulate(counts, initial=self.total))[1:]
+            self.total += sum(counts)
 
     def count(self, chars: int) -> int:
         """Tokens of text[:chars]. Only the last pieces before the cut can differ from the whole text's."""
         k = bisect_right(self.ends, chars)
-        while k and (self.pieces[k - 1].isspace() or k < len(self.pieces) and self.pieces[k - 1] == "'"):
+        if k and k < len(self.pieces) and self.pieces[k] in self.counter.special and self.pieces[k - 1] not in self.counter.special:
+            k -= 1  # what stands before a special string may join its first signs
+        while k and (BLANKS.fullmatch(self.pieces[k - 1]) or k < len(self.pieces) and self.pieces[k - 1] == "'"):
             k -= 1
         start = self.ends[k - 1] if k else 0
-        tail = PATTERN.findall(self.text[start:chars])
-        whole = sum(map(self.counter.counts.__getitem__, tail[:-1]))
-        inside = self.counter.piece_counts(tail[-1].encode("utf-8", "surrogatepass"))[-1] if tail else 0
-        return (self.sums[k - 1] if k else 0) + whole + inside
+        return (self.sums[k - 1] if k else 0) + self.counter.count(self.text[start:chars])
 
     def longest(self, budget: int) -> int:
         """Characters of the longest prefix with at most `budget` tokens."""
-        k = bisect_right(self.sums, budget)
-        if k == len(self.pieces):
+        if self.total <= budget:
             return len(self.text)
+        k = bisect_right(self.sums, budget)
+        start, left = (self.ends[k - 1] if k else 0), budget - (self.sums[k - 1] if k else 0)
+        piece = self.pieces[k]
+        if piece in self.counter.special:
+            if inside := next((i for i in range(len(piece) - 1, 0, -1) if self.count(start + i) <= budget), 0):
+                return start + inside
+        elif not BLANKS.fullmatch(piece):
+            # a prefix of so many bytes has more than `left` tokens for certain
+            data = piece[: self.counter.longest * (left + 1)]
+            inside, at, fits = self.counter.prefix_counts(data.encode("utf-8", "surrogatepass")), 0, []
+            for i, c in enumerate(data, 1):
+                at += len(c.encode("utf-8", "surrogatepass"))
+                if inside[at] <= left and i < len(piece):
+                    fits.append(start + i)
+            if best := next((i for i in reversed(fits) if not BLANKS.fullmatch(self.text[start:i]) and self.count(i) <= budget), 0):
+                return best
+        # a prefix that ends in blanks has the whole run of them as its last piece, however the text goes on
         a = k
-        while a and self.pieces[a - 1].isspace():
+        while a and BLANKS.fullmatch(self.pieces[a - 1]):
             a -= 1
-        begin, best = (self.ends[a - 1] if a else 0), (self.ends[a - 1] if a else 0)
-        # a prefix that ends in blanks has the whole run of them as its last piece, however the text goes on
-        run, base, at = regex.compile(r"\s*").match(self.text, begin)[0], (self.sums[a - 1] if a else 0), 0
-        inside = self.counter.piece_counts(run.encode("utf-8", "surrogatepass"))
+        begin, base = (self.ends[a - 1] if a else 0), (self.sums[a - 1] if a else 0)
+        run = BLANKS.match(self.text, begin)[0]
+        inside, at, best = self.counter.prefix_counts(run.encode()), 0, begin
         for i, c in enumerate(run, 1):
-            at += len(c.encode("utf-8", "surrogatepass"))
+            at += len(c.encode())
             if base + inside[at] <= budget:
                 best = begin + i
-        if self.pieces[k].isspace():
-            return best
-        start, left, at = (self.ends[k - 1] if k else 0), budget - (self.sums[k - 1] if k else 0), 0
-        inside = self.counter.piece_counts(self.pieces[k].encode("utf-8", "surrogatepass"))
-        for i, c in enumerate(self.pieces[k], 1):
-            at += len(c.encode("utf-8", "surrogatepass"))
-            if inside[at] <= left and self.count(start + i) <= budget:
-                best = max(best, start + i)
         return best
 
 
@@ -177,12 +205,11 @@ def token_counts(docs: DataFrame, *, path: str, text="text", limit: int = 1024,
             n_bytes, n_tokens, cut = [], [], []
             for x in a:
                 t = x.as_py() or ""
-                n = c.count(t)
+                table = PrefixTable(c, t, limit)
                 size = len(t.encode("utf-8", "surrogatepass"))
                 n_bytes.append(size)
-                n_tokens.append(n)
-                plain = n > limit and PLAIN.fullmatch(t) and not any(s in t for s in c.special)
-                cut.append(size if n <= limit else len(t[: PrefixTable(c, t).longest(limit)].encode()) if plain else None)
+                n_tokens.append(table.total)
+                cut.append(size if table.total <= limit else len(t[: table.longest(limit)].encode("utf-8", "surrogatepass")))
             yield pa.StructArray.from_arrays([pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_()), pa.array(cut, pa.int64())], names=["n_bytes", "n_tokens", "over_limit", "cut_bytes"])
 
     return docs.withColumn(out, F.arrow_udf(run, "n_bytes long, n_tokens long, over_limit boolean, cut_bytes long")(text))

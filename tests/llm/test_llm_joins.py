@@ -169,6 +169,21 @@ def test_mixing_odd_rows(spark, tmp_path):
     assert mixing.mix_sources(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_schedule_is_even_at_every_length(spark):
+    sources = spark.createDataFrame([(1, 5000), (2, 1500), (3, 70), (4, 3431)], "idx long, quota long")
+    total, rows, upto = 10_001, [], 0
+    for r in sources.orderBy("idx").collect():
+        rows.append((r.idx, r.quota, int(upto / total * 2.0**48), int((upto + r.quota) / total * 2.0**48)))
+        upto += r.quota
+    slots = sorted(mixing.schedule(spark, spark.createDataFrame(rows, "idx long, quota long, lo long, hi long"), 4).collect())
+    got = Counter()
+    for n, r in enumerate(slots, 1):
+        assert r.rank == got[r.idx]  # blocks of a source in their order
+        got[r.idx] += 1
+        assert all(abs(got[i] - n * q / total) <= 1 + math.log2(n + 1) for i, q, _, _ in rows)
+    assert {i: -(-q // 4) for i, q, _, _ in rows} == got
+
+
 def test_line_dedup_against_all_pairs(spark, tmp_path):
     line = lambda *ws: " ".join(ws)
     w = [f"t{i}" for i in range(40)]

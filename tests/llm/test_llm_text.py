@@ -86,17 +86,34 @@ def test_tokens_equal_the_library(spark, odd, empty):
     count = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
     for t in ["it's we'll  two  spaces\n\n tab\t x", "日本語 text <|endoftext|> end", "12345 a1b2 !!! ...", "naïve café — “quotes”", " " * 50, "\n"]:
         assert counter.count(t) == count(t)
-    text = "The quick-brown fox's 1234 jumps;  over\n\nlazy dogs'll don't unbelievably"
-    table = tokens.PrefixTable(counter, text)
-    assert [table.count(i) for i in range(len(text) + 1)] == [count(text[:i]) for i in range(len(text) + 1)]
-    for budget in range(table.count(len(text)) + 2):
-        assert table.longest(budget) == max(i for i in range(len(text) + 1) if count(text[:i]) <= budget)
+    for text in ["The quick-brown fox's 1234 jumps;  over\n\nlazy dogs'll don't unbelievably", "日本語の文章 и кириллица\u00a0\u00a0x  \u2003 end\x1c\x1c y", "ab!! <|endoftext|> 's<|endoftext|>\n\n x", "<|endoftext|><|endo", "\n" * 30, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaab" * 3]:
+        table, wanted = tokens.PrefixTable(counter, text), [count(text[:i]) for i in range(len(text) + 1)]
+        assert [table.count(i) for i in range(len(text) + 1)] == wanted and table.total == wanted[-1]
+        for budget in range(table.total + 2):
+            best = max(i for i in range(len(text) + 1) if wanted[i] <= budget)
+            assert table.longest(budget) == best == tokens.PrefixTable(counter, text, budget).longest(budget)
     rows = tokens.op6_token_counts(spark, odd).collect()
     want = sorted((len((t or "").encode()), count(t or ""), count(t or "") > 1024) for t in TEXTS)
     assert sorted((r.n_bytes, r.n_tokens, r.over_limit) for r in rows) == want
     assert tokens.op6_token_counts(spark, empty).count() == 0
 
 
+def test_cut_bytes_are_the_longest_prefix_within_the_limit(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("byte_bpe_50k.json")
+    count = lambda t, lib=Tokenizer.from_file(path): len(lib.encode(t, add_special_tokens=False).ids)
+    texts = ["naïve words — " * 20, "日本語の文章です。" * 9, "x <|endoftext|> y " * 8, "short", None, "аб вг " * 40]
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, tokens string")
+    for r in tokens.token_counts(docs, path=path, limit=16).select("text", "tokens.*").collect():
+        t = r.text or ""
+        best = max(i for i in range(len(t) + 1) if count(t[:i]) <= 16)
+        assert (r.n_tokens, r.over_limit, r.cut_bytes) == (count(t), count(t) > 16, len(t[:best].encode()))
+    with pytest.raises(ValueError):
+        tokens.TokenCounter(public.path("word_bpe_49k.json"))
+
+
 def test_toxicity_learns_planted_words(spark, empty):
     ok = [f"plain words about weather number {i} and gardens {i * 7}" for i in range(120)]
     bad = [f"plain words grubbeldinger about zornvatkin and snarlbex {i} plokknurr vrekkelstein" for i in range(60)]
