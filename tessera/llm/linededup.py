@@ -1,9 +1,9 @@
 r"""Line dedup by an exact set-similarity join (DataFrame functions only).
 
 A line is the set of its lower-cased words, compared as 32-bit hashes; lines without words are left alone, and those of
-fewer than `least` words too (the query has 5, as its SQL has; the pipeline has no minimum). A line goes if an earlier line, in the order of (key, text hash, position), has a Jaccard similarity of 0.8 or
-more. Lines that are equal but for case form a class, named by a 64-bit hash; only classes are
-joined, so copies of a line make no pairs.
+fewer than `least` words too (1, which is none, in the query and in the pipeline). A line goes if an earlier line, in the
+order of (key, text hash, position), has a Jaccard similarity of 0.8 or more. Lines that are equal but for case form a
+class, named by a 64-bit hash; only classes are joined, so copies of a line make no pairs.
 
 1. A class holds its first line, its words and their parity bits, in a table bucketed by class. Words are counted in
    2^16 hash buckets over all classes; a word's rarity is the logarithm of its bucket's count.
@@ -169,7 +169,7 @@ def remove_repeated_lines(docs: DataFrame, *, key="doc_id", text="text", least:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     narrow = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
-    gone = repeated_lines(docs, least=5).withColumnsRenamed({"doc_id": "_id", "th": "_th"})
+    gone = repeated_lines(docs).withColumnsRenamed({"doc_id": "_id", "th": "_th"})
     out = narrow.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
     return out.select("doc_id", F.greatest("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.transform("removed", lambda x: x.cast("string")), ","), F.lit("")).alias("removed"))
 
@@ -177,7 +177,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = r"""
 with l as (select doc_id, unnest(str_split(text, chr(10))) as line, generate_subscripts(str_split(text, chr(10)), 1) - 1 as pos from documents),
 t as (select doc_id, pos, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) as w from l),
-s as (select w, len(w) as n, min((doc_id, pos)) as o, row_number() over () as c from t where len(w) >= 5 group by w),
+s as (select w, len(w) as n, min((doc_id, pos)) as o, row_number() over () as c from t where len(w) >= 1 group by w),
 d as (select x, count(*) as df from (select unnest(w) as x from s) group by x),
 p as (select c, n, o, x, row_number() over (partition by c order by df, x) as k from (select c, n, o, unnest(w) as x from s) join d using (x)),
 q as (select * from p where k <= n - ceil(n * 4 / 5.0) + 1),
