@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -47,10 +47,8 @@ def with_seen(*frames: tuple[DataFrame, str]) -> DataFrame:
     return out.distinct()
 
 
-def aliases(df: DataFrame, *, fingerprint: str, name: str, most: int = 100) -> DataFrame:
-    """For each name the names (at most `most`, the first) that share its fingerprint, and how many there are. Lists are
-    made once for each fingerprint and joined, so they aren't copied through a window."""
-    n = df.groupBy(fingerprint).agg(F.count("*").alias("n_same"))
-    first = df.withColumn("_r", F.row_number().over(Window.partitionBy(fingerprint).orderBy(name))).where(F.col("_r") <= most)
-    lists = first.groupBy(fingerprint).agg(F.array_sort(F.collect_list(F.col(name))).alias("same"))
-    return df.select(fingerprint, name).join(n, fingerprint).join(lists, fingerprint)
+def aliases(df: DataFrame, *, fingerprint: str, name: str) -> DataFrame:
+    """fingerprint, name, n_same, first: for each name how many share its fingerprint and the first of them. All names of
+    a fingerprint are its rows, whatever their number; no list is gathered."""
+    n = df.groupBy(F.col(fingerprint).alias("_f")).agg(F.count("*").alias("n_same"), F.min(name).alias("first"))
+    return df.select(fingerprint, name).join(n, F.col(fingerprint).eqNullSafe(F.col("_f"))).drop("_f")

@@ -9,6 +9,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import ratio, roc_auc
+from .sampling import placed
+
 GRID = (0.01, 0.1, 1.0, 10.0, 100.0)
 
 
@@ -89,19 +92,31 @@ def model_zoo(dims: int = 16) -> dict[str, Pipeline]:
 
 def folds(df: DataFrame, key: str, y: str = "y", k: int = 5) -> DataFrame:
     """Add `fold`, stratified by class in hash order."""
-    r = F.row_number().over(Window.partitionBy(y).orderBy(F.md5(F.col(key).cast("string").cast("binary")), key))
-    return df.withColumn("fold", (r - 1) % k)
+    h = F.md5(F.col(key).cast("string").cast("binary"))
+    p = placed(df.select(key, y).withColumn("_h", h), ["_h", key], [y], bucket=F.substring("_h", 1, 3))
+    return df.join(p.select(key, (F.col("place") % k).alias("fold")), key)
 
 
 def cross_validate(df: DataFrame, pipelines: dict[str, Pipeline], key: str, k: int = 5) -> DataFrame:
-    """model, accuracy and its deviation over the folds."""
-    f, out = folds(df, key, k=k).persist(), None
+    """model, and the mean and deviation over the folds of accuracy, f1 and auc, all in percent."""
+    f = folds(df, key, k=k).persist()
+    out = None
     for name, pipe in pipelines.items():
         for i in range(k):  # models times folds, each a Spark job
-            m = pipe.fit(f.where(F.col("fold") != i))
-            s = m.transform(f.where(F.col("fold") == i)).agg(F.avg((F.col("prediction") == F.col("y")).cast("double")).alias("accuracy")).withColumn("model", F.lit(name))
-            out = s if out is None else out.union(s)
-    return out.groupBy("model").agg(F.avg("accuracy").alias("accuracy"), F.stddev_pop("accuracy").alias("deviation"))
+            s = pipe.fit(f.where(F.col("fold") != i)).transform(f.where(F.col("fold") == i))
+            raw = vector_to_array("rawPrediction")
+            part = s.select(F.lit(name).alias("model"), F.lit(i).alias("fold"), "y", F.col("prediction").alias("hit"), (raw[1] - raw[0]).alias("p"))
+            out = part if out is None else out.union(part)
+    return fold_metrics(out)
+
+
+def fold_metrics(scored: DataFrame) -> DataFrame:
+    """From model, fold, y, hit (the prediction) and p (any score): the metrics of each fold, and their mean and deviation."""
+    hit, y = F.col("hit") == 1, F.col("y") == 1
+    tp, fp, fn = F.count_if(hit & y), F.count_if(hit & ~y), F.count_if(~hit & y)
+    by = scored.groupBy("model", "fold").agg(F.avg((hit == y).cast("double")).alias("accuracy"), F.coalesce(ratio(2 * tp, 2 * tp + fp + fn), F.lit(0.0)).alias("f1"))
+    each = by.join(roc_auc(scored, ["model", "fold"]).select("model", "fold", "auc"), ["model", "fold"])
+    return each.groupBy("model").agg(*[x for c in ("accuracy", "f1", "auc") for x in (F.round(100 * F.avg(c), 6).alias(c), F.round(100 * F.stddev_pop(c), 6).alias(f"{c}_deviation"))])
 
 
 def nearest_neighbours(queries: DataFrame, base: DataFrame, key: str, k: int = 5, block: int = 2000) -> DataFrame:

@@ -1,8 +1,8 @@
-"""ROC, thresholds and decisions over scores in [0, 1].
+"""ROC, thresholds and decisions over scores.
 
-Everything ordered starts from `histogram`: counts by distinct score, made by an ordinary aggregate. Scores carry at
-most 6 decimals, so a group has at most 1,000,001 of them however many rows there are, and the windows that follow
-run over those.
+Everything ordered starts from `histogram`: counts by distinct score, made by an ordinary aggregate. Sums along the order
+of scores are made inside BUCKETS ranges of scores and offset by the ranges before, so a group with as many distinct
+scores as rows is not sorted in one task.
 """
 
 from collections.abc import Sequence
@@ -15,32 +15,56 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+BUCKETS = 4096
+
+
 def histogram(df: DataFrame, groups: Sequence[str] = (), *, y="y", p="p") -> DataFrame:
-    """groups, p, n1, n0: positives and negatives at each score (rounded to 6 decimals)."""
-    return df.where(F.col(p).isNotNull()).groupBy(*groups, F.round(p, 6).alias("p")).agg(F.count_if(F.col(y) == 1).alias("n1"), F.count_if(F.col(y) == 0).alias("n0"))
+    """groups, p, n1, n0: positives and negatives at each distinct score."""
+    return df.where(F.col(p).isNotNull()).groupBy(*groups, F.col(p).alias("p")).agg(F.count_if(F.col(y) == 1).alias("n1"), F.count_if(F.col(y) == 0).alias("n0"))
 
 
 def _over(groups: Sequence[str]):
     return Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
 
 
+def running(h: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """h (p, n1, n0 and more) with tp and fp, the sums of n1 and n0 over scores of p and more, t1 and t0, those of the
+    group, and of the next lower score of h: next1, next0 (null at the last one); is_top at the first."""
+    b = h.withColumn("_b", F.floor(F.greatest(F.least("p", F.lit(1.0)), F.lit(0.0)) * BUCKETS))
+    down, every = _over(groups).orderBy(F.desc("_b")), _over(groups)
+    sums = b.groupBy(*groups, "_b").agg(F.sum("n1").alias("s1"), F.sum("n0").alias("s0"), F.max_by(F.struct("n1", "n0"), "p").alias("head"))
+    sums = sums.select(*[F.col(g).alias(f"_{g}") for g in groups], F.col("_b").alias("_c"), (F.sum("s1").over(down) - F.col("s1")).alias("above1"), (F.sum("s0").over(down) - F.col("s0")).alias("above0"), F.sum("s1").over(every).alias("t1"), F.sum("s0").over(every).alias("t0"), F.lead("head").over(down).alias("below"), (F.row_number().over(down) == 1).alias("top"))
+    inside = Window.partitionBy(*groups, "_b").orderBy(F.desc("p"))
+    upto = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    local = b.withColumns({"tp": F.sum("n1").over(upto), "fp": F.sum("n0").over(upto), "next1": F.lead("n1").over(inside), "next0": F.lead("n0").over(inside), "is_top": F.row_number().over(inside) == 1})
+    on = F.col("_b") == F.col("_c")
+    for g in groups:
+        on = on & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    out = local.join(sums, on)
+    return out.select(*h.columns, (F.col("tp") + F.col("above1")).alias("tp"), (F.col("fp") + F.col("above0")).alias("fp"), "t1", "t0", F.coalesce("next1", "below.n1").alias("next1"), F.coalesce("next0", "below.n0").alias("next0"), (F.col("is_top") & F.col("top")).alias("is_top"))
+
+
 def roc_auc(df: DataFrame, groups: Sequence[str] = (), **cols) -> DataFrame:
     """groups, n1, n0, auc with ties counted half; null for a single class. Sums are of integers, so exact."""
-    h = histogram(df, groups, **cols)
-    below = F.coalesce(F.sum("n0").over(_over(groups).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    u = h.withColumn("u2", F.col("n1").cast("decimal(38,0)") * (2 * below + F.col("n0")))
+    h = running(histogram(df, groups, **cols), groups)
+    u = h.withColumn("u2", F.col("n1").cast("decimal(38,0)") * (2 * (F.col("t0") - F.col("fp")) + F.col("n0")))
     g = u.groupBy(*groups).agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.sum("u2").cast("double").alias("u2"))
     return g.withColumn("auc", ratio(F.col("u2"), F.col("n1").cast("double") * F.col("n0") * 2)).drop("u2")
 
 
+def rank_auc(df: DataFrame, groups: Sequence[str] = (), **cols) -> DataFrame:
+    """groups, n1, n0, auc by plain ranks of a stable order that has the positives of a score before its negatives: ties
+    are not averaged, a positive beats the negatives below it only; null for a single class."""
+    h = running(histogram(df, groups, **cols), groups)
+    u = h.groupBy(*groups).agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.sum(F.col("n1").cast("decimal(38,0)") * (F.col("t0") - F.col("fp"))).cast("double").alias("u"))
+    return u.withColumn("auc", ratio(F.col("u"), F.col("n1").cast("double") * F.col("n0"))).drop("u")
+
+
 def roc_curve(df: DataFrame, groups: Sequence[str] = (), **cols) -> DataFrame:
     """groups, p, tp, fp, n1, n0 at the corners: the first and last score and those where a step changes direction."""
-    h = histogram(df, groups, **cols)
-    upto, every, w = _over(groups).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0), _over(groups), _over(groups).orderBy(F.desc("p"))
-    c = h.select(*groups, "p", F.sum("n1").over(upto).alias("tp"), F.sum("n0").over(upto).alias("fp"), F.sum("n1").over(every).alias("n1"), F.sum("n0").over(every).alias("n0"))
-    bend = lambda k: F.lead(k).over(w) - 2 * F.col(k) + F.lag(k).over(w)
-    c = c.withColumns({"_t": bend("tp"), "_f": bend("fp"), "_m": F.count("*").over(every)})
-    return c.where((F.col("_m") <= 2) | F.col("_t").isNull() | (F.col("_t") != 0) | (F.col("_f") != 0)).drop("_t", "_f", "_m")
+    c = running(histogram(df, groups, **cols), groups)
+    bend = F.col("is_top") | F.col("next1").isNull() | (F.col("next1") != F.col("n1")) | (F.col("next0") != F.col("n0"))
+    return c.where(bend).select(*groups, "p", "tp", "fp", F.col("t1").alias("_n1"), F.col("t0").alias("_n0")).withColumnsRenamed({"_n1": "n1", "_n0": "n0"})
 
 
 def threshold_at_fpr(df: DataFrame, groups: Sequence[str] = (), percent: int = 5, **cols) -> DataFrame:
@@ -81,9 +105,8 @@ def best_threshold(df: DataFrame, groups: Sequence[str] = (), **cols) -> DataFra
     keys = h.select(*groups).distinct() if groups else df.sparkSession.range(1).select()
     grid = h.select(*groups, F.round("p", 3).alias("p")).union(keys.select(*groups, fixed.alias("p"))).distinct()
     both = h.union(grid.select(*groups, "p", F.lit(0), F.lit(0), F.lit(True)))
-    down, every = _over(groups).orderBy(F.desc("p")).rangeBetween(Window.unboundedPreceding, Window.currentRow), _over(groups)
-    c = both.withColumns({"tp": F.sum("n1").over(down), "fp": F.sum("n0").over(down), "N1": F.sum("n1").over(every), "N0": F.sum("n0").over(every)}).where("ask")
-    bal = (F.coalesce(ratio(F.col("tp"), F.col("N1")), F.lit(0.0)) + F.coalesce(ratio(F.col("N0") - F.col("fp"), F.col("N0")), F.lit(0.0))) / 2
+    c = running(both, groups).where("ask")
+    bal = (F.coalesce(ratio(F.col("tp"), F.col("t1")), F.lit(0.0)) + F.coalesce(ratio(F.col("t0") - F.col("fp"), F.col("t0")), F.lit(0.0))) / 2
     return c.withColumn("b", F.round(bal, 9)).groupBy(*groups).agg(F.max(F.struct("b", "p")).alias("m")).select(*groups, F.col("m.p").alias("threshold"), F.col("m.b").alias("balanced"))
 
 

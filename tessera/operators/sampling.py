@@ -81,16 +81,28 @@ def stratified_holdout(df: DataFrame, groups: Sequence[str], key: str, fraction:
 
 
 def adaptation_slice(df: DataFrame, label: str, order: str, k: int) -> DataFrame:
-    """Add `adapt`, true for the first k of each class."""
-    return df.withColumn("adapt", F.row_number().over(Window.partitionBy(label).orderBy(order)) <= k)
+    """Add `adapt`, true for the first k of each class by `order`, a unique column: those up to the k-th value of it."""
+    cut = cap_per_group(df.select(label, order), [label], [order], k).groupBy(F.col(label).alias("_label")).agg(F.max(order).alias("_cut"))
+    marked = df.join(cut, F.col(label).eqNullSafe(F.col("_label")), "left")
+    return marked.withColumn("adapt", F.coalesce(F.col(order) <= F.col("_cut"), F.col(order).isNull())).drop("_label", "_cut")
+
+
+def short_classes(df: DataFrame, label: str, k: int) -> DataFrame:
+    """label, n of the classes that have fewer than k rows, for which a slice of k is refused."""
+    return df.groupBy(label).agg(F.count("*").alias("n")).where(F.col("n") < k)
+
+
+def range_bucket(df: DataFrame, column: str, n: int = 64) -> Column:
+    """A bucket that grows with the column, by its approximate quantiles over all rows."""
+    edges = df.agg(F.percentile_approx(column, [i / n for i in range(1, n)], 1000)).first()[0] or []
+    return F.size(F.filter(F.array(*[F.lit(e) for e in sorted(set(edges))]), lambda e: e < F.col(column))) if edges else F.lit(0)
 
 
 def terciles(df: DataFrame, label: str, feature: str, key: str, least: int = 6) -> DataFrame:
     """Add `tercile` with cuts at n div 3 and 2 n div 3 (not ntile); classes of fewer than `least` rows go."""
-    w = Window.partitionBy(label)
-    r, n = F.row_number().over(w.orderBy(feature, key)) - 1, F.count("*").over(w)
-    t = df.withColumns({"_r": r, "_n": n}).where(F.col("_n") >= least)
-    return t.withColumn("tercile", F.when(F.col("_r") < F.floor(F.col("_n") / 3), 0).when(F.col("_r") < F.floor(F.col("_n") * 2 / 3), 1).otherwise(2)).drop("_r", "_n")
+    p = placed(df, [feature, key], [label], bucket=F.when(F.col(feature).isNull(), -1).otherwise(range_bucket(df, feature))).where(F.col("group_size") >= least)
+    n = F.col("group_size")
+    return p.withColumn("tercile", F.when(F.col("place") < F.floor(n / 3), 0).when(F.col("place") < F.floor(n * 2 / 3), 1).otherwise(2)).drop("place", "group_size")
 
 
 def quota_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], target: int, had: DataFrame | None = None) -> DataFrame:
@@ -105,7 +117,8 @@ def share_quota(df: DataFrame, label: str, shape: str, order: Sequence[str], tot
     """Per class, at most int(total * share) rows of each shape."""
     limit = F.create_map(*[F.lit(x) for k, v in shares.items() for x in (k, int(total * v))])
     r = F.row_number().over(Window.partitionBy(label, shape).orderBy(*order))
-    return df.withColumn("_r", r).where(F.col("_r") <= F.coalesce(F.try_element_at(limit, F.col(shape)), F.lit(0))).drop("_r")
+    most = max(int(total * v) for v in shares.values())  # a fixed bound first, by which ranks are cut before the shuffle
+    return df.withColumn("_r", r).where(F.col("_r") <= most).where(F.col("_r") <= F.coalesce(F.try_element_at(limit, F.col(shape)), F.lit(0))).drop("_r")
 
 
 def roll_forward(supply: Sequence[int], target: int) -> list[int]:
@@ -126,6 +139,6 @@ def spread(total: int, n: int) -> list[int]:
 def replay_mix(df: DataFrame, bucket: str, key: str, heads: dict[str, int], seed: int = 42) -> DataFrame:
     """A fixed number of rows of each bucket in hash order, all of the buckets not named."""
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
-    parts = df.withColumn("_r", F.row_number().over(Window.partitionBy(bucket).orderBy(h, key)))
-    limit = F.create_map(*[F.lit(x) for kv in heads.items() for x in kv])
-    return parts.where(F.col("_r") <= F.coalesce(F.try_element_at(limit, F.col(bucket)), F.lit(2**31 - 1))).drop("_r")
+    named, limit = F.col(bucket).isin(*heads), F.create_map(*[F.lit(x) for kv in heads.items() for x in kv])
+    ranked = df.where(named).withColumn("_r", F.row_number().over(Window.partitionBy(bucket).orderBy(h, key))).where(F.col("_r") <= max(heads.values()))
+    return df.where(~F.coalesce(named, F.lit(False))).union(ranked.where(F.col("_r") <= limit[F.col(bucket)]).drop("_r"))

@@ -285,11 +285,10 @@ def seen_hashes(spark, d):
     return joins.with_seen((read(spark, d, "documents").select(F.sha2(F.col("text"), 256).alias("h")), "h"), (read(spark, d, "pages").select(F.sha2(F.col("html"), 256).alias("h")), "h"))
 
 
-@query("""with f as (select doc_id, sha256(text) as fp from documents where text is not null), r as (select *, row_number() over (partition by fp order by doc_id) as r from f),
-g as (select fp, count(*) as n_same, list(doc_id order by doc_id) filter (r <= 100) as same from r group by fp) select doc_id, n_same, array_to_string(same, ',') as same from f join g using (fp)""")
+@query("with f as (select doc_id, sha256(text) as fp from documents where text is not null) select doc_id, fp, count(*) over (partition by fp) as n_same, min(doc_id) over (partition by fp) as first from f")
 def alias_groups(spark, d):
     x = read(spark, d, "documents").where("text is not null").select("doc_id", F.sha2(F.col("text"), 256).alias("fp"))
-    return joins.aliases(x, fingerprint="fp", name="doc_id").select("doc_id", "n_same", F.array_join(F.transform("same", lambda v: v.cast("string")), ",").alias("same"))
+    return joins.aliases(x, fingerprint="fp", name="doc_id")
 
 
 @query("select source, lang, count(*) as n, count(distinct sha256(text)) as n_seen from documents group by all")

@@ -181,8 +181,7 @@ def logistic_heads(spark, d):
 def cross_validation(spark, d):
     e = read(spark, d, "embeddings").withColumn("y", (F.col("label") >= 5).cast("int"))
     f = learning.views(e, n=1)[0].select("vec_id", "y", "features")
-    zoo = learning.model_zoo()
-    return learning.cross_validate(f, {k: zoo[k] for k in ("logistic", "gaussian_nb")}, "vec_id", 3)
+    return learning.cross_validate(f, learning.model_zoo(), "vec_id")
 
 
 @query(f"""with {SQL_SCORES}, q as (select vec_id, embedding from embeddings where vec_id % 20 = 0), dd as (select q.vec_id as q, e2.vec_id as b, (e2.label >= 5)::int as y, list_sum(list_transform(list_zip(q.embedding, e2.embedding), lambda z: ((z[1] - z[2]) * (z[1] - z[2]))::double)) as dist from q join embeddings e2 on e2.vec_id <> q.vec_id),

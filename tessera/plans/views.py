@@ -39,7 +39,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = w.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda s: s["w"]).alias("w"))  # one row of as many numbers as an embedding has
     dot = F.aggregate(F.zip_with("embedding", "w", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, z: s + z)
     s = e.crossJoin(F.broadcast(weights)).withColumn("margin", F.round(dot, 9))
-    p = F.round(1 / (1 + F.exp(-8 * F.col("margin"))), 6)
+    p = F.round(1 / (1 + F.exp(-8 * F.col("margin"))), 10)
     return s.select("vec_id", "y", F.col("label").alias("grp"), (F.col("label") % 4).alias("tier"), "margin", p.alias("p"))
 
 
@@ -56,4 +56,4 @@ SQL_SCORES = """e as (select vec_id, embedding, label, (label >= 5)::int as y fr
 x as (select vec_id, y, unnest(embedding)::double as v, generate_subscripts(embedding, 1) as i from e),
 w as (select i, round(avg(v) filter (y = 1) - avg(v) filter (y = 0), 6) as w from x group by i),
 mg as (select vec_id, round(sum(v * w), 9) as margin from x join w using (i) group by vec_id),
-s as (select vec_id, y, label as grp, label % 4 as tier, margin, round(1 / (1 + exp(-8 * margin)), 6) as p from e join mg using (vec_id))"""
+s as (select vec_id, y, label as grp, label % 4 as tier, margin, round(1 / (1 + exp(-8 * margin)), 10) as p from e join mg using (vec_id))"""
