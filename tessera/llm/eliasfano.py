@@ -136,6 +136,15 @@ class BigramTrie:
         out[q[found >= 0]] = self.codes[found[found >= 0]]
         return out
 
+    def successors_of(self, ctx: np.ndarray) -> np.ndarray:
+        """How many distinct successors each context has: the distance of its pointers."""
+        out = np.zeros(len(ctx), dtype=np.int64)
+        if self.contexts.n and len(ctx):
+            c = self.contexts.find(ctx, np.zeros(len(ctx), dtype=np.int64), np.full(len(ctx), self.contexts.n))
+            at = c[c >= 0]
+            out[c >= 0] = (self.pointers.get(at + 1) - self.pointers.get(at)).astype(np.int64)
+        return out
+
     def save(self, folder: str) -> None:
         for name in ("contexts", "pointers", "successors"):
             getattr(self, name).save(f"{folder}/{name}")

@@ -1,8 +1,9 @@
 """Language-model scoring with sharded Elias-Fano bigram tries.
 
 Tokens are the words of a text, A-Z lower-cased, and one end token, which is also the context of the first word.
-P(w | c) = (1 - b) n(c, w) / n(c) + b P1(w), with P1 the base's unigram and b the back-off weight of contexts of the
-frequency class of n(c) (powers of two): DISCOUNT times their distinct successors over their occurrences. It sums to 1.
+P(w | c) = (n(c, w) - DISCOUNT) / n(c) + b(c) P1(w), with P1 the base's unigram and b(c) = DISCOUNT t(c) / n(c), where c has
+t(c) distinct successors: interpolated absolute discounting, which sums to 1. The trie holds the discounted probabilities,
+quantised; t(c) is the distance of its pointers.
 
 Documents are packed into blocks of about `block_tokens` tokens; what is shuffled are compressed arrays, one row for
 each block and shard, never single words:
@@ -10,13 +11,15 @@ each block and shard, never single words:
 2. vocabulary shards (by hash) add counts up and answer each block with its words' counts and ranks.
 3. blocks send their distinct pairs of trained words to pair shards (by context; by context and word where a context
    has more than 1/HOT of all tokens), which build a memory-mapped trie of quantised probabilities from the training
-   counts and look all pairs up in it by context-relative successor search.
+   counts and look all pairs up in it by context-relative successor search. Successors of the split contexts, at most
+   HOT, are added up over the shards.
 4. blocks put counts and codes together and score their documents.
 The number of shards is spark.sql.shuffle.partitions; a shard's share shrinks as that grows with the input.
 
 Defined cases: a null or empty text is an end token alone; a null key is scored, neither held out nor learned from;
 repeated rows are learned and scored each; without training rows N and V are 0 and every token has the base's 0.5 / 0.5;
-an empty table gives an empty result. Extra columns are ignored.
+an empty table gives an empty result. Keys are integers or strings. Words are told apart by 64-bit hashes: two words of one
+hash would count as one. Extra columns are ignored.
 """
 
 import json
@@ -29,6 +32,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .eliasfano import BigramTrie, probabilities
 from .shared import crc_mod, materialise, read, slices, words
@@ -37,7 +41,7 @@ END = b"\n"  #: no word holds a line feed
 DISCOUNT, HOT = 0.75, 2000
 ROWS = pa.schema([("block", pa.string()), ("kind", pa.string()), ("shard", pa.int64()), ("data", pa.binary())])
 ROW = "block string, kind string, shard long, data binary"
-SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+SCORES = pa.schema([("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
 def pack(**arrays: np.ndarray) -> bytes:
@@ -80,7 +84,7 @@ class Block:
                 ids[w] = len(ids)
         a = np.fromiter(map(ids.__getitem__, ws), np.uint32, len(ws))
         self.parts.append(np.append(a, np.uint32(0)))
-        self.docs.append((doc_id if doc_id is not None else 0, doc_id is None, held, trained, len(ws) + 1))
+        self.docs.append((doc_id, held, trained, len(ws) + 1))
         self.tokens += len(ws) + 1
 
     def rows(self, name: str, shards: int) -> list[tuple]:
@@ -91,10 +95,11 @@ class Block:
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
         tokens = rank[np.concatenate(self.parts)]
-        doc_id, null, held, trained, n = (np.array(x) for x in zip(*self.docs, strict=True))
+        doc_id, held, trained, n = zip(*self.docs, strict=True)
+        held, trained, n = map(np.array, (held, trained, n))
         learned = np.bincount(tokens[np.repeat(trained, n)], minlength=len(order))
         sizes = np.bincount(shard, minlength=shards)
-        out = [(name, "docs", -1, pack(doc_id=doc_id.astype(np.int64), null=null, held=held, trained=trained, n=n.astype(np.int64), tokens=tokens, sizes=sizes, end=np.array([rank[0]])))]
+        out = [(name, "docs", -1, pack(doc_id=np.frombuffer(json.dumps(doc_id).encode(), np.uint8), held=held, trained=trained, n=n.astype(np.int64), tokens=tokens, sizes=sizes, end=np.array([rank[0]])))]
         ends = np.cumsum(sizes)
         for s in np.flatnonzero(sizes):
             a, b = ends[s] - sizes[s], ends[s]
@@ -122,7 +127,7 @@ def make_blocks(docs: DataFrame, shards: int, block_tokens: int) -> DataFrame:
 
 def vocabulary(sent: pa.Table) -> pa.Table:
     """One shard: for each block its words' counts over all blocks and ranks among the shard's trained words, from 1 on; a last row has the
-    totals, also by frequency class."""
+    totals."""
     got = [(b, unpack(d)) for b, d in zip(sent["block"].to_pylist(), sent["data"].to_pylist(), strict=True)]
     shard = sent["shard"][0].as_py()
     every = np.unique(np.concatenate([x["h"] for _, x in got]))
@@ -133,8 +138,7 @@ def vocabulary(sent: pa.Table) -> pa.Table:
     rank = np.where(total > 0, np.cumsum(total > 0), 0)
     rows = [(b, "counts", shard, pack(n=small(total[p]), rank=small(rank[p]))) for p, (b, _) in zip(places, got, strict=True)]
     known = total[total > 0]
-    classes = np.bincount(np.log2(known).astype(np.int64), weights=known, minlength=64).astype(np.int64)
-    return table([*rows, ("", "total", shard, pack(t=np.array([total.sum(), len(known)]), classes=classes))])
+    return table([*rows, ("", "total", shard, pack(t=np.array([total.sum(), len(known)])))])
 
 
 class Read:
@@ -150,12 +154,13 @@ class Read:
                 x, cut = unpack(d), slice(ends[s] - self.sizes[s], ends[s])
                 self.count[cut] = x["n"]
                 self.id[cut] = x["rank"].astype(np.uint64) + np.uint64(offset[s])
-        self.answers = {s: unpack(d)["codes"] for k, s, d in zip(kinds, shards, data, strict=True) if k == "codes"}
+        self.answers = {s: unpack(d) for k, s, d in zip(kinds, shards, data, strict=True) if k == "codes"}
 
     def pairs(self, total: int, shards: int, inverse: bool):
         """Distinct pairs of trained words in the order (shard, context id, word id): local ids, shard and training count.
 
-        With inverse also each token's pair, -1 for those with an unknown word.
+        A trained context that has no trained word after it here is there with the end token, for its successors. With
+        inverse also each token's pair, -1 for those with an unknown word.
         """
         before = np.concatenate([self.end, self.tokens[:-1]])
         sure = (self.count[before] > 0) & (self.count[self.tokens] > 0)
@@ -163,13 +168,16 @@ class Read:
         key = before.astype(np.uint64) * width + self.tokens
         trained = np.repeat(self.trained, self.n)[sure]
         uniq, back = np.unique(key[sure], return_inverse=True)
+        n = np.bincount(back, weights=trained, minlength=len(uniq)).astype(np.int64)
+        alone = np.setdiff1d(before[self.count[before] > 0], (uniq // width).astype(before.dtype))
+        uniq, n = np.concatenate([uniq, alone.astype(np.uint64) * width + np.uint64(self.end[0])]), np.append(n, np.zeros(len(alone), np.int64))
         c, w = (uniq // width).astype(np.int64), (uniq % width).astype(np.int64)
         mix = self.id[c] * np.uint64(0x9E3779B97F4A7C15)
         hot = self.count[c] * HOT > total
         mix = np.where(hot, (mix ^ self.id[w]) * np.uint64(0xBF58476D1CE4E5B9), mix)
         shard = ((mix >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
         order = np.lexsort((self.id[w], self.id[c], shard))
-        out = c[order], w[order], shard[order], np.bincount(back, weights=trained, minlength=len(uniq)).astype(np.int64)[order]
+        out = c[order], w[order], shard[order], n[order]
         if not inverse:
             return out
         place = np.empty(len(order), np.int64)
@@ -179,6 +187,13 @@ class Read:
         return (*out, each)
 
 
+def starts_of(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows start."""
+    if not len(columns[0]):
+        return np.array([], np.int64)
+    return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([x[1:] != x[:-1] for x in columns])]))
+
+
 def ask_pairs(total: int, shards: int, offset: np.ndarray):
     def run(rows: pa.Table) -> pa.Table:
         b, name = Read(rows, offset), rows["block"][0].as_py()
@@ -186,50 +201,62 @@ def ask_pairs(total: int, shards: int, offset: np.ndarray):
         out, cuts = [], np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
         for i, j in zip(cuts, cuts[1:], strict=False):
             ids = b.id[c[i:j]]
-            heads = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            heads = starts_of(ids)
             out.append((name, "pairs", int(shard[i]), pack(ctx=small(np.diff(ids[heads], prepend=np.uint64(0))), of=small(b.count[c[i:j][heads]]), run=small(np.diff(np.append(heads, j - i))), word=small(b.id[w[i:j]]), n=small(n[i:j]))))
         return table(out)
 
     return run
 
 
-def answer_pairs(sent: pa.Table) -> pa.Table:
-    """One shard: build the trie of the trained pairs and give each block the codes of its pairs; a last row has, by
-    frequency class, distinct successors."""
-    shard, got = sent["shard"][0].as_py(), []
-    for b, d in zip(sent["block"].to_pylist(), sent["data"].to_pylist(), strict=True):
-        x = unpack(d)
-        got.append((b, np.repeat(np.cumsum(x["ctx"].astype(np.uint64)), x["run"]), np.repeat(x["of"], x["run"]), x["word"].astype(np.uint64), x["n"]))
-    ctx, of, word, n = (np.concatenate([x[i][x[4] > 0] for x in got]) for i in (1, 2, 3, 4))
-    order = np.lexsort((word, ctx))
-    ctx, of, word, n = ctx[order], of[order], word[order], n[order].astype(np.int64)
-    heads = np.flatnonzero(np.concatenate([[True], (ctx[1:] != ctx[:-1]) | (word[1:] != word[:-1])])) if len(ctx) else np.array([], np.int64)
-    n = np.add.reduceat(n, heads) if len(heads) else n
-    ctx, of, word = ctx[heads], of[heads].astype(np.float64), word[heads]
-    del order
-    classes = np.bincount(np.log2(of).astype(np.int64), minlength=64) if len(of) else np.zeros(64, np.int64)
-    with tempfile.TemporaryDirectory() as folder:
-        BigramTrie.build(ctx, word, np.log10(n / of) if len(of) else of).save(folder)
-        trie = BigramTrie.load(folder)
-        rows = [(b, "codes", shard, pack(codes=trie.codes_of(c, w))) for b, c, _, w, _ in got]
-    return table([*rows, ("", "classes", shard, pack(t=classes))])
-
-
-def score_blocks(total: int, distinct: int, shards: int, offset: np.ndarray, back: np.ndarray):
+def answer_pairs(total: int):
+    def run(sent: pa.Table) -> pa.Table:
+        """One shard: build the trie of the trained pairs and give each block the codes of its pairs and the numbers of
+        successors of its contexts; a last row has those of the split contexts."""
+        shard, got = sent["shard"][0].as_py(), []
+        for b, d in zip(sent["block"].to_pylist(), sent["data"].to_pylist(), strict=True):
+            x = unpack(d)
+            heads = np.cumsum(x["ctx"].astype(np.uint64))
+            got.append((b, np.repeat(heads, x["run"]), np.repeat(x["of"], x["run"]), x["word"].astype(np.uint64), x["n"], heads))
+        ctx, of, word, n = (np.concatenate([x[i][x[4] > 0] for x in got]) for i in (1, 2, 3, 4))
+        order = np.lexsort((word, ctx))
+        ctx, of, word, n = ctx[order], of[order], word[order], n[order].astype(np.int64)
+        heads = starts_of(ctx, word)
+        n = np.add.reduceat(n, heads) if len(heads) else n
+        ctx, of, word = ctx[heads], of[heads].astype(np.float64), word[heads]
+        del order
+        hot = np.unique(ctx[of * HOT > total])
+        with tempfile.TemporaryDirectory() as folder:  # of this task alone
+            BigramTrie.build(ctx, word, np.log10((n - DISCOUNT) / of) if len(of) else of).save(folder)
+            trie = BigramTrie.load(folder)
+            rows = [(b, "codes", shard, pack(codes=trie.codes_of(c, w), t=small(trie.successors_of(h)))) for b, c, _, w, _, h in got]
+            rows.append(("", "hot", shard, pack(ctx=hot, t=trie.successors_of(hot))))
+        return table(rows)
+
+    return run
+
+
+def score_blocks(total: int, distinct: int, shards: int, offset: np.ndarray, hot: np.ndarray, hot_t: np.ndarray, kind: pa.DataType):
     def run(rows: pa.Table) -> pa.Table:
         b = Read(rows, offset)
-        _, _, shard, _, pair = b.pairs(total, shards, True)
-        codes = np.concatenate([b.answers[s] for s in np.unique(shard)]) if len(shard) else np.zeros(1, np.uint16)
+        c, _, shard, _, pair = b.pairs(total, shards, True)
+        answers = [b.answers[s] for s in np.unique(shard)]
+        codes = np.concatenate([x["codes"] for x in answers]) if answers else np.zeros(1, np.uint16)
+        t = np.zeros(len(b.count))  # distinct successors of each word
+        if answers:
+            t[c[starts_of(shard, c)]] = np.concatenate([x["t"] for x in answers])
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, b.id), len(hot) - 1)
+            t = np.where((hot[at] == b.id) & (b.count > 0), hot_t[at], t)
         p1 = (b.count + 0.5) / (total + 0.5 * (distinct + 1))
         before = np.concatenate([b.end, b.tokens[:-1]])
-        level = np.where(b.count > 0, back[np.log2(np.maximum(b.count, 1)).astype(np.int64)], 1.0)
+        level = np.where(b.count > 0, DISCOUNT * t / np.maximum(b.count, 1), 1.0)
         seen = np.where(pair >= 0, probabilities(codes)[pair], 0.0)
-        p = (1 - level[before]) * seen + level[before] * p1[b.tokens]
+        p = seen + level[before] * p1[b.tokens]
         starts = np.concatenate([[0], np.cumsum(b.n)[:-1]])
         add = lambda x: np.add.reduceat(x, starts)
         base, score, known = add(np.log10(p1)[b.tokens]), add(np.log10(p)), add((b.count[b.tokens] > 0).astype(np.int64))
-        ids = pa.array(b.doc_id, mask=b.null)
-        return pa.table([ids, pa.array(b.held), pa.array(b.n), pa.array(known), pa.array(np.full(len(b.n), total)), pa.array(base), pa.array(score)], schema=SCORES)
+        scores = pa.table([pa.array(b.held), pa.array(b.n), pa.array(known), pa.array(np.full(len(b.n), total)), pa.array(base), pa.array(score)], schema=SCORES)
+        return scores.add_column(0, "doc_id", pa.array(json.loads(b.doc_id.tobytes()), kind))
 
     return run
 
@@ -239,25 +266,28 @@ def score_documents(docs: DataFrame, *, key="doc_id", text="text", held=None, bl
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = F.coalesce(crc_mod(key, 5) == 1 if held is None else held, F.lit(False))
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), out.alias("held"), (F.col(key).isNotNull() & ~out).alias("trained"), F.col(text).alias("text"))
+    named = F.col(key) if isinstance(docs.schema[key].dataType, StringType) else F.col(key).cast("long")
+    kind, sql_kind = (pa.string(), "string") if isinstance(docs.schema[key].dataType, StringType) else (pa.int64(), "long")
+    rows = docs.select(named.alias("doc_id"), out.alias("held"), (F.col(key).isNotNull() & ~out).alias("trained"), F.col(text).alias("text"))
     blocks = materialise(make_blocks(rows, shards, block_tokens))
     counts = materialise(blocks.where("kind = 'words'").groupBy("shard").applyInArrow(vocabulary, ROW))
-    offset, total, distinct, occurrences = np.zeros(shards, np.int64), 0, 0, np.zeros(64)
+    offset, total, distinct = np.zeros(shards, np.int64), 0, 0
     for r in counts.where("kind = 'total'").orderBy("shard").collect():  # a row for each shard
-        got = unpack(bytes(r.data))
-        n, v = map(int, got["t"])
-        occurrences += got["classes"]
+        n, v = map(int, unpack(bytes(r.data))["t"])
         offset[r.shard + 1 :] += v
         total, distinct = total + n, distinct + v
     texts = blocks.where("kind = 'docs'").union(counts.where("kind = 'counts'"))
     asked = texts.groupBy("block").applyInArrow(ask_pairs(total, shards, offset), ROW)
-    codes = materialise(asked.groupBy("shard").applyInArrow(answer_pairs, ROW))
-    successors = np.zeros(64)
-    for r in codes.where("kind = 'classes'").collect():  # a row for each shard
-        successors += unpack(bytes(r.data))["t"]
-    back = np.clip(DISCOUNT * successors / np.maximum(occurrences, 1), 1e-6, 1 - 1e-6)
+    codes = materialise(asked.groupBy("shard").applyInArrow(answer_pairs(total), ROW))
+    successors: dict[int, int] = {}
+    for r in codes.where("kind = 'hot'").toLocalIterator():  # a row for each shard, of at most HOT numbers
+        x = unpack(bytes(r.data))
+        for c, t in zip(x["ctx"].tolist(), x["t"].tolist(), strict=True):
+            successors[c] = successors.get(c, 0) + t
+    hot = np.array(sorted(successors), np.uint64)
     every = texts.union(codes.where("kind = 'codes'"))
-    return every.groupBy("block").applyInArrow(score_blocks(total, distinct, shards, offset, back), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = score_blocks(total, distinct, shards, offset, hot, np.array([successors[c] for c in hot.tolist()]), kind)
+    return every.groupBy("block").applyInArrow(scored, f"doc_id {sql_kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

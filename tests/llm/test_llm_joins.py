@@ -96,20 +96,24 @@ def test_lm_scores_against_plain_counts(spark, tmp_path):
             ctx.update([b"\n", *ts[:-1]])
     n, v = sum(uni.values()), len(uni)
     p1 = lambda w: (uni[w] + 0.5) / (n + 0.5 * (v + 1))
-    succ, occ = Counter(), Counter()
-    for c, _ in bi:
-        succ[int(math.log2(uni[c]))] += 1
-    for w, k in uni.items():
-        occ[int(math.log2(k))] += k
-    back = lambda c: min(max(0.75 * succ[int(math.log2(uni[c]))] / max(occ[int(math.log2(uni[c]))], 1), 1e-6), 1 - 1e-6) if uni[c] else 1.0
+    succ = Counter(c for c, _ in bi)
+    back = lambda c: 0.75 * succ[c] / uni[c] if uni[c] else 1.0
+    assert sum((bi[b"the", w] - 0.75) / uni[b"the"] if (b"the", w) in bi else 0 for w in uni) + back(b"the") == pytest.approx(1)
     for k, t in texts:
         r, ts = rows[k], split(t)
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(k), len(ts), sum(uni[w] > 0 for w in ts), n)
         assert r.base_score == pytest.approx(sum(math.log10(p1(w)) for w in ts), rel=1e-9)
-        want = sum(math.log10((1 - back(c)) * (bi[c, w] / uni[c] if uni[c] else 0) + back(c) * p1(w)) for c, w in zip([b"\n", *ts], ts))
+        want = sum(math.log10((bi[c, w] - 0.75) / uni[c] * ((c, w) in bi) + back(c) * p1(w) if uni[c] else p1(w)) for c, w in zip([b"\n", *ts], ts))
         assert r.score == pytest.approx(want, rel=1e-3)
 
 
+def test_lm_keys_may_be_strings(spark):
+    rows = [(f"d/{i}", f"word{i % 5} and word{i % 3} again") for i in range(60)] + [(None, "a null key"), ("d/1", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    out = lm.score_documents(docs)
+    assert sorted(r.doc_id or "" for r in out.collect()) == sorted(k or "" for k, _ in rows) and out.schema["doc_id"].dataType.simpleString() == "string"
+
+
 def test_myers_against_dynamic_programming():
     rng = np.random.default_rng(3)
     for _ in range(60):
