@@ -9,7 +9,7 @@ algorithm gives the least edit distance of the item to any stretch of the text.
 Defined cases: null or empty texts match nothing; null items and those without characters after folding are skipped; an
 item too short for an edit must stand exactly and not inside a longer word, where its script sets words apart; items
 with a null id are left out by `find_items` only; repeated items match under each id; repeated documents give a row each; empty tables give no rows. Extra columns
-are ignored by `find_items` and kept by `decontaminate`.
+are ignored by `find_items` and kept by `decontaminate`. Ids of items are integers or strings.
 """
 
 from collections import defaultdict
@@ -19,12 +19,10 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .shared import free_names, read
 
-HIT = "array<struct<item_id: long, distance: int, start: int, stop: int>>"
-KIND = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())]))
-
 
 def fold(text: str | None) -> str:
     return " ".join(text.lower().split()) if text else ""
@@ -114,7 +112,7 @@ class Matcher:
                     best = (d, max(0, a + end - len(t)), a + end)
             if best[0] <= budget:
                 out.append((item, *best))
-        return sorted(out, key=lambda h: (h[0] is not None, h[0] or 0, h[1:]))
+        return sorted(out, key=lambda h: (h[0] is not None, h[0] or type(h[0] or 0)(), h[1:]))
 
     @staticmethod
     def _windows(starts: list[int], n: int, budget: int) -> Iterator[tuple[int, int]]:
@@ -131,30 +129,39 @@ class Matcher:
             yield a - budget, b + n + budget
 
 
-def item_blocks(items: DataFrame, *, key="item_id", text="text", block_chars: int = 2_000_000) -> Iterator[list[tuple[int, str]]]:
+def is_text(items: DataFrame, key: str) -> bool:
+    return isinstance(items.schema[key].dataType, StringType)
+
+
+def item_blocks(items: DataFrame, *, key="item_id", text="text", block_chars: int = 2_000_000) -> Iterator[list[tuple]]:
     """Folded items, a bounded block at a time."""
-    rows = items.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("t is not null")
+    k = F.col(key) if is_text(items, key) else F.col(key).cast("long")
+    rows = items.select(k.alias("k"), F.col(text).alias("t")).where("t is not null")
     total = rows.agg(F.sum(F.char_length("t"))).first()[0] or 0
     n = total // block_chars + 1
     for i in range(n):
         block = rows.where(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == i).collect()
-        yield sorted(((r.k, t) for r in block if (t := fold(r.t))), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        yield sorted(((r.k, t) for r in block if (t := fold(r.t))), key=lambda x: (x[0] is not None, x[0] or type(x[0] or 0)(), x[1]))
+
 
+def add_hits(docs: DataFrame, block: list[tuple], rate: float, *, text="text", out="hits", text_ids: bool = False) -> DataFrame:
+    names = ("item_id", "distance", "start", "stop")
+    kind = pa.list_(pa.struct([("item_id", pa.string() if text_ids else pa.int64()), *((x, pa.int32()) for x in names[1:])]))
 
-def add_hits(docs: DataFrame, block: list[tuple[int, str]], rate: float, *, text="text", out="hits") -> DataFrame:
     def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = Matcher(block, rate)
         for a in it:
-            yield pa.array([[dict(zip(("item_id", "distance", "start", "stop"), h, strict=True)) for h in m.search(fold(x.as_py()))] for x in a], KIND)
+            yield pa.array([[dict(zip(names, h, strict=True)) for h in m.search(fold(x.as_py()))] for x in a], kind)
 
-    return docs.withColumn(out, F.arrow_udf(run, HIT)(text))
+    return docs.withColumn(out, F.arrow_udf(run, f"array<struct<item_id: {'string' if text_ids else 'long'}, distance: int, start: int, stop: int>>")(text))
 
 
 def find_items(docs: DataFrame, items: DataFrame, *, key="doc_id", text="text", rate: float = 0.08) -> DataFrame:
     """doc_id, item_id, distance, start, stop for each document and item within its budget."""
     found = None
     for block in item_blocks(items.where("item_id is not null")):
-        hits = add_hits(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), block, rate).select("doc_id", F.inline("hits"))
+        rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+        hits = add_hits(rows, block, rate, text_ids=is_text(items, "item_id")).select("doc_id", F.inline("hits"))
         found = hits if found is None else found.union(hits)
     return found
 
@@ -163,7 +170,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text="text", rate: float
     """The documents in which no item is found, all columns kept."""
     (hits,) = free_names(docs, "_hits")
     for block in item_blocks(items):
-        docs = add_hits(docs, block, rate, text=text, out=hits).where(F.size(hits) == 0).drop(hits)
+        docs = add_hits(docs, block, rate, text=text, out=hits, text_ids=is_text(items, "item_id")).where(F.size(hits) == 0).drop(hits)
     return docs
 
 

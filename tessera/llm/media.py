@@ -7,7 +7,8 @@ and computes features; `resolve_media` joins both by digest, once for each diges
 
 Defined cases: a null page or text counts as empty; an empty page gives no items; references without a payload stay,
 with nulls; repeated payloads are stored under one digest and resolve for every reference; unclosed tags end with their
-parent or the page. Extra columns are kept by parse_interleaved (as `doc` columns) and ignored by the query.
+parent or the page. Extra columns are kept by parse_interleaved, but for one named as `out`, which is replaced; the query
+ignores them.
 """
 
 import hashlib
@@ -174,6 +175,11 @@ def resolve_media(items: DataFrame, media: DataFrame, *, ref="ref") -> DataFrame
     return items.withColumn("digest", F.regexp_extract(F.coalesce(ref, F.lit("")), "^sha256:([0-9a-f]{64})$", 1)).join(media, "digest", "left")
 
 
+def interleaved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole pages as interleaved sequences: a row for each item in its place. The pages here refer to no payload."""
+    return parse_interleaved(read(spark, sf_dir, "pages")).select("page_id", F.explode("items").alias("i")).select("page_id", "i.*")
+
+
 def op1_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document becomes a page with its payload as the figure; the page is parsed and its reference resolved."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).cast("long").alias("n_bytes"), payload_column("text").alias("payload"))

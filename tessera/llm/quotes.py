@@ -13,7 +13,7 @@ neither a long conversation nor an often repeated text is gathered or paired up.
 Defined cases: null and empty texts have no quotes; a null conversation is one of its own; a message with a null turn
 neither replies nor is replied to; messages that share conversation and turn are one place in the order and share a
 reply (the latest of theirs); a quote that no earlier message has leaves no link; an empty table gives an empty result.
-Extra columns are kept.
+Extra columns are kept; one named as an output (quoted_lines, quote_level, reply_to, root_turn, depth) is replaced.
 """
 
 from __future__ import annotations
@@ -91,6 +91,7 @@ def link_quotes(messages: DataFrame, *, conv="conv_id", turn="turn", text="text"
 
     Ordered by (conv, root_turn, turn) they are the reply-ordered conversations.
     """
+    messages = messages.drop(*({c for c in messages.columns if c.lower() in ("quoted_lines", "quote_level", "reply_to", "root_turn", "depth")} - {conv, turn, text}))
     rows = messages.select(F.coalesce(F.xxhash64(F.when(F.col(conv).isNotNull(), F.col(conv).cast("string"))), F.lit(0)).alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(text).alias("text"))
     quoted = materialise(quoted_units(rows.where("turn is not null")))
     wanted = original_units(rows).join(quoted.select("conv", "h").distinct(), ["conv", "h"], "left_semi")

@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_line_dedup": linededup.op10_line_dedup,
+    "interleaved_pages": media.interleaved_pages,
 }
 SQL = {
     "op2_quote_links": quotes.OP2_SQL,

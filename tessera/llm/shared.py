@@ -112,11 +112,16 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterato
         yield batch.slice(start)
 
 
-def bounded_sample(df: DataFrame, group: str, key: str, most: int) -> DataFrame:
-    """At most `most` rows of each group, those with the least key hashes. Counts first narrow the hash range, so that
-    about 4 * most rows of a group at the utmost meet in one task."""
-    n = df.groupBy(group).agg(F.count("*").alias("_n"))
-    share = (F.shiftrightunsigned(F.xxhash64(key), 11) / F.lit(float(1 << 53))).alias("_u")
-    near = df.join(n, group).withColumn("_u", share).where(F.col("_u") * F.col("_n") < 4 * most)
+def bounded_sample(df: DataFrame, group: str, key: str, most: int, most_groups: int = 1000) -> DataFrame:
+    """At most `most` rows of each group, those with the least key hashes. Counts of the groups first narrow the hash
+    range, before the shuffle, so that about 1.5 * most rows of a group meet in one task. An error beyond most_groups."""
+    n = df.groupBy(group).agg(F.count("*").alias("n")).limit(most_groups + 1).collect()
+    if len(n) > most_groups:
+        raise ValueError(f"more than {most_groups} values of {group}")
+    if not n:
+        return df
+    share = F.shiftrightunsigned(F.xxhash64(key), 11) / F.lit(float(1 << 53))
+    counts = F.create_map(*[F.lit(x) for r in n for x in (r[group], float(r.n))])
+    near = df.withColumn("_u", share).where(F.col("_u") * counts[F.col(group)] < 1.5 * most + 50)
     order = Window.partitionBy(group).orderBy("_u", key)
-    return near.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= most).drop("_n", "_u", "_rn")
+    return near.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= most).drop("_u", "_rn")

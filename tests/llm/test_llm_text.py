@@ -1,7 +1,11 @@
 """op1, op2, op5, op6 and op9 against brute force, round trips and held-out accuracy."""
 
 import hashlib
+import itertools
+import random
+import re
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -49,6 +53,68 @@ def test_interleaving_keeps_order_and_captions():
     assert media.interleave(None) == media.interleave("") == []
 
 
+def test_references_resolve_in_place(spark):
+    import wave
+
+    payloads = [b"one" + bytes(61), b"two" + bytes(61)]
+    names = [f"sha256:{hashlib.sha256(p).hexdigest()}" for p in payloads]
+    html = [
+        f"<p>a<figure><img src='{names[0]}' alt=x><figcaption>first</figcaption></figure>b<img src='{names[1]}' alt='second'><img src='{names[0]}'><img src=http://far alt=y></p>c",
+        None, "", "<<p <img src='x' <figure><figcaption>open", "<template><img src=z></template><figure><figcaption>alone</figcaption></figure>",
+    ]
+    pages = spark.createDataFrame([(i, h, "clash", 7) for i, h in enumerate(html)], "page_id long, html string, items string, digest int")
+    stored = media.read_media(media.store_media(spark.createDataFrame([(p,) for p in [*payloads, payloads[0]]], "payload binary")))
+    items = media.parse_interleaved(pages).selectExpr("page_id", "inline(items)")
+    rows = sorted(media.resolve_media(items, stored).where("page_id = 0").select("position", "kind", "text", "ref", "caption", "payload_sha256").collect())
+    far = ("http://far", "y", None)
+    refs = [(names[0], "first", names[0][7:]), (names[1], "second", names[1][7:]), (names[0], None, names[0][7:]), far]
+    assert [tuple(r) for r in rows] == [(0, "text", "a", None, None, None), (1, "media", None, *refs[0]), (2, "text", "b", None, None, None), *((3 + i, "media", None, *x) for i, x in enumerate(refs[1:])), (6, "text", "c", None, None, None)]
+    assert {(r.page_id, r.text) for r in items.where("page_id in (1, 2, 4)").collect()} == {(4, "alone")}
+    with wave.open(__import__("io").BytesIO(media.encode_wav(payloads[0]))) as w:
+        x = list(w.readframes(64))
+    got = stored.where(f"payload_sha256 = '{names[0][7:]}'").first()
+    signs = [v < 128 for v in x]
+    assert got.feature == f"wav8k1;n=64;sum={sum(x)};energy={sum((v - 128) ** 2 for v in x)};peak={max(abs(v - 128) for v in x)};crossings={sum(a != b for a, b in zip(signs, signs[1:]))}"
+
+
+def brute_replies(rows):
+    """For each (conv, turn) the turn it replies to, by the rules in the module's text."""
+    norm = lambda x: re.sub(r"\s+", " ", x.lower()).strip()
+    level = lambda x: re.match(r"(?:[ \t]*>)*", x)[0].count(">")
+    body = lambda x: re.sub(r"^(?:[ \t]*>)+", "", x)
+    facts, asks = set(), []
+    for c, t, text in rows:
+        lines = text.split("\n")
+        own = "\n".join(x for i, x in enumerate(lines) if not level(x) and not (re.fullmatch(r"(?i)[ \t]*\S.{0,200} wrote:[ \t]*", x) and i + 1 < len(lines) and level(lines[i + 1])))
+        facts |= {(c, norm(u), t) for u in [own, *re.split(r"\n\s*\n", own), *own.split("\n")] if norm(u)}
+        quoted = [(level(x), body(x)) for x in lines]
+        runs = [[y for _, y in g] for k, g in itertools.groupby(quoted, key=lambda x: x[0]) if k]
+        asks += [(c, t, norm(u)) for u in ["\n".join(r) for r in runs] + [y for k, y in quoted if k] if norm(u)]
+    weight = Counter()
+    for c, t, u in asks:
+        if earlier := [f for k, v, f in facts if (k, v) == (c, u) and f < t]:
+            weight[c, t, max(earlier)] += len(u)
+    out = {}
+    for (c, t, f), n in weight.items():
+        out[c, t] = max(out.get((c, t), (0, 0)), (n, f))
+    return {k: v[1] for k, v in out.items()}
+
+
+def test_quotes_against_brute_force(spark):
+    rng = random.Random(11)
+    parts, rows = ["Yes", "no way", "some  Longer line", "see you", "why?"], []
+    for c in range(12):
+        for t in range(rng.randrange(1, 9)):
+            lines = [rng.choice(["", "", "> ", ">> ", " >"]) + rng.choice(parts) for _ in range(rng.randrange(1, 6))]
+            rows.append((c, t, "\n".join(lines if rng.random() < 0.7 else ["Ann wrote:", *lines])))
+    rows.append((99, 0, "a long line " * 20_000))
+    rows.append((99, 1, "> " + "a long line " * 20_000 + "\nright"))
+    want = brute_replies(rows)
+    docs = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "conv_id long, turn long, text string, depth int, reply_to int, quote_level string")
+    got = {(r.conv_id, r.turn): r.reply_to for r in quotes.link_quotes(docs).collect() if r.reply_to is not None}
+    assert got == want and len(want) > 10
+
+
 def test_quotes_link_to_the_latest_earlier_message(spark):
     rows = [
         ("c", 0, "u", "Hello there\n\nsecond paragraph", 1), ("c", 1, "a", "> hello   THERE\nfine", 1), ("c", 2, "u", "Ann wrote:\n>> Hello there\n> fine\nthanks", 1),
@@ -72,6 +138,16 @@ def test_languages_held_out(spark, empty):
     assert language.op5_language_id(spark, empty).count() == 0
 
 
+def test_language_of_repeated_rows_and_clashing_names(spark):
+    texts = {"en": "the cat and the dog of the house", "xx": "zqo vrr klo zqo mmp"}
+    rows = [(i, t, k, "clash") for i in range(60) for k, t in texts.items()] + [(7, texts["en"], "en", "clash")] * 50 + [(None, "zqo vrr", None, "x"), (3, "123 !", "en", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, language string")
+    out = language.identify(docs, language.train_languages(docs, per_lang=20)).collect()
+    assert len(out) == len(rows) and all(r.language.lang == (r.lang if r.text in texts.values() else "xx" if "zqo" in r.text else "und") for r in out)
+    with pytest.raises(ValueError):
+        language.train_languages(docs, max_langs=1)
+
+
 def test_language_of_odd_texts(spark, odd):
     rows = language.op5_language_id(spark, odd).collect()
     assert len(rows) == len(TEXTS) and {r.lang_pred for r in rows} == {"und"}  # nothing to learn from
