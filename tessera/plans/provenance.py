@@ -88,14 +88,41 @@ def explanations(spark, d):
     return read(spark, d, "events").select("event_id", F.array_join(x, "; ").alias("says"))
 
 
-@query("""select event_id, case when event_id % 2000 >= 1024 then case when (event_id % 90) / 100.0 > 0.72 then 'SDXL (Stable Diffusion XL)' when event_id * 13 % 1000 > 700 then 'Midjourney v6' else 'SDXL / FLUX' end when event_id * 13 % 1000 > 800 and event_id % 150 > 100 then 'Midjourney' when (event_id % 100) / 100.0 > 0.96 and event_id * 13 % 1000 > 500 then 'FLUX.1'
+@query("""select event_id, case when event_id % 7 = 0 then case event_id % 4 when 0 then 'Google Gemini (Imagen 2)' when 1 then 'ChatGPT (DALL-E 3)' when 2 then 'Midjourney' else 'AI Generator (imagen 2)' end when event_id % 2000 >= 1024 then case when (event_id % 90) / 100.0 > 0.72 then 'SDXL (Stable Diffusion XL)' when event_id * 13 % 1000 > 700 then 'Midjourney v6' else 'SDXL / FLUX' end when event_id * 13 % 1000 > 800 and event_id % 150 > 100 then 'Midjourney' when (event_id % 100) / 100.0 > 0.96 and event_id * 13 % 1000 > 500 then 'FLUX.1'
 when event_id % 150 > 80 and event_id * 13 % 1000 < 600 then 'Stable Diffusion 1.5/2.1' when event_id * 13 % 1000 < 300 then 'DALL-E 3' else 'Stable Diffusion / Midjourney' end as generator from events""")
 def likely_generator(spark, d):
     i = F.col("event_id")
-    g = provenance.likely_generator(F.lit("None"), F.lit(0.0), i % 2000, F.lit(100), (i % 90) / 100.0, (i % 100) / 100.0, i * 13 % 1000, i % 150)
+    who = F.element_at(F.array(*[F.lit(x) for x in ("Google Gemini", "OpenAI ChatGPT", "Midjourney", "AI Generator")]), (i % 4 + 1).cast("int"))
+    provider = F.when(i % 7 == 0, who).otherwise("None")
+    g = provenance.likely_generator(provider, F.when(i % 7 == 0, 0.9).otherwise(0.0), F.lit("imagen 2"), long_edge=F.greatest(i % 2000, F.lit(100)), high_freq=(i % 90) / 100.0, ratio=(i % 100) / 100.0, texture=i * 13 % 1000, saturation=i % 150)
     return read(spark, d, "events").select("event_id", g.alias("generator"))
 
 
+#: Credentials made from events: (claim generator, software agent, action, other text), written or not.
+CLAIMS = """case event_id % 5 when 0 then '"claim_generator": "make_' || event_type || '/1.0", ' when 1 then 'claimGenerator=' || event_type || ' ' else '' end || case event_id % 4 when 0 then '"softwareAgent": "Agent ' || event_type || '", ' when 1 then 'by ChatGPT ' else '' end
+|| case event_id % 3 when 0 then '"action": "c2pa.' || event_type || '" ' else '' end || case event_id % 6 when 0 then 'urn:trainedAlgorithmicMedia ' when 1 then 'OpenAI ' when 2 then 'Google ' else '' end || case when event_id % 8 = 7 then 'nothing' else 'C2PA jumbf' end"""
+
+
+@query(f"""with e as (select event_id, event_type, {CLAIMS} as t from events)
+select event_id, case event_id % 5 when 0 then 'make_' || event_type || '/1.0' when 1 then event_type else case event_id % 6 when 1 then 'OpenAI' when 2 then 'Google' end end as claim_generator, case event_id % 4 when 0 then 'Agent ' || event_type when 1 then 'ChatGPT' end as software_agent,
+case event_id % 3 when 0 then 'c2pa.' || event_type end as action, case when event_id % 6 = 0 then 'trainedAlgorithmicMedia' end as digital_source_type, event_id % 6 = 0 or event_id % 4 = 1 or (event_id % 5 > 1 and event_id % 6 in (1, 2)) as is_ai_generated from e where event_id % 8 <> 7 or event_id % 3 = 0""")
+def content_credentials(spark, d):
+    e = read(spark, d, "events").select("event_id", "event_type", F.expr(CLAIMS).alias("t"))
+    return e.select("event_id", provenance.credentials(F.col("t")).alias("c")).where("c is not null").select("event_id", "c.*")
+
+
+@query("""select event_id, (case when event_id % 2 = 0 then 3 else 19 end)::int as field_count, 'Exposure Time,Make' as camera_fields, event_id % 2 = 0 as gps, case when event_id % 6 = 3 then 'midjourney' else '' end as ai_terms,
+case when event_id % 2 = 0 then 'Exposure Time,GPSInfo,Make' when event_id % 3 = 0 then 'Exposure Time,Make,note' else 'Exposure Time,Make' end as shown from events""")
+def metadata_summaries(spark, d):
+    i, pair = F.col("event_id"), lambda k, v: F.struct(F.lit(k).alias("k"), v.alias("v"))
+    base = [pair("Make", F.col("event_type")), pair("Exposure Time", F.lit("1/60"))]
+    many = [pair(f"x{n:02}", F.lit("y")) for n in range(16)] + [pair("note", F.when(i % 3 == 0, "made in Midjourney").otherwise("plain"))]
+    few = [pair("GPSInfo", F.when(i % 3 == 0, "midjourney").otherwise("12.5"))]
+    fields = F.map_from_entries(F.when(i % 2 == 0, F.array(*base, *few)).otherwise(F.array(*base, *many)))
+    c = read(spark, d, "events").select("event_id", provenance.metadata_summary(fields).alias("c"))
+    return c.select("event_id", "c.field_count", F.array_join("c.camera_fields", ",").alias("camera_fields"), "c.gps", F.array_join("c.ai_terms", ",").alias("ai_terms"), F.array_join(F.map_keys("c.fields"), ",").alias("shown"))
+
+
 @query("select event_id, substr(coalesce(nullif(trim(json_extract_string(props, '$.name')), ''), props, ''), 1, 20) as flat from events")
 def json_flatten(spark, d):
     return read(spark, d, "events").select("event_id", T.flat_text(F.col("props"), 20).alias("flat"))
