@@ -5,7 +5,7 @@ differing bits link. If parts of the 64 bits have thresholds t with sum(t + 1) =
 differ in at most t bits of some part. Correlated bits are grouped into the same part; the number of parts and the
 thresholds come from dynamic programming on estimated probes and candidates, from bit counts over all fingerprints.
 Each fingerprint probes every part with its value and the values within t bits of it; hits are verified by bit count.
-Only distinct fingerprints are joined, so copies cost nothing; components need no pair of copies.
+Only distinct fingerprints are joined, so copies cost nothing; dense groups are joined by stars before any pairs are made.
 
 Defined cases: a null or empty text, or one of blanks only, has fingerprint 0, linked like any other; fewer words than
 a shingle form one shingle; equal texts share a fingerprint; a null key is ignored when a component is named (null if
@@ -127,8 +127,8 @@ def signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def link_fingerprints(fps: DataFrame, bits: int = 3) -> DataFrame:
-    """Pairs a < b of distinct fingerprints (column fp) that differ in at most `bits` bits, each once."""
+def probes_and_index(fps: DataFrame, bits: int) -> tuple[DataFrame, DataFrame, list]:
+    """Rows (a, part, value) of all probes and (b, part, value) of the index, and the plan of parts and thresholds."""
     n, both = bit_counts(fps)
     plan = allocate(n, both, bits)
     index, probe = [], []
@@ -137,13 +137,35 @@ def link_fingerprints(fps: DataFrame, bits: int = 3) -> DataFrame:
         flips = [signed(sum(1 << i for i in c)) for r in range(t + 1) for c in combinations(part, r)]
         index.append(F.struct(F.lit(k).alias("part"), value.alias("value")))
         probe += [F.struct(F.lit(k).alias("part"), value.bitwiseXOR(F.lit(f)).alias("value")) for f in flips]
-    left = fps.select(F.col("fp").alias("a"), F.inline(F.array(*probe)))
-    right = fps.select(F.col("fp").alias("b"), F.inline(F.array(*index)))
+    kept = [c for c in fps.columns if c != "fp"]
+    left = fps.select(F.col("fp").alias("a"), *[F.col(c).alias(f"a_{c}") for c in kept], F.inline(F.array(*probe)))
+    return left, fps.select(F.col("fp").alias("b"), *[F.col(c).alias(f"b_{c}") for c in kept], F.inline(F.array(*index))), plan
+
+
+def link_fingerprints(fps: DataFrame, bits: int = 3) -> DataFrame:
+    """Pairs a < b of distinct fingerprints (column fp) that differ in at most `bits` bits, each once; where fps has a
+    column comp, only pairs of different ones."""
+    left, right, plan = probes_and_index(fps, bits)
     x = F.col("a").bitwiseXOR(F.col("b"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(x) <= bits) & F.col("part").eqNullSafe(first_part(plan, x))
+    if "comp" in fps.columns:
+        near = near & (F.col("a_comp") != F.col("b_comp"))
     return left.join(right, ["part", "value"]).where(near).select("a", "b")
 
 
+def fingerprint_components(fps: DataFrame, bits: int = 3) -> DataFrame:
+    """node, component of the distinct fingerprints that link. Each is first held against the least fingerprint of every
+    value that it probes, which joins most of a dense group by one pair for each member; then only pairs that this left
+    in different components are looked for, all of them."""
+    left, right, _ = probes_and_index(fps, bits)
+    heads = right.groupBy("part", "value").agg(F.min("b").alias("b"))
+    near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
+    star = materialise(left.join(heads, ["part", "value"]).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    comps = connected_components(star)
+    named = materialise(fps.join(comps, fps.fp == comps.node, "left").select("fp", F.coalesce("component", "fp").alias("comp")))
+    return connected_components(star.union(link_fingerprints(named, bits)))
+
+
 def first_part(plan: list[tuple[list[int], int]], x: Column) -> Column:
     """The first part by which a pair with difference x is found; a pair is taken from that part only."""
     within = [(k, F.bit_count(x.bitwiseAND(F.lit(signed(sum(1 << i for i in part))))) <= t) for k, (part, t) in enumerate(plan)]
@@ -154,7 +176,7 @@ def near_duplicates(docs: DataFrame, *, key="doc_id", text="text", size: int = 3
     """doc_id, th (hash of the text), fp, fingerprint (hex), component_id for each document."""
     marked = materialise(add_fingerprint(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), size=size).select("doc_id", "fp", F.xxhash64("text").alias("th")))
     classes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    comps = connected_components(link_fingerprints(classes.select("fp"), bits))
+    comps = fingerprint_components(classes.select("fp"), bits)
     named = classes.join(comps, classes.fp == comps.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("comp"))
     least = named.groupBy("comp").agg(F.min("first").alias("component_id"))
     by_fp = named.join(least, "comp").select("fp", "component_id")

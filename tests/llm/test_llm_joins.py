@@ -61,6 +61,19 @@ def test_links_lose_none(spark):
     assert sorted((r.a, r.b) for r in got) == [(a, b) for a, b in combinations(fps, 2) if bin(a ^ b).count("1") <= 3]
 
 
+def test_dense_groups_join_by_few_pairs(spark):
+    near = [5 ^ (1 << i) ^ (1 << j) for i in range(40) for j in range(i, 40)]  # any two differ in at most 4 bits
+    chain = [1 << 60, (1 << 60) | 7, (1 << 60) | 63, (1 << 60) | 511]  # each 3 bits from the next
+    fps = sorted({*near, *chain})
+    got = {r.node: r.component for r in simhash.fingerprint_components(spark.createDataFrame([(x,) for x in fps], "fp long")).collect()}
+    comp = {x: x for x in fps}
+    links = [(a, b) for a, b in combinations(fps, 2) if bin(a ^ b).count("1") <= 3]
+    while any(comp[a] != comp[b] for a, b in links):
+        for a, b in links:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    assert {x: got.get(x, x) for x in fps} == comp
+
+
 def test_keep_first_leaves_one_of_each_group(spark, tmp_path):
     docs = spark.read.parquet(f"{table(spark, tmp_path, ODD)}/documents.parquet")
     out = simhash.keep_first(docs)
