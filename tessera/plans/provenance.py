@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import binary, provenance, text as T
 from ..operators import learning, reports
+from ..session import shared_folder
 from ..streaming import resumable
 from .views import SQL_SCORES, read, scores
 
@@ -184,7 +185,7 @@ def content_fingerprint(spark, d):
 def resumable_append(spark, d):
     """Events as a stream: deduplicated by id within an hour, appended until nothing is left, then read."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema
-    top = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/tessera").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    top = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     s = resumable.deduplicated(resumable.arrivals(spark, d, schema, glob="events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), ["event_id"], "ts", "1 hour")
     resumable.run_available(s.select("event_id", "user_id", "event_type"), f"{top}/out", f"{top}/state")
     return spark.read.schema("event_id long, user_id long, event_type string").parquet(f"{top}/out")

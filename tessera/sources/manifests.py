@@ -1,11 +1,13 @@
 """Manifest readers and writers. Schemas are explicit; bad lines go where they can be seen or dropped on request."""
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..operators.manifest import conflicting_labels, leaks
 from ..schemas import CORPUS_CSV, MANIFEST, SCORES, SPLITS
 
 #: Readers by name; a source is a function (spark, path) -> DataFrame.
@@ -85,3 +87,65 @@ def write_split(df: DataFrame, path: str, by: Sequence[str] = ("split", "label")
 def write_sorted(df: DataFrame, path: str, order: Sequence[str] = ("split", "label", "path")) -> None:
     """A manifest in order over several files: their names follow the order."""
     df.orderBy(*order).write.mode("overwrite").json(path)
+
+
+def manifest_rows(spark: SparkSession, path: str, corpus: str, listing: DataFrame | None = None, split: str | None = None, group: str = "source_key") -> DataFrame:
+    """A corpus' JSONL manifest with its defaults: rows of one split if named, of files that the listing (path) has."""
+    rows = standard(read_jsonl(spark, path), corpus, group).where("path is not null")
+    rows = rows.where(F.col("split") == split) if split else rows
+    return rows.join(listing.select("path").distinct(), "path", "left_semi") if listing is not None else rows
+
+
+def listed(listing: DataFrame, pattern: str, limit: int = 0) -> DataFrame:
+    """Names that match a pattern, in order, the first `limit` of them if that is not 0; an error if none does."""
+    rows = listing.where(F.col("name").rlike(pattern)).orderBy("name")
+    if rows.isEmpty():
+        raise ValueError(f"nothing matches {pattern}")
+    return rows.limit(limit) if limit else rows
+
+
+def either(*sources: DataFrame) -> DataFrame:
+    """All rows of some sources, of which some may be empty; an error if all are."""
+    out = sources[0]
+    for s in sources[1:]:
+        out = out.unionByName(s)
+    if out.isEmpty():
+        raise ValueError("no source has a row")
+    return out
+
+
+def split_or_all(tree: DataFrame, split: str) -> DataFrame:
+    """Rows of a tree whose path has the split as a folder, or the whole tree if none has."""
+    of_split = tree.where(F.col("path").rlike(f"/{split}/"))
+    return tree if of_split.isEmpty() else of_split
+
+
+def folder_size(files: DataFrame, ignore: Sequence[str]) -> DataFrame:
+    """files, bytes and ignored of a listing (name, length): one row. Patterns are globs over names."""
+    glob = lambda g: "^" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in g) + "$"
+    off = F.coalesce(F.col("name").rlike("|".join(map(glob, ignore))), F.lit(False)) if ignore else F.lit(False)
+    return files.agg(F.count_if(~off).alias("files"), F.coalesce(F.sum(F.when(~off, F.col("length"))), F.lit(0)).alias("bytes"), F.count_if(off).alias("ignored"))
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """Metrics files of one JSON value each."""
+    return spark.read.option("multiLine", True).json(path)
+
+
+def write_guarded(df: DataFrame, path: str, order: Sequence[str] = ("split", "label", "path")) -> None:
+    """write_sorted, refused while content has two labels or stands in train and elsewhere."""
+    conflicts, leaked = conflicting_labels(df).count(), leaks(df).count()
+    if conflicts or leaked:
+        raise ValueError(f"{conflicts} contents with conflicting labels, {leaked} rows leaked from train")
+    write_sorted(df, path, order)
+
+
+def write_report(df: DataFrame, path: str, without: Sequence[str] = ("preview",)) -> None:
+    """A table as CSV with a header, without columns that are only for show."""
+    df.drop(*without).write.mode("overwrite").option("header", True).csv(path)
+
+
+def stamped(df: DataFrame, stamp: str) -> DataFrame:
+    """Rows without an encoding stamp get it, and keep the hash that they had as source_sha256, the first one for ever."""
+    bare = F.coalesce(F.col("encoding"), F.lit("")) == ""
+    return df.withColumns({"source_sha256": F.coalesce("source_sha256", F.when(bare, F.col("sha256"))), "encoding": F.when(bare, stamp).otherwise(F.col("encoding"))})
