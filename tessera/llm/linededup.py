@@ -130,7 +130,8 @@ def prefix_pairs(classes: DataFrame, settled: DataFrame, table: Column) -> DataF
     v, u = F.col("l.v"), F.col("r.v")
     position = F.least(size(v) - place(v), size(u) - place(u)) * 9 >= (size(v) + size(u)) * 4
     either = F.greatest(v % 2, u % 2) == 1
-    near = may_match(size(v), size(u), F.struct("l.x", "l.y"), F.struct("r.x", "r.y")) & position & either
+    # the cheap conditions first: they settle most pairs
+    near = either & position & may_match(size(v), size(u), F.struct("l.x", "l.y"), F.struct("r.x", "r.y"))
     return l.join(r, (F.col("l.t") == F.col("r.t")) & (F.col("l.c") < F.col("r.c")) & near).select(F.col("l.c").alias("a"), F.col("r.c").alias("b")).distinct()
 
 
