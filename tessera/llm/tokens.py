@@ -35,7 +35,7 @@ PLAIN = regex.compile(r"[\t-\r\x20-\x7e\xa1-\xac\xae-ɏ‐-―‘-‟•…€
 #: A boundary for certain: one space between two other characters.
 CUT = regex.compile(r"(?<=\S) (?=\S)")
 BLANKS = regex.compile(r"[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*")
-PART, KNOWN, SHORT = 1_000_000, 600_000, 64  #: characters split at once; pieces remembered, of so many characters at most
+PART, KNOWN, SHORT = 1_000_000, 1_200_000, 64  #: characters split at once; pieces remembered, of so many characters at most
 
 
 def byte_letters() -> dict[int, str]:
