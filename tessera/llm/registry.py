@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, linededup, lm, media, mixing, quotes, simhash, tokens, toxicity
+from . import decontaminate, interactions, language, linededup, lm, media, mixing, quotes, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_interleaved_media": media.op1_interleaved_media,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_line_dedup": linededup.op10_line_dedup,
+    "op11_filter_interactions": interactions.op11_filter_interactions,
     "interleaved_pages": media.interleaved_pages,
 }
 SQL = {
     "op2_quote_links": quotes.OP2_SQL,
     "op7_mix_sources": mixing.OP7_SQL,
     "op10_line_dedup": linededup.OP10_SQL,
+    "op11_filter_interactions": interactions.OP11_SQL,
 }
