@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, interactions, language, linededup, lm, media, mixing, quotes, simhash, tokens, toxicity
+from . import decontaminate, interactions, language, linededup, lm, media, mixing, quotes, simhash, tokens, toxicity, vectors
 
 QUERIES = {
     "op1_interleaved_media": media.op1_interleaved_media,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_line_dedup": linededup.op10_line_dedup,
     "op11_filter_interactions": interactions.op11_filter_interactions,
+    "op12_near_vectors": vectors.op12_near_vectors,
     "interleaved_pages": media.interleaved_pages,
 }
 SQL = {
@@ -23,4 +24,5 @@ SQL = {
     "op7_mix_sources": mixing.OP7_SQL,
     "op10_line_dedup": linededup.OP10_SQL,
     "op11_filter_interactions": interactions.OP11_SQL,
+    "op12_near_vectors": vectors.OP12_SQL,
 }
