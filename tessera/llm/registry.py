@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, interactions, language, linededup, lm, media, mixing, quotes, simhash, tokens, toxicity, vectors
+from . import decontaminate, interactions, language, linededup, lm, media, mixing, negatives, quotes, simhash, tokens, toxicity, vectors
 
 QUERIES = {
     "op1_interleaved_media": media.op1_interleaved_media,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_line_dedup": linededup.op10_line_dedup,
     "op11_filter_interactions": interactions.op11_filter_interactions,
     "op12_near_vectors": vectors.op12_near_vectors,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
     "interleaved_pages": media.interleaved_pages,
 }
 SQL = {
@@ -25,4 +26,5 @@ SQL = {
     "op10_line_dedup": linededup.OP10_SQL,
     "op11_filter_interactions": interactions.OP11_SQL,
     "op12_near_vectors": vectors.OP12_SQL,
+    "op13_hard_negatives": negatives.OP13_SQL,
 }
