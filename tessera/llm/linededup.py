@@ -1,20 +1,23 @@
 r"""Line dedup by an exact set-similarity join (DataFrame functions only).
 
-A line is the set of its lower-cased words, compared as 32-bit hashes; lines without words are left alone, and those of
-fewer than `least` words too (1, which is none, in the query and in the pipeline). A line goes if an earlier line, in the
-order of (key, text hash, position), has a Jaccard similarity of 0.8 or more. Lines that are equal but for case form a
-class, named by a 64-bit hash; only classes are joined, so copies of a line make no pairs.
-
-1. A class holds its first line, its words and their parity bits, in a table bucketed by class. Words are counted in
-   2^16 hash buckets over all classes; a word's rarity is the logarithm of its bucket's count.
+A line is the set of its lower-cased words; lines without words are left alone, and those of fewer than `least` words
+too (1, which is none, in the query and in the pipeline). A line goes if an earlier line, in the order of (key, text
+hash, position), has a Jaccard similarity of 0.8 or more. Lines that are equal but for case form a class, named by a
+64-bit hash; only classes are joined, so copies of a line make no pairs. Hashes of words (32 bits, one for each different
+word) only lead to candidates: words that share a hash make more of them, none is lost, and every pair that removes a
+line is compared by the words of the lines themselves.
+
+1. A class holds its first line, its hashed words and their parity bits, in a table bucketed by class. Words are counted
+   in 2^16 hash buckets over all classes; a word's rarity is the logarithm of its bucket's count.
 2. Heads: each class is compared with the likelier of the first classes that share its least and its greatest word
    hash. Most members of large groups of near copies are settled here, by one comparison each.
 3. Prefix join: classes share a word among the n - ceil(0.8 n) + 1 rarest of their words; pairs pass the positional,
-   length and parity filters, at least one side is not settled yet, and the rest is verified on the whole sets.
+   length and parity filters, at least one side is not settled yet, and the rest is verified on the lines.
 
 Defined cases: a null text has no lines and stays null; an empty text has one empty line; a null key sorts first; rows
 that agree in key and text are one document that occurs twice, and share all decisions; an empty table gives an empty
-result. Extra columns are kept by `remove_repeated_lines` and ignored by the query.
+result. Extra columns are kept by `remove_repeated_lines` and `with_removed`, whose own column takes a longer name where
+they have its name; they are ignored by the query.
 """
 
 from __future__ import annotations
@@ -29,12 +32,11 @@ from .shared import free_names, materialise, read
 BUCKETS = 1 << 16
 
 
-def hashed(line: Column) -> Column:
-    """The distinct word hashes of a lower-cased line, sorted."""
+def words_of(line: Column) -> Column:
+    """The different words of a lower-cased line."""
     for blank in "\t\x0b\x0c\r":  # replacing bytes is far cheaper than splitting at a pattern
         line = F.replace(line, F.lit(blank), F.lit(" "))
-    words = F.array_remove(F.split(line, " "), "")
-    return F.sort_array(F.array_distinct(F.transform(words, lambda x: F.hash(x))))
+    return F.array_distinct(F.array_remove(F.split(line, " "), ""))
 
 
 def parity(w: Column) -> Column:
@@ -82,36 +84,36 @@ def may_match(n: Column, m: Column, b: Column, d: Column) -> Column:
 
 
 class Classes:
-    """The classes of all lines, in a table bucketed by class: c, o (first line), w (words), b (parity); drop() removes it."""
+    """The classes of all lines, in a table bucketed by class: c, o (first line), line (lower-cased), w (a hash for each
+    different word), n (their number), b (parity); those of fewer than `least` words are not read; drop() removes it."""
 
     def __init__(self, lines: DataFrame, least: int):
-        self.spark, self.name = lines.sparkSession, f"tessera_classes_{uuid.uuid4().hex}"
+        self.spark, self.least, self.name = lines.sparkSession, least, f"tessera_classes_{uuid.uuid4().hex}"
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        # words are hashed before the shuffle, which is narrower than the lines; the filter on them stands above it, so none is hashed twice
-        first = lines.select("c", "doc_id", "th", "pos", hashed(F.col("line")).alias("w")).groupBy("c").agg(F.min(F.struct("doc_id", "th", "pos", "w")).alias("o"))
-        words = first.select("c", F.struct("o.doc_id", "o.th", "o.pos").alias("o"), F.col("o.w").alias("w")).where(F.size("w") >= least)
-        words.withColumn("b", parity(F.col("w"))).write.bucketBy(parts, "c").sortBy("c").option("compression", "none").saveAsTable(self.name)
+        first = lines.groupBy("c").agg(F.min(F.struct("doc_id", "th", "pos", "line")).alias("o"))
+        hashed = first.select("c", F.struct("o.doc_id", "o.th", "o.pos").alias("o"), "o.line", F.transform(words_of(F.col("o.line")), lambda x: F.hash(x)).alias("w"))
+        hashed.withColumns({"n": F.size("w"), "b": parity(F.col("w"))}).write.bucketBy(parts, "c").sortBy("c").option("compression", "zstd").saveAsTable(self.name)
 
     @property
     def rows(self) -> DataFrame:
-        return self.spark.table(self.name)
+        return self.spark.table(self.name).where(F.col("n") >= self.least)
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The classes that have an earlier similar one among the pairs (columns a, b, distinct)."""
-        one = self.rows.select(F.col("c").alias("a"), F.col("o").alias("ao"), F.col("w").alias("aw"))
-        two = self.rows.select(F.col("c").alias("b"), F.col("o").alias("bo"), F.col("w").alias("bw"))
-        both = pairs.join(one, "a").join(two, "b")
-        near = both.where(enough(F.size(F.array_intersect("aw", "bw")), F.size("aw"), F.size("bw")))
+        """The classes that have an earlier similar one among the pairs (columns a, b, distinct), by the words of both lines."""
+        one = self.rows.select(F.col("c").alias("a"), F.col("o").alias("ao"), F.col("line").alias("al"), F.col("n").alias("an"))
+        two = self.rows.select(F.col("c").alias("b"), F.col("o").alias("bo"), F.col("line").alias("bl"), F.col("n").alias("bn"))
+        common = F.size(F.array_intersect(words_of(F.col("al")), words_of(F.col("bl"))))
+        near = pairs.join(one, "a").join(two, "b").where(enough(common, F.col("an"), F.col("bn")))
         return near.select(F.when(F.col("ao") > F.col("bo"), F.col("a")).otherwise(F.col("b")).alias("c")).distinct()
 
 
 def head_pairs(classes: DataFrame) -> DataFrame:
     """For each class the likeliest of two earlier ones: the first classes of its least and of its greatest word hash."""
-    ends = F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.element_at("w", e).alias("s")) for k, e in enumerate((1, -1))]))
-    narrow = classes.select("c", "o", F.size("w").alias("n"), "b", ends)
+    ends = F.inline(F.array(*[F.struct(F.lit(k).alias("k"), end("w").alias("s")) for k, end in enumerate((F.array_min, F.array_max))]))
+    narrow = classes.select("c", "o", "n", "b", ends)
     heads = narrow.groupBy("k", "s").agg(F.min(F.struct("o", "c", "n", "b")).alias("h"))
     pairs = narrow.join(heads, ["k", "s"]).where((F.col("c") != F.col("h.c")) & may_match(F.col("n"), F.col("h.n"), F.col("b"), F.col("h.b")))
     return pairs.groupBy(F.col("c").alias("a")).agg(F.min(F.struct(differing(F.col("b"), F.col("h.b")).alias("d"), F.col("h.c").alias("b")))["b"].alias("b"))
@@ -120,10 +122,10 @@ def head_pairs(classes: DataFrame) -> DataFrame:
 def prefix_pairs(classes: DataFrame, settled: DataFrame, table: Column) -> DataFrame:
     """Pairs of classes that pass the prefix, positional, length and parity filters, one of them not settled."""
     marked = classes.join(settled.select("c", F.lit(0).alias("open")), "c", "left").withColumn("open", F.coalesce("open", F.lit(1)))
-    n = F.size("w")
+    n = F.col("n")
     prefix = rarest(F.col("w"), table, n - F.floor((n * 4 + 4) / 5).cast("int") + 1)
     # one row: word, class, parity and a number packed of the set's size, the place of the word and whether it is open
-    rows = marked.select("c", "b", n.alias("n"), "open", F.posexplode(prefix).alias("k", "t")).select("t", "c", "b.x", "b.y", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("k") * 2 + F.col("open")).alias("v"))
+    rows = marked.select("c", "b", "n", "open", F.posexplode(prefix).alias("k", "t")).select("t", "c", "b.x", "b.y", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("k") * 2 + F.col("open")).alias("v"))
     l, r = rows.alias("l"), rows.alias("r")
     size = lambda v: F.shiftright(v, 32)
     place = lambda v: F.shiftright(v.bitwiseAND(F.lit(0xFFFFFFFF)), 1)
@@ -151,8 +153,8 @@ def repeated_lines(docs: DataFrame, *, key="doc_id", text="text", least: int = 1
 
 
 def with_removed(docs: DataFrame, *, key="doc_id", text="text", least: int = 1, out="removed") -> DataFrame:
-    """The documents with a column of the sorted positions of lines that go, null where none does."""
-    k, th, mine = free_names(docs, "_id", "_th", "_mine")
+    """The documents with a column (`out`, lengthened if they have it) of the sorted positions of lines that go, null where none does."""
+    out, k, th, mine = free_names(docs, out, "_id", "_th", "_mine")
     gone = materialise(repeated_lines(docs, key=key, text=text, least=least)).withColumnsRenamed({"doc_id": k, "th": th, "removed": out})
     rows = docs.withColumn(mine, F.xxhash64(F.col(text)))
     same = (F.col(mine) == F.col(th)) & F.col(key).eqNullSafe(F.col(k))

@@ -1,6 +1,9 @@
 """Lines of few words in the pipeline's line dedup, against all pairs."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from tessera.llm import linededup
 
 TEXTS = [
     (1, "Les.\none two three four five\n\nhttp://a.b/c?d=e\n你好世界你好世界\n \nonly four words here"), (2, "les.\none two three four\nThree  two ONE\nonly four words\n\nhttp://a.b/c?d=e"),
@@ -16,3 +19,17 @@ def test_lines_of_few_words_against_all_pairs(spark):
         stay = lambda p, s: not s or not any((a, b) < (k, p) and u and 5 * len(s & u) >= 4 * len(s | u) for a, b, u in lines)
         want = None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if stay(p, frozenset(x.lower().split())))
         assert got[k] == want
+
+
+def test_words_of_one_hash_are_different_words(spark):
+    """word70213 and word251767 share their 32-bit hash, as do their neighbours in longer lines."""
+    assert spark.range(1).select(F.hash(F.lit("word70213")) == F.hash(F.lit("word251767"))).first()[0]
+    one, two = "word70213", "word251767"
+    rows = [(1, one), (2, two), (3, f"a b c d {one}"), (4, f"a b c d {two}"), (5, f"a b c d e f g {one} {two}"), (6, f"a b c d e {one} {two} h i"), (7, f"{two} {one} a b c d e f g x")]
+    out = linededup.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in out.collect()} == {**dict(rows), 7: ""}
+
+
+def test_removed_lines_beside_a_column_of_that_name(spark):
+    df = spark.createDataFrame([(1, "a b\na b", "mine"), (2, " ".join(f"w{i}" for i in range(200_000)), None)], "doc_id long, text string, removed string")
+    assert [tuple(r) for r in linededup.with_removed(df).select("doc_id", "removed", "removed_").orderBy("doc_id").collect()] == [(1, "mine", [1]), (2, None, None)]
