@@ -191,6 +191,29 @@ def resumable_append(spark, d):
     return spark.read.schema("event_id long, user_id long, event_type string").parquet(f"{top}/out")
 
 
+@query("select distinct user_id, event_type from events")
+def exact_append(spark, d):
+    """Pairs of user and type, each stored once: the earlier half of the events arrives in files of some hours each, the
+    stream stops, the rest arrives days after its duplicates, and the stream starts again."""
+    top = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    e = read(spark, d, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    half = e.agg(F.expr("timestamp_micros((unix_micros(min(ts)) + unix_micros(max(ts))) div 2)").alias("t")).first().t
+    for part in (F.coalesce(F.col("ts") < half, F.lit(True)), F.col("ts") >= half):
+        e.where(part).repartitionByRange(4, "ts").write.mode("append").parquet(f"{top}/arrivals")
+        s = resumable.arrivals(spark, f"{top}/arrivals", e.schema, per_batch=3)
+        resumable.append_new(s, ["user_id", "event_type"], f"{top}/store", f"{top}/state", order="ts", buckets=8)
+    return spark.read.parquet(f"{top}/store").select("user_id", "event_type")
+
+
+@query("with f as (select user_id, event_type, min(ts) as ts from events group by all) select event_type, count(*) as pairs from f group by all")
+def first_arrival_counts(spark, d):
+    """Pairs of user and type in a stream, each counted once for ever, by type."""
+    top = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    s = resumable.arrivals(spark, d, read(spark, d, "events").schema, glob="events.parquet").select("user_id", "event_type")
+    resumable.run_available(resumable.first_arrivals(s, ["user_id", "event_type"]), f"{top}/out", f"{top}/state")
+    return spark.read.schema("user_id long, event_type string").parquet(f"{top}/out").groupBy("event_type").agg(F.count("*").alias("pairs"))
+
+
 @query()
 def logistic_heads(spark, d):
     """Calibrated heads on four views of the embeddings, their mean on the rows held out."""

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def arrivals(spark: SparkSession, path: str, schema: StructType, per_batch: int = 100, form: str = "parquet", glob: str | None = None) -> DataFrame:
@@ -19,6 +19,40 @@ def deduplicated(stream: DataFrame, keys: list[str], ts: str, delay: str) -> Dat
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def first_arrivals(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """The first arrival of each key, for ever: state holds every key, so run it on the RocksDB state store."""
+    return stream.dropDuplicates(keys)
+
+
+def append_new(stream: DataFrame, keys: list[str], store: str, checkpoint: str, *, order: str | None = None, buckets: int = 64) -> None:
+    """Append what has arrived to a store that holds each key once, however far apart its arrivals are, then stop.
+
+    What was stored is the state: a batch is held against the keys in the store's buckets, so a key is known after a
+    restart, without the checkpoint too, and a batch that ran before it could be marked as done adds nothing when it runs
+    again. Of a key's rows in one batch the first by `order` is kept (any, without it); null keys equal each other. The
+    store is Parquet in folders by a key's bucket; only the key columns are read back, and of the folders those that the
+    batch's keys fall into are joined.
+    """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    schema = StructType([*stream.schema, StructField("bucket", IntegerType())])
+
+    def put(batch: DataFrame, _: int) -> None:
+        rows = batch.withColumn("bucket", bucket)
+        if order:
+            first = rows.groupBy("bucket", *keys).agg(F.min_by(F.struct(*batch.columns), order).alias("_row"))
+            rows = first.select("_row.*", "bucket")
+        else:
+            rows = rows.dropDuplicates(keys)
+        held = batch.sparkSession.read.schema(schema).parquet(store).select("bucket", *keys).alias("held")
+        same = F.col("new.bucket") == F.col("held.bucket")
+        for k in keys:
+            same = same & F.col(f"new.{k}").eqNullSafe(F.col(f"held.{k}"))
+        rows.alias("new").join(held, same, "left_anti").repartition("bucket").write.mode("append").partitionBy("bucket").parquet(store)
+
+    stream.sparkSession.createDataFrame([], schema).write.mode("append").parquet(store)  # the folder is there from the first batch on
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def windowed_counts(stream: DataFrame, ts: str, key: str, width: str, delay: str) -> DataFrame:
     return stream.withWatermark(ts, delay).groupBy(F.window(ts, width), key).agg(F.count("*").alias("n"))
 
