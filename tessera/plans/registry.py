@@ -1,6 +1,6 @@
 """All queries and their SQL by name."""
 
-from . import audits, curation, evaluation, provenance
+from . import audits, curation, evaluation, provenance, serving
 
-QUERIES = curation.Q | evaluation.Q | audits.Q | provenance.Q
-SQL = curation.S | evaluation.S | audits.S | provenance.S
+QUERIES = curation.Q | evaluation.Q | audits.Q | provenance.Q | serving.Q
+SQL = curation.S | evaluation.S | audits.S | provenance.S | serving.S
