@@ -1,4 +1,4 @@
-"""Container bytes: chunks of PNG, JPEG and WebP files and strings in CBOR, as Arrow functions over binary columns.
+"""Container bytes: chunks of PNG, JPEG and WebP files, credential boxes and their CBOR, as Arrow functions over binary columns.
 
 Each reads one file's bytes by the format's public layout; Spark spreads the files.
 """
@@ -24,17 +24,27 @@ def png_chunks(b: bytes) -> tuple[list[str], int]:
     return names, 0
 
 
+def jpeg_segments(b: bytes) -> Iterator[tuple[int, bytes]]:
+    """Marker and body of the segments before the scan. Bytes that begin no marker are passed over, and fill bytes too."""
+    at = 2
+    while (at := b.find(b"\xff", at)) >= 0:
+        while b[at : at + 1] == b"\xff":
+            at += 1
+        if at >= len(b) or b[at] == 0xDA:
+            return
+        m, at = b[at], at + 1
+        if 0xD0 <= m <= 0xD9:  # restarts, start and end have no length
+            continue
+        n = int.from_bytes(b[at : at + 2], "big")
+        if n < 2 or at + n > len(b):
+            return
+        yield m, b[at + 2 : at + n]
+        at += n
+
+
 def jpeg_markers(b: bytes) -> tuple[list[str], int]:
-    names, at = [], 2
-    while at + 4 <= len(b) and b[at] == 0xFF:
-        m = b[at + 1]
-        if m == 0xDA:
-            break
-        if 0xE0 <= m <= 0xEF:
-            names.append(f"APP{m - 0xE0}")
-        at += 2 + int.from_bytes(b[at + 2 : at + 4], "big")
     end = b.rfind(b"\xff\xd9")
-    return names, len(b) - end - 2 if end >= 0 else 0
+    return sorted({f"APP{m - 0xE0}" for m, _ in jpeg_segments(b) if 0xE0 <= m <= 0xEF}), len(b) - end - 2 if end >= 0 else 0
 
 
 def webp_chunks(b: bytes) -> tuple[list[str], int]:
@@ -58,29 +68,178 @@ def container_of(b: bytes | None) -> dict:
     return {"kind": kind, "chunks": chunks, "trailing_bytes": tail}
 
 
+WIDTHS = {24: 1, 25: 2, 26: 4, 27: 8}
+
+
+def head(b: bytes, at: int) -> tuple[int, int | None, int]:
+    """Major type, argument (None: of unknown length) and the place after it, of the CBOR item at a place."""
+    if at >= len(b):
+        raise ValueError("CBOR ends early")
+    kind, low = b[at] >> 5, b[at] & 31
+    if low < 24 or low == 31:
+        return kind, low if low < 24 else None, at + 1
+    if low not in WIDTHS or at + 1 + WIDTHS[low] > len(b):
+        raise ValueError("no CBOR head")
+    return kind, int.from_bytes(b[at + 1 : at + 1 + WIDTHS[low]], "big"), at + 1 + WIDTHS[low]
+
+
+def text_at(b: bytes, at: int, most: int) -> tuple[bytes | None, int]:
+    """The bytes of a text string of 1 to `most` bytes whose head is at a place, and the place after it; without one, the
+    place after the head."""
+    low = b[at] & 31
+    if b[at] >> 5 != 3:
+        return None, at
+    try:
+        _, n, after = head(b, at)
+    except ValueError:
+        return None, at + 1
+    if low == 27 or n is None:
+        return None, at + 1
+    return (b[after : after + n], after + n) if 0 < n <= most and after + n <= len(b) else (None, after)
+
+
 def cbor_strings(b: bytes | None, most: int = 1500) -> list[str]:
-    """Text strings (major type 3 with a definite length of 1 to `most` bytes) that decode as printable UTF-8."""
-    out, i = [], 0
-    while b and i < len(b):
-        head, n, skip = b[i], 0, 1
-        if head >> 5 == 3:
-            low = head & 31
-            width = {24: 1, 25: 2}.get(low, 0)
-            n, skip = (low if low < 24 else int.from_bytes(b[i + 1 : i + 1 + width], "big") if width else 0), 1 + width
-            part = b[i + skip : i + skip + n]
-            if 0 < n <= most and len(part) == n:
+    """Text strings anywhere in the bytes that decode as UTF-8 of printable characters and blanks. What follows a head that
+    opens no string is passed over with its first byte; so is a string that does not decode, whole."""
+    out, at = [], 0
+    while b and at < len(b):
+        found, at = text_at(b, at, most)
+        if found is None:
+            at += 1
+            continue
+        text = found.decode("utf-8", "replace")
+        if "\ufffd" not in text and all(c.isprintable() or c.isspace() for c in text):
+            out.append(text)
+    return out
+
+
+def value_after(b: bytes, key: str, most: int = 1500) -> str | None:
+    """The text string that stands right behind the bytes of a key, of the first place that has one."""
+    name = key.encode()
+    at = b.find(name)
+    while at >= 0:
+        after = at + len(name)
+        found = text_at(b, after, most)[0] if after < len(b) else None
+        if found is not None:
+            try:
+                return found.decode("utf-8")
+            except UnicodeDecodeError:
+                pass
+        at = b.find(name, at + 1)
+    return None
+
+
+def walk_cbor(b: bytes, at: int, put, depth: int = 0):
+    """The item at a place and the place after it; put(key, text) is told every text key of a map whose value is a text.
+    Maps and arrays come back as None, since only their pairs matter."""
+    if depth > 64:
+        raise ValueError("CBOR too deep")
+    kind, n, at = head(b, at)
+    if kind in (2, 3):
+        if n is None:
+            parts = []
+            while b[at : at + 1] != b"\xff":
+                part, at = walk_cbor(b, at, put, depth + 1)
+                parts.append(part if isinstance(part, bytes) else (part or "").encode())
+            body, at = b"".join(parts), at + 1
+        else:
+            if at + n > len(b):
+                raise ValueError("CBOR ends early")
+            body, at = b[at : at + n], at + n
+        return (body.decode("utf-8", "replace") if kind == 3 else body), at
+    if kind in (4, 5):
+        left = n
+        while left is None or left > 0:
+            if left is None and b[at : at + 1] == b"\xff":
+                at += 1
+                break
+            key, at = walk_cbor(b, at, put, depth + 1)
+            if kind == 5:
+                value, at = walk_cbor(b, at, put, depth + 1)
+                if isinstance(key, str) and isinstance(value, str):
+                    put(key, value)
+            left = left if left is None else left - 1
+        return None, at
+    if kind == 6:
+        return walk_cbor(b, at, put, depth + 1)
+    return None, at  # numbers, simple values and floats, whose bytes the head has read
+
+
+def boxes(b: bytes, start: int = 0, stop: int | None = None) -> Iterator[tuple[bytes, int, int]]:
+    """Type, begin and end of the contents of the boxes in a stretch; a box that overruns it ends the walk."""
+    stop = len(b) if stop is None else stop
+    while start + 8 <= stop:
+        n, kind, body = int.from_bytes(b[start : start + 4], "big"), b[start + 4 : start + 8], start + 8
+        if n == 1:
+            n, body = int.from_bytes(b[start + 8 : start + 16], "big"), start + 16
+        end = stop if n == 0 else start + n
+        if end > stop or end < body:
+            return
+        yield kind, body, end
+        start = end
+
+
+def manifest_store(b: bytes) -> bytes:
+    """The bytes that may hold credential boxes: a PNG's or WebP's own chunk, a JPEG's APP11 segments put together, else
+    from the first superbox on."""
+    if b[:8] == b"\x89PNG\r\n\x1a\n" or b[:2] == b"\xff\xd8" or (b[:4] == b"RIFF" and b[8:12] == b"WEBP"):
+        parts: dict[tuple[int, int], bytes] = {}
+        if b[:2] == b"\xff\xd8":
+            for m, body in jpeg_segments(b):
+                if m == 0xEB and body[:2] == b"JP":
+                    key = (int.from_bytes(body[2:4], "big"), int.from_bytes(body[4:8], "big"))
+                    parts[key] = body[8:] if key[1] <= 1 else body[16:]  # each later part repeats the box's head
+        elif b[:4] == b"RIFF":
+            at = 12
+            while at + 8 <= len(b):
+                n = int.from_bytes(b[at + 4 : at + 8], "little")
+                if b[at : at + 4] == b"C2PA":
+                    parts[0, at] = b[at + 8 : at + 8 + n]
+                at += 8 + n + n % 2
+        else:
+            at = 8
+            while at + 12 <= len(b):
+                n = int.from_bytes(b[at : at + 4], "big")
+                if b[at + 4 : at + 8] == b"caBX":
+                    parts[0, at] = b[at + 8 : at + 8 + n]
+                at += 12 + n
+        if parts:
+            return b"".join(parts[k] for k in sorted(parts))
+    at = b.find(b"jumb")
+    return b[at - 4 :] if at >= 4 else b""
+
+
+def box_pairs(b: bytes) -> dict[str, str]:
+    """Text keys with text values of all maps in the CBOR boxes of a file's credentials, the first value of each key."""
+    store, out = manifest_store(b), {}
+
+    def into(start: int, stop: int, depth: int) -> None:
+        for kind, body, end in boxes(store, start, stop):
+            if kind == b"jumb" and depth < 32:
+                into(body, end, depth + 1)
+            elif kind == b"cbor":
                 try:
-                    text = part.decode("utf-8")
-                except UnicodeDecodeError:
-                    text = ""
-                if text and text.isprintable():
-                    out.append(text)
-                    i += skip + n
-                    continue
-        i += 1
+                    walk_cbor(store[body:end], 0, out.setdefault)
+                except ValueError:
+                    pass  # what was read before the damage counts
+
+    into(0, len(store), 0)
     return out
 
 
+#: Keys that a credential's claims stand under, in order.
+CLAIM_KEYS = ("claim_generator", "claimGenerator", "softwareAgent", "software_agent", "action", "c2pa.action", "digitalSourceType", "digital_source_type")
+
+
+def claims_of(b: bytes | None) -> dict[str, str] | None:
+    """Claims by key: from the maps of CBOR boxes, else a text that stands right behind the key. None without bytes."""
+    if not b:
+        return None
+    found = box_pairs(b)
+    pairs = {k: found.get(k) or value_after(b, k) for k in CLAIM_KEYS}
+    return {k: v for k, v in pairs.items() if v}
+
+
 def _container(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
     kind = pa.struct([("kind", pa.string()), ("chunks", pa.list_(pa.string())), ("trailing_bytes", pa.int32())])
     for a in it:
@@ -100,7 +259,22 @@ def cbor_text(content):
     return F.arrow_udf(_cbor, "array<string>")(content)
 
 
+def _claims(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for a in it:
+        rows = [claims_of(x.as_py()) for x in a]
+        yield pa.array([None if r is None else list(r.items()) for r in rows], pa.map_(pa.string(), pa.string()))
+
+
+def claims(content):
+    """A map of the claims in a file's bytes, null without bytes."""
+    return F.arrow_udf(_claims, "map<string,string>")(content)
+
+
 def cbor_value(content, key: str):
-    """The string after a key's string."""
-    s = cbor_text(content)
-    return F.get(s, F.array_position(s, key).cast("int"))
+    """The text string that stands right behind a key's bytes."""
+
+    def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in it:
+            yield pa.array([value_after(x.as_py(), key) if x.is_valid else None for x in a], pa.string())
+
+    return F.arrow_udf(run, "string")(content)

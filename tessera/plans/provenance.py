@@ -34,44 +34,67 @@ def term_match(spark, d):
     return x.select("doc_id", F.array_join(T.terms_in(F.col("text"), provenance.AI_TERMS), "|").alias("ai"), F.array_join(T.terms_in(F.col("text"), provenance.EDITOR_TERMS), "|").alias("editor"))
 
 
-#: Metadata made from events, so that rules of every kind meet rows.
-META = ["Software: Photoshop", "made by OpenAI DALL-E 3", "c2pa jumbf chatgpt", "synthid mark", "<x:xmpmeta><a:Credit>Made with Google AI</a:Credit><b:DigitalSourceType>trainedAlgorithmicMedia</b:DigitalSourceType></x:xmpmeta>", "stable diffusion, steps: 20", "Make: Canon", "linseed oil", "midjourney --v 6", "<x:xmpmeta><xmp:CreatorTool>Adobe Firefly</xmp:CreatorTool></x:xmpmeta>", "gemini"]
+#: Metadata texts made of pieces that events choose, so that rules of every kind meet rows alone and together.
+TEXT = """(case event_id % 7 when 0 then 'Software: Photoshop ' when 1 then 'steps: 20 ' when 2 then 'Flux of ' || event_type || ' ' when 3 then 'Midjourney v6 ' when 4 then 'linseed oil ' else '' end
+|| case event_id % 11 when 0 then '<x:xmpmeta><a:Credit>Made with ' || event_type || ' Google AI</a:Credit></x:xmpmeta>' when 1 then '<x:xmpmeta><a:Credit>' || event_type || '</a:Credit><b:DigitalSourceType>cv/trainedAlgorithmicMedia</b:DigitalSourceType><c:CreatorTool>DALL-E of ' || event_type || '</c:CreatorTool></x:xmpmeta>'
+when 2 then '<x:xmpmeta><b:DigitalSourceType>compositeWithTrainedAlgorithmicMedia</b:DigitalSourceType><s:Source>DeepMind</s:Source></x:xmpmeta>' when 3 then '<x:xmpmeta><a:Credit>' || event_type || '</a:Credit><s:Software>Adobe ' || event_type || '</s:Software></x:xmpmeta>' when 4 then '<x:xmpmeta><s:Source>Imagen</s:Source>' else '' end
+|| case event_id % 5 when 0 then 'c2pa jumbf "claim_generator": "' || event_type || '_maker/1", "softwareAgent": "Agent ' || event_type || '" "action": "c2pa.' || event_type || '" ' when 1 then 'C2PA claimGenerator=OpenAI/' || event_type || ' ' when 2 then 'Content Credentials by catx ' else '' end
+|| case event_id % 13 when 0 then 'SynthID ' when 1 then 'made by OpenAI, prompt ' when 2 then 'Imagen 3 ' when 3 then 'google ' when 4 then 'software_agent: gpt-image-1' when 5 then 'urn:trainedAlgorithmicMedia' else '' end)"""
 
 
 def metadata(spark, d):
-    e = read(spark, d, "events")
-    return e.select("event_id", F.element_at(F.array(*[F.lit(m) for m in META]), (F.col("event_id") % len(META) + 1).cast("int")).alias("text"), F.round(F.pmod(F.col("event_id") * 37, F.lit(101)) / 100.0, 2).alias("p_fake"))
-
-
-#: Provider and confidence of each text of META, worked out by hand from the rules.
-EXPECTED = [("None", 0.0), ("OpenAI ChatGPT", 0.92), ("OpenAI ChatGPT", 0.99), ("Google Gemini", 0.98), ("Google Gemini", 0.99), ("Stable Diffusion", 0.95), ("None", 0.0), ("AI Generator", 0.95), ("Midjourney", 0.95), ("Adobe Firefly", 0.95), ("Google Gemini", 0.90)]
-SQL_META = "m as (select event_id, round((event_id * 37 % 101) / 100.0::double, 2) as p_fake, (event_id % {n})::int as k from events), x(k, provider, confidence) as (values {v})".format(n=len(META), v=", ".join(f"({i}, '{p}', {c}::double)" for i, (p, c) in enumerate(EXPECTED)))
-
-
-@query(f"with {SQL_META} select event_id, provider, confidence from m join x using (k)")
+    return read(spark, d, "events").select("event_id", F.expr(TEXT).alias("text"), F.round(F.pmod(F.col("event_id") * 37, F.lit(101)) / 100.0, 2).alias("p_fake"))
+
+
+def sql_any(col: str, *terms: str) -> str:
+    return "(" + " or ".join(f"contains({col}, '{t}')" for t in terms) + ")"
+
+
+OPENAI = ("openai", "chatgpt", "dall-e", "dalle", "dall·e", "gpt-image")
+#: The same rules in SQL, read from the texts: XMP fields x_*, claims c_*, then hits and the attribution.
+SQL_META = rf"""t as (select event_id, {TEXT} as x, round((event_id * 37 % 101) / 100.0::double, 2) as p_fake from events),
+pk as (select *, lower(x) as l, case when contains(x, '<x:xmpmeta') and contains(x, '</x:xmpmeta>') then x else '' end as pk from t),
+xf as (select *, nullif(trim(regexp_extract(pk, '<[a-z]+:Credit>([^<]*)<', 1)), '') as x_credit, nullif(trim(regexp_extract(pk, '<[a-z]+:Source>([^<]*)<', 1)), '') as x_source, nullif(trim(regexp_extract(pk, '<[a-z]+:DigitalSourceType>([^<]*)<', 1)), '') as x_kind,
+  coalesce(nullif(trim(regexp_extract(pk, '<[a-z]+:Software>([^<]*)<', 1)), ''), nullif(trim(regexp_extract(pk, '<[a-z]+:CreatorTool>([^<]*)<', 1)), '')) as x_software, nullif(trim(regexp_extract(pk, '<[a-z]+:CreatorTool>([^<]*)<', 1)), '') as x_creator,
+  {sql_any("l", "c2pa", "contentauth", "content credentials")} as m_c2pa, {sql_any("l", "jumb", "jumd", "c2ma", "c2cs", "c2as", "catx")} as m_jumbf from pk),
+cl as (select *, case when m_c2pa or m_jumbf then coalesce(nullif(regexp_extract(x, '(?i)claim_?generator["'']?\s*[:=]?\s*["'']?([^"'',}}\s]+)', 1), ''), case when contains(l, 'c2pa') or contains(l, 'jumb') then case when contains(l, 'openai') then 'OpenAI' when contains(l, 'google') then 'Google' end end) end as c_claimer,
+  case when m_c2pa or m_jumbf then coalesce(nullif(trim(regexp_extract(x, '(?i)software_?agent["'']?\s*[:=]?\s*["'']?([^"'',}}
+]+)', 1)), ''), case {" ".join(f"when contains(l, '{k}') then '{v}'" for k, v in provenance.AGENTS)} end) end as c_agent,
+  case when m_c2pa or m_jumbf then nullif(regexp_extract(x, '(?i)action["'']?\s*[:=]?\s*["'']?([^"'',}}\s]+)', 1), '') end as c_action, case when (m_c2pa or m_jumbf) and contains(l, 'trainedalgorithmicmedia') then 'trainedAlgorithmicMedia' end as c_kind from xf),
+cr as (select *, coalesce(lower(c_claimer), '') as lc, coalesce(lower(c_agent), '') as la, c_kind is not null or {sql_any("coalesce(lower(c_agent), '')", *provenance.AI_AGENTS)} or {sql_any("coalesce(lower(c_claimer), '')", *provenance.AI_CLAIMERS)} as c_ai, lower(concat_ws(chr(10), x, c_claimer, c_agent)) as corpus,
+  coalesce(lower(x_credit), '') as xc, contains(coalesce(lower(x_kind), lower(c_kind), ''), 'trainedalgorithmicmedia') as made, {sql_terms("x", provenance.AI_TERMS)} as ai, {sql_terms("x", provenance.EDITOR_TERMS)} as editor, {sql_terms("x", provenance.WATERMARK_TERMS)} as marks from cl),
+g as (select *, greatest(case when contains(corpus, 'synthid') then 0.98 end, case when made and ({sql_any("xc", "google", "deepmind")} or {sql_any("lower(concat_ws(' ', x_software, x_source, x_creator))", "google", "deepmind", "gemini", "imagen")}) then 0.99 when {sql_any("xc", "google", "deepmind")} then 0.95 end,
+  case when {sql_any("lc", "google", "deepmind", "imagen", "gemini")} or {sql_any("la", "gemini", "imagen", "google")} then 0.99 end)::double as g1, greatest(case when {sql_any("lc || ' ' || la", *OPENAI)} then 0.99 when c_ai and {sql_any("corpus", *OPENAI)} then 0.97 end, case when {sql_any("coalesce(lower(x_software), '')", *OPENAI)} then 0.99 end)::double as o1 from cr),
+h as (select *, coalesce(g1, case when {sql_any("corpus", "gemini", "imagen 2", "imagen 3", "google imagen", "deepmind imagen")} then 0.9::double end) as g, coalesce(o1, case when contains(corpus, 'openai') and {sql_any("corpus", "dall-e", "dall·e", "prompt", "generation", "gpt-image")} then 0.92::double end) as o from g),
+a as (select *, case when g is not null then 'Google Gemini' when o is not null then 'OpenAI ChatGPT' when len(ai) > 0 then case when list_has_any(ai, ['stable diffusion', 'automatic1111', 'comfyui', 'flux']) then 'Stable Diffusion' when list_contains(ai, 'midjourney') then 'Midjourney' when list_contains(ai, 'firefly') then 'Adobe Firefly' else 'AI Generator' end
+  when c_ai then coalesce(c_claimer, 'AI Certified') else 'None' end as provider, coalesce(g, o, case when len(ai) > 0 then 0.95::double when c_ai then 0.98::double end, 0.0::double) as confidence from h)"""
+
+
+@query(f"with {SQL_META} select event_id, provider, confidence from a")
 def rule_attribution(spark, d):
     return provenance.attribution(provenance.rules(metadata(spark, d))).select("event_id", "provider", "confidence")
 
 
-@query(f"with {SQL_META} select event_id, case when confidence >= 0.85 or p_fake >= 0.5 then 'FAKE' else 'REAL' end as label, case when confidence >= 0.85 then greatest(p_fake, confidence) else p_fake end as p, confidence >= 0.85 as overridden from m join x using (k)")
+@query(f"with {SQL_META} select provider, confidence, count(*) as n from a group by all")
+def attribution_counts(spark, d):
+    return provenance.attribution(provenance.rules(metadata(spark, d))).groupBy("provider", "confidence").agg(F.count("*").alias("n"))
+
+
+@query(f"with {SQL_META} select event_id, case when (confidence >= 0.85 and provider <> 'None') or p_fake >= 0.5 then 'FAKE' else 'REAL' end as label, case when confidence >= 0.85 and provider <> 'None' then greatest(p_fake, confidence) else p_fake end as p, confidence >= 0.85 and provider <> 'None' as overridden from a")
 def consensus_override(spark, d):
     a = provenance.attribution(provenance.rules(metadata(spark, d)))
     return a.select("event_id", provenance.consensus(F.col("p_fake"), F.col("provider"), F.col("confidence")).alias("c")).select("event_id", "c.*")
 
 
-#: The summary of each text of META.
-SUMMARY = ["heuristic indicators found", *["strong evidence found"] * 5, "no provenance indicator found", *["strong evidence found"] * 4]
-
-
-@query("with x(k, summary) as (values {v}) select event_id, summary from events join x on k = event_id % {n}".format(n=len(META), v=", ".join(f"({i}, '{s}')" for i, s in enumerate(SUMMARY))))
+@query(f"with {SQL_META} select event_id, case when g is not null or o is not null or len(ai) > 0 then 'strong evidence found' when len(editor) > 0 or len(marks) > 0 then 'heuristic indicators found' else 'no provenance indicator found' end as summary from a")
 def provenance_signals(spark, d):
     return provenance.signals(provenance.rules(metadata(spark, d))).select("event_id", "summary")
 
 
-@query("with m as (select event_id, (event_id % 11)::int as k from events) select event_id, case k when 4 then 'Made with Google AI' end as credit, case k when 9 then 'Adobe Firefly' end as software, case k when 4 then 'trainedAlgorithmicMedia' end as digital_source_type from m")
+@query(f"with {SQL_META} select event_id, x_credit as credit, x_software as software, x_source as source, x_kind as digital_source_type from xf")
 def xmp_fields(spark, d):
     x = metadata(spark, d).select("event_id", provenance.xmp_fields(provenance.xmp_packet(F.col("text"))).alias("x"))
-    return x.select("event_id", "x.credit", "x.software", "x.digital_source_type")
+    return x.select("event_id", "x.credit", "x.software", "x.source", "x.digital_source_type")
 
 
 @query("""with m as (select event_id, round((event_id * 37 % 101) / 100.0::double, 2) as p from events) select event_id, case when p >= 0.5 then 'FAKE' else 'REAL' end as label, round(case when p >= 0.5 then p else 1 - p end * 100, 2) as confidence, round((1 - p) * 100, 2) as real_pct, round(p * 100, 2) as fake_pct from m""")
@@ -99,17 +122,48 @@ def likely_generator(spark, d):
     return read(spark, d, "events").select("event_id", g.alias("generator"))
 
 
-#: Credentials made from events: (claim generator, software agent, action, other text), written or not.
-CLAIMS = """case event_id % 5 when 0 then '"claim_generator": "make_' || event_type || '/1.0", ' when 1 then 'claimGenerator=' || event_type || ' ' else '' end || case event_id % 4 when 0 then '"softwareAgent": "Agent ' || event_type || '", ' when 1 then 'by ChatGPT ' else '' end
-|| case event_id % 3 when 0 then '"action": "c2pa.' || event_type || '" ' else '' end || case event_id % 6 when 0 then 'urn:trainedAlgorithmicMedia ' when 1 then 'OpenAI ' when 2 then 'Google ' else '' end || case when event_id % 8 = 7 then 'nothing' else 'C2PA jumbf' end"""
+@query(f"with {SQL_META} select event_id, c_claimer as claim_generator, c_agent as software_agent, c_action as action, c_kind as digital_source_type, m_c2pa as c2pa_marker, m_jumbf as jumbf_marker, c_ai as is_ai_generated from cr where m_c2pa or m_jumbf")
+def content_credentials(spark, d):
+    """Credentials read from texts."""
+    c = metadata(spark, d).select("event_id", provenance.credentials(F.col("text")).alias("c")).where("c is not null")
+    return c.select("event_id", "c.claim_generator", "c.software_agent", "c.action", "c.digital_source_type", "c.c2pa_marker", "c.jumbf_marker", "c.is_ai_generated")
+
 
+def head(kind: int, n):
+    """The head of a CBOR item of a major type, as short as its argument allows."""
+    at = lambda low, width: F.concat(F.unhex(F.hex(F.lit(kind * 32 + low))), F.unhex(F.lpad(F.hex(n), 2 * width, "0")))
+    return F.when(n < 24, F.unhex(F.hex(n + kind * 32))).when(n < 256, at(24, 1)).when(n < 65536, at(25, 2)).otherwise(at(26, 4))
 
-@query(f"""with e as (select event_id, event_type, {CLAIMS} as t from events)
-select event_id, case event_id % 5 when 0 then 'make_' || event_type || '/1.0' when 1 then event_type else case event_id % 6 when 1 then 'OpenAI' when 2 then 'Google' end end as claim_generator, case event_id % 4 when 0 then 'Agent ' || event_type when 1 then 'ChatGPT' end as software_agent,
-case event_id % 3 when 0 then 'c2pa.' || event_type end as action, case when event_id % 6 = 0 then 'trainedAlgorithmicMedia' end as digital_source_type, event_id % 6 = 0 or event_id % 4 = 1 or (event_id % 5 > 1 and event_id % 6 in (1, 2)) as is_ai_generated from e where event_id % 8 <> 7 or event_id % 3 = 0""")
-def content_credentials(spark, d):
-    e = read(spark, d, "events").select("event_id", "event_type", F.expr(CLAIMS).alias("t"))
-    return e.select("event_id", provenance.credentials(F.col("t")).alias("c")).where("c is not null").select("event_id", "c.*")
+
+def cbor_text(value):
+    body = F.encode(value, "UTF-8")
+    return F.concat(head(3, F.octet_length(body)), body)
+
+
+def box(kind: str, body):
+    return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(body) + 8), 8, "0")), F.lit(kind.encode()), body)
+
+
+def credential_files(spark, d):
+    """Documents as files: a map of claims (one is a number, one a whole text) in CBOR, in boxes, in a PNG chunk."""
+    x = read(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    claims = [("title", cbor_text(F.col("text"))), ("claim_generator", cbor_text(F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit("")))))]
+    action = F.when(F.col("doc_id") % 3 == 0, head(0, F.col("doc_id"))).otherwise(cbor_text(F.concat(F.lit("c2pa."), F.coalesce("lang", F.lit("")))))
+    agent = F.when(F.col("doc_id") % 4 == 0, cbor_text(F.substring("text", 1, 60))).otherwise(F.concat(F.lit(b"\x82\xf5"), cbor_text(F.lit("in a list"))))
+    items = F.concat(F.lit(b"\xa4"), *[part for k, v in [*claims, ("action", action), ("softwareAgent", agent)] for part in (cbor_text(F.lit(k)), v)])
+    store = box("jumb", F.concat(box("jumd", F.lit(b"c2pa")), box("cbor", items)))
+    chunk = lambda name, body: F.concat(F.unhex(F.lpad(F.hex(F.octet_length(body)), 8, "0")), F.lit(name), body, F.lit(b"\0\0\0\0"))
+    text_chunk = F.when(F.col("doc_id") % 2 == 0, chunk(b"tEXt", F.encode(F.coalesce("source", F.lit("")), "UTF-8"))).otherwise(F.lit(b""))
+    png = F.concat(F.lit(b"\x89PNG\r\n\x1a\n"), chunk(b"IHDR", F.lit(b"\0" * 13)), text_chunk, chunk(b"caBX", store), chunk(b"IEND", F.lit(b"")), F.encode(F.substring("text", 1, 5), "UTF-8"))
+    return x.select("doc_id", png.alias("content"))
+
+
+@query("""with x as (select doc_id, coalesce(source, '') || '/' || coalesce(lang, '') as claimer, case when doc_id % 3 <> 0 then 'c2pa.' || coalesce(lang, '') end as action, case when doc_id % 4 = 0 then nullif(substr(coalesce(text, ''), 1, 60), '') end as agent from documents)
+select doc_id, claimer as claim_generator, action, agent as software_agent from x""")
+def credential_bytes(spark, d):
+    """Claims read from the bytes of files: a number or a list is no claim."""
+    c = credential_files(spark, d).select("doc_id", binary.claims(F.col("content")).alias("c"))
+    return c.select("doc_id", *[F.try_element_at("c", F.lit(k)).alias(n) for k, n in (("claim_generator", "claim_generator"), ("action", "action"), ("softwareAgent", "software_agent"))])
 
 
 @query("""select event_id, (case when event_id % 2 = 0 then 3 else 19 end)::int as field_count, 'Exposure Time,Make' as camera_fields, event_id % 2 = 0 as gps, case when event_id % 6 = 3 then 'midjourney' else '' end as ai_terms,
@@ -158,22 +212,24 @@ def native_crops(spark, d):
     return x.select("doc_id", F.inline(T.crop_boxes(F.col("w"), F.col("h"))))
 
 
-@query("select 'png' as kind, 'IHDR,tEXt,IEND' as chunks, 5 as trailing_bytes, count(*) as n from nation")
+@query("""select 'png' as kind, case when doc_id % 2 = 0 then 'IHDR,tEXt,caBX,IEND' else 'IHDR,caBX,IEND' end as chunks, strlen(substr(coalesce(text, ''), 1, 5))::int as trailing_bytes, count(*) as n from documents group by all""")
 def container_chunks(spark, d):
-    """Nations as PNG files with a text chunk and 5 bytes after the end."""
-    chunk = lambda name, body: F.concat(F.unhex(F.lpad(F.hex(F.octet_length(body)), 8, "0")), F.lit(name.encode()), body, F.lit(b"\0\0\0\0"))
-    content = F.concat(F.lit(b"\x89PNG\r\n\x1a\n"), chunk("IHDR", F.lit(b"\0" * 13)), chunk("tEXt", F.encode("n_name", "UTF-8")), chunk("IEND", F.lit(b"")), F.lit(b"extra"))
-    c = read(spark, d, "nation").select(binary.container(content).alias("c"))
+    """The chunks of documents as PNG files, and what stands after their end."""
+    c = credential_files(spark, d).select(binary.container(F.col("content")).alias("c"))
     return c.groupBy("c.kind", F.array_join("c.chunks", ",").alias("chunks"), "c.trailing_bytes").agg(F.count("*").alias("n"))
 
 
-@query("select n_nationkey, n_name as agent from nation")
+@query("""select event_id, props as value, (2 + event_id % 30)::int as n_texts, coalesce(event_type, '') || chr(10) || (event_id % 30)::varchar as last from events where props is not null""")
 def cbor_values(spark, d):
-    """Nations as CBOR maps with one pair of strings."""
-    size = lambda c: F.unhex(F.hex(F.octet_length(c) + 0x60))
-    value = F.encode("n_name", "UTF-8")
-    content = F.concat(F.lit(b"\xa1"), F.lit(b"\x65agent"), size(value), value)
-    return read(spark, d, "nation").select("n_nationkey", binary.cbor_value(content, "agent").alias("agent"))
+    """Events as CBOR arrays of texts: the one behind a name, how many there are, and the last."""
+    n = (F.col("event_id") % 30).cast("int")
+    text = lambda i: cbor_text(F.concat(F.coalesce("event_type", F.lit("")), F.lit("\n"), i.cast("string")))
+    more = F.aggregate(F.sequence(F.lit(1), F.lit(30)), F.lit(b""), lambda acc, i: F.when(i <= n, F.concat(acc, text(i))).otherwise(acc))
+    content = F.concat(head(4, n + 2), cbor_text(F.lit("props")), cbor_text(F.col("props")), more)
+    e = read(spark, d, "events").where("props is not null").select("event_id", "event_type", "props", content.alias("b"))
+    texts = binary.cbor_text(F.col("b"))
+    got = e.select("event_id", binary.cbor_value(F.col("b"), "props").alias("value"), texts.alias("texts"), F.col("event_type"))
+    return got.select("event_id", "value", F.size("texts").alias("n_texts"), F.when(F.size("texts") > 2, F.element_at("texts", -1)).otherwise(F.concat(F.coalesce("event_type", F.lit("")), F.lit("\n0"))).alias("last"))
 
 
 @query()
