@@ -1,8 +1,8 @@
 """ROC, thresholds and decisions over scores.
 
-Everything ordered starts from `histogram`: counts by distinct score, made by an ordinary aggregate. Sums along the order
-of scores are made inside BUCKETS ranges of scores and offset by the ranges before, so a group with as many distinct
-scores as rows is not sorted in one task.
+Everything ordered starts from `histogram`: counts by distinct score, made by an ordinary aggregate and written once, so
+that the input is read once. Sums along the order of scores are made inside BUCKETS ranges between the least and the
+largest score and offset by the ranges before, so a group with as many distinct scores as rows is not sorted in one task.
 """
 
 from collections.abc import Sequence
@@ -10,12 +10,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
 BUCKETS = 4096
+#: Thresholds that are held against all groups at once.
+MOST_GROUPS = 1000
 
 
 def histogram(df: DataFrame, groups: Sequence[str] = (), *, y="y", p="p") -> DataFrame:
@@ -30,7 +34,9 @@ def _over(groups: Sequence[str]):
 def running(h: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """h (p, n1, n0 and more) with tp and fp, the sums of n1 and n0 over scores of p and more, t1 and t0, those of the
     group, and of the next lower score of h: next1, next0 (null at the last one); is_top at the first."""
-    b = h.withColumn("_b", F.floor(F.greatest(F.least("p", F.lit(1.0)), F.lit(0.0)) * BUCKETS))
+    ends = h.agg(F.min("p").cast("double").alias("_least"), F.max("p").cast("double").alias("_most"))  # one row
+    at = F.coalesce(F.try_divide(F.col("p") - F.col("_least"), F.col("_most") - F.col("_least")), F.lit(0.0))
+    b = h.crossJoin(F.broadcast(ends)).withColumn("_b", F.floor(at * BUCKETS)).drop("_least", "_most")
     down, every = _over(groups).orderBy(F.desc("_b")), _over(groups)
     sums = b.groupBy(*groups, "_b").agg(F.sum("n1").alias("s1"), F.sum("n0").alias("s0"), F.max_by(F.struct("n1", "n0"), "p").alias("head"))
     sums = sums.select(*[F.col(g).alias(f"_{g}") for g in groups], F.col("_b").alias("_c"), (F.sum("s1").over(down) - F.col("s1")).alias("above1"), (F.sum("s0").over(down) - F.col("s0")).alias("above0"), F.sum("s1").over(every).alias("t1"), F.sum("s0").over(every).alias("t0"), F.lead("head").over(down).alias("below"), (F.row_number().over(down) == 1).alias("top"))
@@ -46,7 +52,12 @@ def running(h: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
 
 def roc_auc(df: DataFrame, groups: Sequence[str] = (), **cols) -> DataFrame:
     """groups, n1, n0, auc with ties counted half; null for a single class. Sums are of integers, so exact."""
-    h = running(histogram(df, groups, **cols), groups)
+    return auc_of(written(histogram(df, groups, **cols)), groups)
+
+
+def auc_of(h: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """roc_auc of a histogram."""
+    h = running(h, groups)
     u = h.withColumn("u2", F.col("n1").cast("decimal(38,0)") * (2 * (F.col("t0") - F.col("fp")) + F.col("n0")))
     g = u.groupBy(*groups).agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.sum("u2").cast("double").alias("u2"))
     return g.withColumn("auc", ratio(F.col("u2"), F.col("n1").cast("double") * F.col("n0") * 2)).drop("u2")
@@ -55,22 +66,32 @@ def roc_auc(df: DataFrame, groups: Sequence[str] = (), **cols) -> DataFrame:
 def rank_auc(df: DataFrame, groups: Sequence[str] = (), **cols) -> DataFrame:
     """groups, n1, n0, auc by plain ranks of a stable order that has the positives of a score before its negatives: ties
     are not averaged, a positive beats the negatives below it only; null for a single class."""
-    h = running(histogram(df, groups, **cols), groups)
+    h = running(written(histogram(df, groups, **cols)), groups)
     u = h.groupBy(*groups).agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.sum(F.col("n1").cast("decimal(38,0)") * (F.col("t0") - F.col("fp"))).cast("double").alias("u"))
     return u.withColumn("auc", ratio(F.col("u"), F.col("n1").cast("double") * F.col("n0"))).drop("u")
 
 
 def roc_curve(df: DataFrame, groups: Sequence[str] = (), **cols) -> DataFrame:
     """groups, p, tp, fp, n1, n0 at the corners: the first and last score and those where a step changes direction."""
-    c = running(histogram(df, groups, **cols), groups)
+    return corners_of(written(histogram(df, groups, **cols)), groups)
+
+
+def corners_of(h: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """roc_curve of a histogram."""
+    c = running(h, groups)
     bend = F.col("is_top") | F.col("next1").isNull() | (F.col("next1") != F.col("n1")) | (F.col("next0") != F.col("n0"))
     return c.where(bend).select(*groups, "p", "tp", "fp", F.col("t1").alias("_n1"), F.col("t0").alias("_n0")).withColumnsRenamed({"_n1": "n1", "_n0": "n0"})
 
 
 def threshold_at_fpr(df: DataFrame, groups: Sequence[str] = (), percent: int = 5, **cols) -> DataFrame:
     """groups, threshold: the lowest corner with FPR within `percent`; null for a single class or if none is."""
+    return threshold_of(written(histogram(df, groups, **cols)), groups, percent)
+
+
+def threshold_of(h: DataFrame, groups: Sequence[str] = (), percent: int = 5) -> DataFrame:
+    """threshold_at_fpr of a histogram."""
     ok = (F.col("n1") > 0) & (F.col("n0") > 0) & (100 * F.col("fp") <= percent * F.col("n0"))
-    return roc_curve(df, groups, **cols).groupBy(*groups).agg(F.min(F.when(ok, F.col("p"))).alias("threshold"))
+    return corners_of(h, groups).groupBy(*groups).agg(F.min(F.when(ok, F.col("p"))).alias("threshold"))
 
 
 def percentile_threshold(df: DataFrame, groups: Sequence[str] = (), fpr: float = 0.05, *, y="y", p="p") -> DataFrame:
@@ -100,7 +121,7 @@ def at_threshold(df: DataFrame, threshold: float, groups: Sequence[str] = (), *,
 
 def best_threshold(df: DataFrame, groups: Sequence[str] = (), **cols) -> DataFrame:
     """groups, threshold, balanced: the best over scores rounded to 3 decimals and 0.05, 0.06 .. 0.95; of equals the largest."""
-    h = histogram(df, groups, **cols).select(*groups, "p", "n1", "n0", F.lit(False).alias("ask"))
+    h = written(histogram(df, groups, **cols)).select(*groups, "p", "n1", "n0", F.lit(False).alias("ask"))
     fixed = F.explode(F.transform(F.sequence(F.lit(5), F.lit(95)), lambda i: F.round(i / F.lit(100.0), 3)))
     keys = h.select(*groups).distinct() if groups else df.sparkSession.range(1).select()
     grid = h.select(*groups, F.round("p", 3).alias("p")).union(keys.select(*groups, fixed.alias("p"))).distinct()
@@ -112,10 +133,12 @@ def best_threshold(df: DataFrame, groups: Sequence[str] = (), **cols) -> DataFra
 
 def applied_elsewhere(df: DataFrame, group: str, percent: int = 5, *, y="y", p="p") -> DataFrame:
     """fitted_on, group and the operating point there of the threshold fitted on each other group: one row a pair of
-    groups, from the groups' score histograms (not from their rows)."""
-    t = threshold_at_fpr(df, [group], percent, y=y, p=p).where("threshold is not null").select(F.col(group).alias("fitted_on"), "threshold")
-    h = histogram(df, [group], y=y, p=p)
-    j = h.join(F.broadcast(t), F.col(group) != F.col("fitted_on"))  # a row for each group of the board
+    groups, from the groups' score histograms (not from their rows). The board's groups are few: at most MOST_GROUPS."""
+    h = written(histogram(df, [group], y=y, p=p))
+    t = written(threshold_of(h, [group], percent).where("threshold is not null").select(F.col(group).alias("fitted_on"), "threshold"))
+    if t.count() > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups")
+    j = h.join(F.broadcast(t), F.col(group) != F.col("fitted_on"))  # at most MOST_GROUPS rows
     hit = F.col("p") >= F.col("threshold")
     n = lambda c, ok: F.sum(F.when(ok, F.col(c)).otherwise(0))
     return j.groupBy("fitted_on", group, "threshold").agg(F.round(ratio(n("n0", ~hit), F.sum("n0")), 6).alias("real_acc"), F.round(ratio(n("n1", hit), F.sum("n1")), 6).alias("fake_recall"))

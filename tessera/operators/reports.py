@@ -5,15 +5,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import operating_point, ratio, roc_auc, threshold_at_fpr
+from ..session import written
+from .metrics import auc_of, ratio, roc_auc, threshold_of
 
 
 def tier_board(df: DataFrame, tier="tier", served: float = 0.5, percent: int = 5) -> DataFrame:
-    """For each tier n, n_real, n_fake, auc, the served operating point, the threshold at the target FPR and the point there."""
-    base = df.groupBy(tier).agg(F.count("*").alias("n"), F.count_if(F.col("y") == 0).alias("n_real"), F.count_if(F.col("y") == 1).alias("n_fake"), F.avg(F.when(F.col("y") == 0, F.col("p"))).alias("mean_p_real"), F.avg(F.when(F.col("y") == 1, F.col("p"))).alias("mean_p_fake"), *[v.alias(k) for k, v in operating_point(F.lit(served)).items()])
-    thr = threshold_at_fpr(df, [tier], percent)
-    there = df.join(F.broadcast(thr), tier).groupBy(tier).agg(F.first("threshold").alias("oracle_threshold"), operating_point(F.col("threshold"))["fake_recall"].alias("oracle_recall"))
-    out = base.join(roc_auc(df, [tier]).select(tier, "auc"), tier).join(there, tier)
+    """For each tier n, n_real, n_fake, auc, the served operating point, the threshold at the target FPR and the point
+    there; rows without a score count in n, n_real and n_fake only. All of it from one histogram, which is written once."""
+    p, y = F.col("p"), F.col("y")
+    counts = written(df.groupBy(tier, "p").agg(F.count("*").alias("n"), F.count_if(y == 1).alias("n1"), F.count_if(y == 0).alias("n0")))
+    h = counts.where("p is not null").drop("n")
+    thr = threshold_of(h, [tier], percent).select(F.col(tier).alias("_t"), "threshold")
+    some = lambda c, ok: F.sum(F.when(ok & p.isNotNull(), F.col(c)).otherwise(0))
+    of = lambda c, ok: ratio(some(c, ok), some(c, F.lit(True)))
+    mean = lambda c: ratio(F.sum(F.col(c) * p), some(c, F.lit(True)))
+    by = counts.join(thr, F.col(tier).eqNullSafe(F.col("_t")), "left").groupBy(tier, "threshold")
+    out = by.agg(
+        F.sum("n").alias("n"), F.sum("n0").alias("n_real"), F.sum("n1").alias("n_fake"), mean("n0").alias("mean_p_real"), mean("n1").alias("mean_p_fake"),
+        of("n0", p < served).alias("real_acc"), of("n1", p >= served).alias("fake_recall"), of("n1", p >= F.col("threshold")).alias("oracle_recall"),
+    )
+    out = out.withColumns({"fpr": 1 - F.col("real_acc"), "balanced": (F.col("real_acc") + F.col("fake_recall")) / 2, "oracle_recall": F.when(F.col("threshold").isNotNull(), F.col("oracle_recall"))})
+    auc = auc_of(h, [tier]).select(F.col(tier).alias("_t"), "auc")
+    out = out.join(auc, F.col(tier).eqNullSafe(F.col("_t")), "left").drop("_t").withColumnRenamed("threshold", "oracle_threshold")
     digits = ["auc", "mean_p_real", "mean_p_fake", "real_acc", "fake_recall", "fpr", "balanced", "oracle_recall"]
     return out.withColumns({c: F.round(c, 6) for c in digits}).withColumn("reachable", F.col("oracle_threshold").isNotNull()).withColumn("fpr_resolution", F.round(1 / F.greatest("n_real", F.lit(1)), 6))
 

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import joins, metrics, reports, tiers
+from ..session import written
 from .views import SQL_MANIFEST, SQL_SCORES, manifest as manifest_v, read, scores
 
 Q: dict = {}
@@ -153,7 +154,8 @@ SQL_TIER_BOARD = SQL_BOARD.replace(SQL_SCORES, SQL_TIERS + f", s as (select tier
 @query(f"with {SQL_TIER_BOARD}")
 def tier_board(spark, d):
     """The flagship: held-out tiers of the manifest with a deterministic score, and all that is reported of a tier."""
-    t = tiers.build_tiers(manifest_v(spark, d))
+    narrow = manifest_v(spark, d).select("doc_id", "source_key", "generator", "label", "split")
+    t = tiers.build_tiers(written(narrow))  # asked for by each tier's condition: hashed and joined once
     x = (F.col("doc_id") * 7919 % 1009) / F.lit(1009.0) - 0.5 + F.when(F.col("label") == "fake", 0.25).otherwise(0)
     return reports.tier_board(t.select("tier", (F.col("label") == "fake").cast("int").alias("y"), F.round(1 / (1 + F.exp(-x * 4)), 6).alias("p")))
 

@@ -2,8 +2,9 @@
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "tessera", **conf: str) -> SparkSession:
@@ -17,3 +18,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (named or f"{tempfile.gettempdir()}/checkpoints/tessera").rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: what is read several times is computed once, and survives executors."""
+    path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
