@@ -4,12 +4,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import scoring
+from ..functions import grids
+from ..operators import learning, metrics, scoring
 from ..operators.ingest import SourceSpec
 from ..operators.sampling import spread
 from ..session import shared_folder
-from ..sources import shards
-from .views import read
+from ..sources import shards, versioned
+from .pixels import of_grid, pictures
+from .views import SQL_MANIFEST, manifest as manifest_v, read
 
 Q: dict = {}
 S: dict = {}
@@ -79,3 +81,64 @@ def fetched_source(spark, d):
     """A source by its fetcher's name: only the columns of its spec are read, then mapped."""
     spec = SourceSpec("lines", label_column="l_returnflag", label_map={"R": "fake", "A": "real"}, holdout_when={"l_linestatus": ["O"]})
     return shards.fetch(spark, "parquet", spec, f"{d}/lineitem.parquet").groupBy("label", "source_key").agg(F.count("*").alias("n"))
+
+
+def stored(spark, d):
+    """The manifest of documents as a versioned one; a third of its rows are stamped already."""
+    third = F.when(F.col("doc_id") % 3 == 0, "q95")
+    m = manifest_v(spark, d).select("doc_id", "sha256", "split", "label", "source_key", third.alias("encoding"), F.lit(None).cast("string").alias("source_sha256"))
+    out = versioned.Versioned(spark, f"{shared_folder(spark)}/manifest-{uuid.uuid4().hex}")
+    out.replace(m)
+    return out
+
+
+@query(f"with {SQL_MANIFEST} select doc_id, split, label, source_key from m where source_key not in ('src1', 'src1_holdout', 'src18', 'src18_holdout')")
+def purged_manifest(spark, d):
+    """Two sources deleted in place: parts that hold none of their rows keep their files."""
+    m = stored(spark, d)
+    versioned.purge(m, ["src1", "src18"])
+    return m.read().select("doc_id", "split", "label", "source_key")
+
+
+@query(f"with {SQL_MANIFEST} select split, label, case when doc_id % 3 = 0 then 'q95' else 'q90' end as encoding, count(*) as n, count(*) filter (doc_id % 3 <> 0) as with_source from m where split <> 'val' group by all")
+def normalised_manifest(spark, d):
+    """Rows without a stamp get one in place and keep the hash that they had; then a split is deleted."""
+    m = stored(spark, d)
+    versioned.normalise(m, "q90")
+    m.rewrite(F.col("split") == "val", lambda rows: rows.where("split <> 'val'"))
+    return m.read().groupBy("split", "label", "encoding").agg(F.count("*").alias("n"), F.count_if(F.col("source_sha256") == F.col("sha256")).alias("with_source"))
+
+
+@query("""with x as (select vec_id, case when vec_id % 4 = 0 then 'val' else 'train' end as split, list_transform(embedding, lambda c: c::double) as e from embeddings where vec_id % 13 <> 0)
+select vec_id, round(list_sum(e[1:32]), 6) as first, round(list_sum(e[33:64]), 6) as second from x where split = 'train'""")
+def cached_features(spark, d):
+    """Two views of the embeddings from a cache that was filled in two runs; rows that can't be read are left out."""
+    i = F.col("vec_id")
+    rows = read(spark, d, "embeddings").select("vec_id", F.when(i % 4 == 0, "val").otherwise("train").alias("split"), F.when(i % 13 != 0, F.transform("embedding", lambda x: x.cast("double"))).alias("e"))
+    cache = versioned.FeatureCache(spark, f"{shared_folder(spark)}/features-{uuid.uuid4().hex}")
+    half = lambda at: lambda part: F.slice("e", at, 32)
+    cache.extract(rows.where("split = 'val'"), {"first": half(1), "second": half(33)}, key="vec_id")
+    cache.extract(rows, {"first": half(1), "second": half(33)}, key="vec_id")
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + x), 6).alias(c)
+    return cache.load("train").select("vec_id", total("first"), total("second"))
+
+
+@query()
+def fused_heads(spark, d):
+    """Heads of four views with a fusion that learned from adaptation rows alone, saved, loaded and served on the rest."""
+    e = read(spark, d, "embeddings").select("vec_id", (F.col("label") >= 5).cast("int").alias("y"), F.pmod(F.xxhash64("vec_id"), F.lit(10)).alias("part"), "embedding")
+    names = ["v0", "v1", "v2", "v3"]
+    e = e.select("vec_id", "y", "part", *[F.transform(F.slice("embedding", 16 * i + 1, 16), lambda x: x.cast("double")).alias(v) for i, v in enumerate(names)])
+    bundle = learning.fit_bundle(e.where("part < 5"), e.where("part in (5, 6)"), names, adaptation=e.where("part = 7"), grid=(0.01, 1.0))
+    path = f"{shared_folder(spark)}/bundle-{uuid.uuid4().hex}"
+    bundle.save(spark, path)
+    served = learning.Bundle.load(spark, path).serve(e.where("part > 7"), names)
+    return served.select("vec_id", "y", F.round("p_fake", 6).alias("p"), (F.col("p_fake") >= F.lit(bundle.thresholds["served"])).alias("flagged"))
+
+
+@query()
+def shortcut_probe(spark, d):
+    """How well ten low-level statistics of their bytes tell the documents' quality, which they should not."""
+    p = pictures(spark, d).select("doc_id", of_grid(grids.measures).alias("s")).select("doc_id", "s.*").join(read(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    r = learning.shortcut_probe(p, "doc_id", grids.LOW_LEVEL, y="quality")
+    return r.select("n", "balanced_accuracy", "auc", F.array_join(F.transform("top", lambda t: F.concat(t["name"], F.lit(" "), t["weight"].cast("string"))), ", ").alias("top"), metrics.probe_verdict(F.col("balanced_accuracy")).alias("verdict"))

@@ -9,6 +9,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.manifest import conflicting_labels, leaks
 from ..schemas import CORPUS_CSV, MANIFEST, SCORES, SPLITS
+from ..session import written
 
 #: Readers by name; a source is a function (spark, path) -> DataFrame.
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,6 +135,7 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 def write_guarded(df: DataFrame, path: str, order: Sequence[str] = ("split", "label", "path")) -> None:
     """write_sorted, refused while content has two labels or stands in train and elsewhere."""
+    df = written(df)  # what is checked is what is written
     conflicts, leaked = conflicting_labels(df).count(), leaks(df).count()
     if conflicts or leaked:
         raise ValueError(f"{conflicts} contents with conflicting labels, {leaked} rows leaked from train")

@@ -91,8 +91,8 @@ class Versioned:
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         name = F.sha2(F.to_json(F.struct(*self.by), {"ignoreNullFields": "false"}), 256)
         df.withColumn("_part", name).write.partitionBy("_part").parquet(folder)
-        # one row for each part
-        return {self.part(r): f"{folder}/_part={r['_part']}" for r in df.select(*self.by, name.alias("_part")).distinct().collect()}
+        back = self.spark.read.schema(df.withColumn("_part", name).schema).parquet(folder)
+        return {self.part(r): f"{folder}/_part={r['_part']}" for r in back.select(*self.by, "_part").distinct().collect()}  # one row for each part
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, the latest without one."""
