@@ -12,14 +12,17 @@ for _b in range(256):
 ONES = np.array([bin(b).count("1") for b in range(256)], dtype=np.uint8)
 
 
+#: Bytes of the unary part between two entries of its directories, and selects that are answered at once.
+SAMPLE, AT_ONCE = 32, 1 << 15
+
+
 class EliasFano:
-    """A non-decreasing sequence of n numbers: `low` bits of each packed, high parts in unary with a directory by byte."""
+    """A non-decreasing sequence of n numbers: `low` bits of each packed, high parts in unary, with the numbers of ones and
+    of zeros before every SAMPLE bytes. All four arrays are what the files hold, so a loaded sequence stays on disk but for
+    the pages that are read."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.l, self.low, self.high = n, low_bits, low, high
-        ones = ONES[high].astype(np.int64)
-        self.ones = np.concatenate([[0], np.cumsum(ones)])
-        self.zeros = 8 * np.arange(len(high) + 1, dtype=np.int64) - self.ones
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray):
+        self.n, self.l, self.low, self.high, self.ones, self.zeros = n, low_bits, low, high, ones, zeros
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
@@ -32,7 +35,10 @@ class EliasFano:
         words.view(np.uint8)[: len(packed)] = packed
         unary = np.zeros((top >> bits) + n + 2, dtype=np.uint8)
         unary[(v >> np.uint64(bits)).astype(np.int64) + np.arange(n)] = 1
-        return cls(n, bits, words, np.packbits(unary, bitorder="little"))
+        high = np.packbits(unary, bitorder="little")
+        high = np.concatenate([high, np.zeros(-len(high) % SAMPLE, dtype=np.uint8)])  # whole stretches; zeros after the last one belong to no number
+        ones = np.concatenate([[0], np.cumsum(ONES[high].reshape(-1, SAMPLE).sum(1, dtype=np.int64))])
+        return cls(n, bits, words, high, ones, 8 * SAMPLE * np.arange(len(ones)) - ones)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.l:
@@ -44,10 +50,21 @@ class EliasFano:
         return (first | rest) & np.uint64((1 << self.l) - 1)
 
     def _select(self, k: np.ndarray, zeros: bool) -> np.ndarray:
-        sums = self.zeros if zeros else self.ones
-        byte = np.searchsorted(sums, k, side="right") - 1
-        bits = self.high[byte]
-        return 8 * byte + SELECT[~bits if zeros else bits, k - sums[byte]]
+        """The place of the k-th one or zero: its stretch by the directory, its byte by counting within the stretch."""
+        sums, out = self.zeros if zeros else self.ones, np.empty(len(k), dtype=np.int64)
+        stretches = self.high.reshape(-1, SAMPLE)
+        for at in range(0, len(k), AT_ONCE):
+            part = k[at : at + AT_ONCE]
+            stretch = np.searchsorted(sums, part, side="right") - 1
+            body = stretches[stretch]
+            body = ~body if zeros else body
+            upto = ONES[body].cumsum(1, dtype=np.int64)
+            left = part - sums[stretch]
+            byte = (upto <= left[:, None]).sum(1)
+            row = np.arange(len(part))
+            before = np.where(byte > 0, upto[row, np.maximum(byte - 1, 0)], 0)
+            out[at : at + AT_ONCE] = 8 * (SAMPLE * stretch + byte) + SELECT[body[row, byte], left - before]
+        return out
 
     def get(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, dtype=np.int64)
@@ -80,12 +97,14 @@ class EliasFano:
     def save(self, path: str) -> None:
         np.save(f"{path}.low.npy", self.low)
         np.save(f"{path}.high.npy", self.high)
+        np.save(f"{path}.ones.npy", self.ones)
+        np.save(f"{path}.zeros.npy", self.zeros)
         np.save(f"{path}.meta.npy", np.array([self.n, self.l]))
 
     @classmethod
     def load(cls, path: str) -> EliasFano:
         n, bits = np.load(f"{path}.meta.npy")
-        return cls(int(n), int(bits), np.load(f"{path}.low.npy", mmap_mode="r"), np.load(f"{path}.high.npy", mmap_mode="r"))
+        return cls(int(n), int(bits), *(np.load(f"{path}.{x}.npy", mmap_mode="r") for x in ("low", "high", "ones", "zeros")))
 
 
 #: A probability's code is 1 + its log10 in steps from FLOOR to 0; code 0 means unseen.
