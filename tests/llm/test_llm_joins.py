@@ -159,7 +159,7 @@ def plain(v):
 
 def check_sql(spark, d, name, **tables):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "labels", "embeddings"):
         if (Path(d) / f"{t}.parquet").exists():
             path = Path(d) / f"{t}.parquet"
             con.execute(f"create view {t} as select * from '{path if path.is_file() else f'{path}/*.parquet'}'")
