@@ -8,8 +8,8 @@ algorithm gives the least edit distance of the item to any stretch of the text.
 
 Defined cases: null or empty texts match nothing; null items and those without characters after folding are skipped; an
 item too short for an edit must stand exactly and not inside a longer word, where its script sets words apart; items
-with a null id are left out by `find_items` only; repeated items match under each id; repeated documents give a row each; empty tables give no rows. Extra columns
-are ignored by `find_items` and kept by `decontaminate`. Ids of items are integers or strings.
+with a null id are found under it; repeated items match under each id; repeated documents give a row each; empty tables
+give no rows. Extra columns are ignored by `find_items` and kept by `decontaminate`. Ids of items are integers or strings.
 """
 
 from collections import defaultdict
@@ -157,9 +157,9 @@ def add_hits(docs: DataFrame, block: list[tuple], rate: float, *, text="text", o
 
 
 def find_items(docs: DataFrame, items: DataFrame, *, key="doc_id", text="text", rate: float = 0.08) -> DataFrame:
-    """doc_id, item_id, distance, start, stop for each document and item within its budget."""
+    """doc_id, item_id, distance, start, stop for each document and item within its budget; an item without id has the id null."""
     found = None
-    for block in item_blocks(items.where("item_id is not null")):
+    for block in item_blocks(items):
         rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
         hits = add_hits(rows, block, rate, text_ids=is_text(items, "item_id")).select("doc_id", F.inline("hits"))
         found = hits if found is None else found.union(hits)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialise, read
+from .shared import free_names, materialise, read
 
 UNIT, RATE = 64, 8000
 ITEMS = "array<struct<position int, kind string, text string, ref string, caption string>>"
@@ -171,8 +171,12 @@ def read_media(store: DataFrame) -> DataFrame:
 
 
 def resolve_media(items: DataFrame, media: DataFrame, *, ref="ref") -> DataFrame:
-    """Join rows with a reference sha256:<digest> to what was read; texts and unknown references keep nulls."""
-    return items.withColumn("digest", F.regexp_extract(F.coalesce(ref, F.lit("")), "^sha256:([0-9a-f]{64})$", 1)).join(media, "digest", "left")
+    """Join rows with a reference sha256:<digest> to what was read; texts and unknown references keep nulls. A column of
+    media whose name the items have takes a longer one."""
+    named = media.toDF(*free_names(items, *media.columns))
+    digest = named.columns[media.columns.index("digest")]
+    wanted = F.regexp_extract(F.coalesce(ref, F.lit("")), "^sha256:([0-9a-f]{64})$", 1)
+    return items.join(named, wanted == F.col(digest), "left")
 
 
 def interleaved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

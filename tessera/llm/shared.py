@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,8 +32,24 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or spark.sparkContext.getCheckpointDir()).rstrip("/")
 
 
-#: Folders and tables that were written and not deleted yet, in order.
-WRITTEN: list[str] = []
+#: Names of what is written while `noted` is open in this thread.
+_NOTED: ContextVar[tuple[list[str], ...]] = ContextVar("noted", default=())
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The folders and tables that this thread writes meanwhile, in order; other threads have lists of their own."""
+    names: list[str] = []
+    token = _NOTED.set((*_NOTED.get(), names))
+    try:
+        yield names
+    finally:
+        _NOTED.reset(token)
+
+
+def note(name: str) -> None:
+    for names in _NOTED.get():
+        names.append(name)
 
 
 def materialise(df: DataFrame, parts: int | None = None) -> DataFrame:
@@ -39,7 +57,7 @@ def materialise(df: DataFrame, parts: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
     (df.coalesce(parts) if parts else df).write.option("compression", "zstd").parquet(path)
-    WRITTEN.append(path)
+    note(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -48,7 +66,7 @@ def bucketed(df: DataFrame, column: str) -> DataFrame:
     spark, name = df.sparkSession, f"tessera_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.repartition(parts, column).write.bucketBy(parts, column).sortBy(column).option("compression", "zstd").saveAsTable(name)
-    WRITTEN.append(name)
+    note(name)
     return spark.table(name)
 
 
@@ -60,7 +78,6 @@ def discard(spark: SparkSession, names: list[str]) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         else:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
-    WRITTEN[:] = [x for x in WRITTEN if x not in names]
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:

@@ -47,7 +47,7 @@ def fingerprint(text: str | None, size: int, seed: int = 42) -> int:
 
 
 def add_fingerprint(docs: DataFrame, *, text="text", size: int = 3, out="fp") -> DataFrame:
-    """Add the fingerprint as a signed long."""
+    """Add the fingerprint as a signed long; a column named as `out` is replaced."""
 
     def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for a in it:
