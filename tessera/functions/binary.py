@@ -68,6 +68,29 @@ def container_of(b: bytes | None) -> dict:
     return {"kind": kind, "chunks": chunks, "trailing_bytes": tail}
 
 
+def image_size(b: bytes | None) -> tuple[str, int, int] | None:
+    """Kind, width and height by a file's first bytes (PNG, JPEG, GIF, WebP); None where they say none."""
+    if not b:
+        return None
+    if b[:8] == b"\x89PNG\r\n\x1a\n" and b[12:16] == b"IHDR" and len(b) >= 24:
+        return ("png", *struct.unpack(">II", b[16:24]))
+    if b[:6] in (b"GIF87a", b"GIF89a") and len(b) >= 10:
+        return ("gif", *struct.unpack("<HH", b[6:10]))
+    if b[:2] == b"\xff\xd8":
+        frames = (body for m, body in jpeg_segments(b) if 0xC0 <= m <= 0xCF and m not in (0xC4, 0xC8, 0xCC) and len(body) >= 5)
+        body = next(frames, None)
+        return body and ("jpeg", int.from_bytes(body[3:5], "big"), int.from_bytes(body[1:3], "big"))
+    if b[:4] == b"RIFF" and b[8:12] == b"WEBP" and len(b) >= 30:
+        at = lambda i, n: int.from_bytes(b[i : i + n], "little")
+        if b[12:16] == b"VP8X":
+            return "webp", at(24, 3) + 1, at(27, 3) + 1
+        if b[12:16] == b"VP8L" and b[20] == 0x2F:
+            return "webp", (at(21, 4) & 0x3FFF) + 1, (at(21, 4) >> 14 & 0x3FFF) + 1
+        if b[12:16] == b"VP8 " and b[23:26] == b"\x9d\x01\x2a":
+            return "webp", at(26, 2) & 0x3FFF, at(28, 2) & 0x3FFF
+    return None
+
+
 WIDTHS = {24: 1, 25: 2, 26: 4, 27: 8}
 
 
@@ -259,6 +282,18 @@ def cbor_text(content):
     return F.arrow_udf(_cbor, "array<string>")(content)
 
 
+def _image(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    kind = pa.struct([("format", pa.string()), ("width", pa.int32()), ("height", pa.int32())])
+    for a in it:
+        sizes = [image_size(x.as_py()) for x in a]
+        yield pa.array([None if s is None else {"format": s[0], "width": s[1], "height": s[2]} for s in sizes], kind)
+
+
+def image_header(content):
+    """A struct format, width and height of an image's bytes, null where its header can't be read."""
+    return F.arrow_udf(_image, "format string, width int, height int")(content)
+
+
 def _claims(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for a in it:
         rows = [claims_of(x.as_py()) for x in a]

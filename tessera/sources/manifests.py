@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..functions.binary import image_header
 from ..operators.manifest import conflicting_labels, leaks
+from ..operators.sampling import stride_sample
 from ..schemas import CORPUS_CSV, MANIFEST, SCORES, SPLITS
 from ..session import written
 
@@ -45,11 +47,27 @@ def read_scores(spark: SparkSession, path: str) -> DataFrame:
 
 @reader("tree")
 def read_tree(spark: SparkSession, path: str, suffixes: Sequence[str] = ("png", "jpg", "jpeg", "webp"), recursive: bool = False, content: bool = False) -> DataFrame:
-    """Files of <root>/real and <root>/fake with label, name, size and time; contents only on request."""
+    """Files of <root>/real and <root>/fake in order of their paths, with label, name, size and time; contents only on request."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path if recursive else f"{path}/*")
     ok = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(*suffixes)
     out = files.withColumn("label", F.regexp_extract("path", r"/(real|fake)/", 1)).where(ok & (F.col("label") != "")).withColumn("name", F.element_at(F.split("path", "/"), -1))
-    return out if content else out.drop("content")
+    return (out if content else out.drop("content")).orderBy("path")
+
+
+def scanned(spark: SparkSession, roots: Sequence[str], suffixes: Sequence[str] = ("png", "jpg", "jpeg", "webp"), per_class: int = 0) -> DataFrame:
+    """Files of several trees, with root, label, name, length and what their headers say (format, width, height, null where
+    they can't be read); with per_class only so many of each root and class, spread evenly over their names."""
+    trees = [read_tree(spark, r, suffixes, recursive=True).withColumn("root", F.lit(r)) for r in roots]
+    files = either(*trees)
+    if per_class:
+        files = stride_sample(files, ["root", "label"], ["path"], per_class)
+    content = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(roots)).select("path", image_header(F.col("content")).alias("h"))
+    return files.join(content, "path", "left").select("root", "label", "path", "name", "length", "h.format", "h.width", "h.height")
+
+
+def tree_counts(files: DataFrame) -> DataFrame:
+    """root, label, n and bytes of scanned files."""
+    return files.groupBy("root", "label").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
 
 
 @reader("images")
