@@ -47,10 +47,12 @@ def region_name(x: Column, y: Column, w: Column, h: Column, width: Column, heigh
 
 
 def format_bytes(n: Column) -> Column:
-    """Bytes in the largest binary unit that keeps the number at 1 or more."""
-    out = F.concat(F.format_number(n.cast("double"), 0), F.lit(" B"))
+    """Bytes in the largest binary unit that keeps the number at 1 or more: whole bytes and kilobytes (cut off), two
+    decimals from megabytes on."""
+    out = F.format_string("%d B", n.cast("long"))
     for i, u in enumerate(("KB", "MB", "GB", "TB"), 1):
-        out = F.when(n >= 1024**i, F.concat(F.format_number(n / float(1024**i), 2), F.lit(f" {u}"))).otherwise(out)
+        value = n / float(1024**i)
+        out = F.when(n >= 1024**i, F.format_string("%d KB", F.floor(value)) if i == 1 else F.format_string(f"%.2f {u}", value)).otherwise(out)
     return out
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
-from .metrics import auc_of, ratio, roc_auc, threshold_of
+from .metrics import auc_of, percentile_threshold, ratio, roc_auc, threshold_of
 
 
 def tier_board(df: DataFrame, tier="tier", served: float = 0.5, percent: int = 5) -> DataFrame:
@@ -132,8 +132,56 @@ def agreement(votes: Column, verdict: Column) -> Column:
     return F.size(F.filter(F.map_values(votes), lambda v: v == verdict))
 
 
-def fingerprint(df: DataFrame, name: str, content: str, buckets: int = 4096) -> DataFrame:
-    """An order-independent digest of named blocks: digests of hash buckets, and of those in order."""
-    h = df.select(F.sha2(F.concat_ws("\0", F.col(name).cast("string"), F.sha2(F.col(content).cast("string"), 256)), 256).alias("h"))
-    b = h.groupBy(F.substring("h", 1, 3).alias("b")).agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("h"))), 256).alias("d"))
-    return b.agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"])), 256).alias("digest"))
+def fingerprint(df: DataFrame, name: str, content: str) -> DataFrame:
+    """An order-independent digest of named blocks: of how many there are and of the sums of their digests' parts, which
+    each task adds up by itself."""
+    h = F.sha2(F.concat_ws("\0", F.col(name).cast("string"), F.sha2(F.col(content).cast("string"), 256)), 256)
+    return df.select(h.alias("h")).agg(digest_of("h").alias("digest"))
+
+
+def digest_of(h: str) -> Column:
+    """As an aggregate: a digest of the number of hex digests of a column and of the sums of their parts of 15 digits."""
+    parts = [F.sum(F.conv(F.substring(h, i, 15), 16, 10).cast("decimal(38,0)")).cast("string") for i in (1, 16, 31, 46)]
+    return F.sha2(F.concat_ws("-", F.count(h).cast("string"), *parts), 256)
+
+
+def misses(df: DataFrame, group: str, key: str, most: int = 20, threshold: float = 0.5) -> DataFrame:
+    """Rows on the wrong side of the threshold: of each group and class the first `most` by key, with how many there are."""
+    wrong = df.where((F.col("p") >= threshold) != (F.col("y") == 1))
+    n = wrong.groupBy(F.col(group).alias("_g"), F.col("y").alias("_y")).agg(F.count("*").alias("n_missed"))
+    first = wrong.withColumn("_r", F.row_number().over(Window.partitionBy(group, "y").orderBy(key))).where(F.col("_r") <= most)
+    return first.join(n, F.col(group).eqNullSafe(F.col("_g")) & (F.col("y") == F.col("_y"))).select(group, "y", key, "p", "n_missed")
+
+
+def corpus_report(df: DataFrame, panels: dict[str, Column], *, label="label") -> DataFrame:
+    """panel, label, value, n, mean_megapixels and rank (by count, then value) of a corpus by class and several keys, and
+    of the classes themselves (panel 'class'); one pass, a row counts once in each panel."""
+    keys = F.array(*[F.struct(F.lit(k).alias("panel"), c.cast("string").alias("value")) for k, c in {"class": F.lit(""), **panels}.items()])
+    mega = F.col("width").cast("double") * F.col("height") / 1e6
+    g = df.select(label, mega.alias("mega"), F.inline(keys)).groupBy("panel", label, "value").agg(F.count("*").alias("n"), F.round(F.avg("mega"), 6).alias("mean_megapixels"))
+    return g.withColumn("rank", F.row_number().over(Window.partitionBy("panel", label).orderBy(F.desc("n"), "value")))
+
+
+def group_report(df: DataFrame, group: str, order: str, threshold: float = 0.5) -> DataFrame:
+    """Each group under the class of its first row by `order`: y, n, mean_p, and the share of its rows that the threshold
+    puts to that class; classes and then groups give the order of the report."""
+    g = df.groupBy(F.coalesce(F.col(group), F.lit("?")).alias(group)).agg(F.min_by("y", order).alias("y"), F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("mean_p"), F.avg((F.col("p") >= threshold).cast("double")).alias("hit"))
+    return g.select(group, "y", "n", "mean_p", F.round(F.when(F.col("y") == 1, F.col("hit")).otherwise(1 - F.col("hit")), 6).alias("right")).orderBy("y", group)
+
+
+def epoch_metrics(df: DataFrame, epochs: Sequence[str], fpr: float = 0.05) -> DataFrame:
+    """For each epoch n, the mean loss, accuracy at 0.5, auc, and the threshold that keeps the false positive rate with the
+    recall there."""
+    ok = (F.col("p") >= 0.5) == (F.col("y") == 1)
+    base = df.groupBy(*epochs).agg(F.count("*").alias("n"), F.round(F.avg("loss"), 6).alias("loss"), F.round(F.avg(ok.cast("double")), 6).alias("accuracy"))
+    auc = roc_auc(df, epochs).select(*epochs, F.round("auc", 6).alias("auc"))
+    at = percentile_threshold(df, epochs, fpr).select(*epochs, F.round("threshold", 6).alias("threshold"), F.round("recall", 6).alias("recall"))
+    return base.join(auc, list(epochs)).join(at, list(epochs))
+
+
+def most_common(df: DataFrame, value: str, order: str, most: int = 0) -> DataFrame:
+    """value, n and rank of values by their count, those of one count in the order in which they were seen first; null is
+    a value like others. With `most` only so many."""
+    g = df.groupBy(value).agg(F.count("*").alias("n"), F.min(order).alias("_first"))
+    top = g.orderBy(F.desc("n"), "_first").limit(most) if most else g
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "_first"))).drop("_first")  # a row for each value

@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import binary, provenance, text as T
-from ..operators import learning, reports
+from ..operators import learning
 from ..session import shared_folder
 from ..streaming import resumable
 from .views import SQL_SCORES, read, scores
@@ -232,11 +232,6 @@ def cbor_values(spark, d):
     return got.select("event_id", "value", F.size("texts").alias("n_texts"), F.when(F.size("texts") > 2, F.element_at("texts", -1)).otherwise(F.concat(F.coalesce("event_type", F.lit("")), F.lit("\n0"))).alias("last"))
 
 
-@query()
-def content_fingerprint(spark, d):
-    return reports.fingerprint(read(spark, d, "documents"), "doc_id", "text")
-
-
 @query("select distinct event_id, user_id, event_type from events")
 def resumable_append(spark, d):
     """Events as a stream: deduplicated by id within an hour, appended until nothing is left, then read."""
