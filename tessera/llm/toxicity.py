@@ -18,6 +18,7 @@ labels of both classes every score is the smoothed share of toxic labels; an emp
 named as `out` is replaced; other extra columns stay with `score_toxicity` and are ignored by the query.
 """
 
+import hashlib
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 from itertools import accumulate
@@ -97,28 +98,48 @@ class ToxicityModel:
         d.precompute_compress(level=LEVEL)
         return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
 
-    def gains(self, ws: list[bytes], at_once: int = 8192) -> Iterator[np.ndarray]:
-        """The gain of each window, some windows at a time."""
-        if self._made is None:
-            self._made = tuple(self._compressor(x) for x in (self.ordinary, self.toxic))
-        sizes = lambda c, windows: np.array([len(x) for x in c.multi_compress_to_buffer(windows, threads=0)])
+    def windows(self, ws: list[bytes], at_once: int = 8192) -> Iterator[list[bytes]]:
+        """The windows of some words between carrier and tail, some at a time."""
         text = b" " + b" ".join(ws) + b" "
         spaces = [*accumulate((len(w) + 1 for w in ws), initial=0)]  # before each word, and the last
         stop = max(1, len(ws) - WINDOW + STEP) if ws else 0
         for start in range(0, stop, STEP * at_once):
-            windows = [CARRIER + text[spaces[i] : spaces[min(i + WINDOW, len(ws))] + 1] + TAIL for i in range(start, min(stop, start + STEP * at_once), STEP)]
-            yield sizes(self._made[0], windows) - sizes(self._made[1], windows)
-
-    def counts(self, ws: list[bytes]) -> np.ndarray:
-        """How many windows have each gain of GAINS or more."""
-        out = np.zeros(len(GAINS), dtype=np.int64)
-        if self.toxic:
-            for g in self.gains(ws):
-                out += np.array([(g >= t).sum() for t in GAINS])
+            yield [CARRIER + text[spaces[i] : spaces[min(i + WINDOW, len(ws))] + 1] + TAIL for i in range(start, min(stop, start + STEP * at_once), STEP)]
+
+    def gains(self, windows: list[bytes]) -> np.ndarray:
+        """The bytes that the toxic dictionary saves against the ordinary one, for each window."""
+        if self._made is None:
+            self._made = tuple(self._compressor(x) for x in (self.ordinary, self.toxic))
+        ordinary, toxic = (np.fromiter(map(len, c.multi_compress_to_buffer(windows, threads=0)), np.int64, len(windows)) for c in self._made)
+        return ordinary - toxic
+
+    def counts(self, texts: list[list[bytes]], at_once: int = 16_384) -> np.ndarray:
+        """How many windows of each text have each gain of GAINS or more; windows of several texts are compressed together."""
+        out, held, owner = np.zeros((len(texts), len(GAINS)), dtype=np.int64), [], []
+
+        def add() -> None:
+            g, of = self.gains(held), np.repeat(*map(np.array, zip(*owner, strict=True)))
+            for k, t in enumerate(GAINS):
+                out[:, k] += np.bincount(of[g >= t], minlength=len(texts))
+            held.clear()
+            owner.clear()
+
+        for i, ws in enumerate(texts) if self.toxic else ():
+            for part in self.windows(ws):
+                held += part
+                owner.append((i, len(part)))
+                if len(held) >= at_once:
+                    add()
+        if held:
+            add()
         return out
 
-    def features(self, ws: list[bytes]) -> list[float]:
-        return [1.0, *np.log1p(self.counts(ws)), log(1 + len(ws)) * 0.1] if self.toxic else [1.0] + [0.0] * (len(GAINS) + 1)
+    def features(self, texts: list[list[bytes]]) -> np.ndarray:
+        """A row of numbers for each text."""
+        if not self.toxic:
+            return np.repeat([[1.0] + [0.0] * (len(GAINS) + 1)], len(texts), axis=0)
+        n = np.array([len(ws) for ws in texts])
+        return np.column_stack([np.ones(len(texts)), np.log1p(self.counts(texts)), np.log1p(n) * 0.1])
 
 
 def dictionaries(chosen: list[bytes], going_on: Counter, ordinary: list[bytes]) -> ToxicityModel:
@@ -228,8 +249,11 @@ def learn(sample: DataFrame, total: dict[int, int]) -> ToxicityModel:
 
     def crossed(batches):
         for b in batches:
-            y, fold, t = (b.column(i).to_pylist() for i in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array([models[f].features(x.split()) for f, x in zip(fold, t, strict=True)], pa.list_(pa.float64()))], names=["y", "x"])
+            fold = b.column(1).to_numpy()
+            for f in np.unique(fold):
+                part = b.filter(pa.array(fold == f))
+                x = models[int(f)].features([t.split() for t in part.column(2).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "x"])
 
     rows = sample.select("y", "fold", "t").mapInArrow(crossed, "y int, x array<double>").collect()  # at most 2 * per_class rows of 7 numbers
     ys = np.array([r.y for r in rows])
@@ -284,7 +308,21 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, key="doc_id", text="te
     return learn(sample, total)
 
 
+#: In a worker: the model at hand, and features of texts that it has seen, by their digests, at most REMEMBERED.
 _MODELS: dict = {}
+REMEMBERED = 1 << 16
+
+
+def remembered_features(model: ToxicityModel, seen: dict[bytes, np.ndarray], texts: list[str | None]) -> np.ndarray:
+    """Features of texts; copies of one text are computed once, while it is remembered."""
+    names = [hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
+    new = {k: t for k, t in zip(names, texts, strict=True) if k not in seen}
+    found = dict(zip(new, model.features([words_of(t) for t in new.values()]), strict=True)) if new else {}
+    out = np.array([found[k] if k in found else seen[k] for k in names])
+    if len(seen) + len(found) > REMEMBERED:
+        seen.clear()
+    seen.update(found)
+    return out
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text="text", out="toxicity") -> DataFrame:
@@ -294,9 +332,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text="text", out="t
         name = hash((model.toxic, model.ordinary))
         if name not in _MODELS:
             _MODELS.clear()
-        m, w = _MODELS.setdefault(name, model), np.array(model.weights)
+        m, seen = _MODELS.setdefault(name, (model, {}))
+        w = np.array(model.weights)
         for a in it:
-            f = np.array([m.features(words_of(x.as_py())) for x in a]).reshape(-1, len(w))
+            parts = [remembered_features(m, seen, a.slice(i, 64).to_pylist()) for i in range(0, len(a), 64)]
+            f = np.concatenate(parts) if parts else np.zeros((0, len(w)))
             yield pa.StructArray.from_arrays([pa.array(1 / (1 + np.exp(-np.clip(f @ w, -30, 30)))), pa.array(np.rint(np.expm1(f[:, 2])).astype("int32"))], names=["score", "hits"])
 
     return docs.withColumn(out, F.arrow_udf(score, "score double, hits int")(text))
