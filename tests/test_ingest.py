@@ -80,4 +80,4 @@ def test_quota_and_dedup_streams(spark, tmp_path):
 
 
 def test_model_zoo_has_its_kinds():
-    assert set(model_zoo()) == {"logistic", "tree", "forest", "linear_svm", "gaussian_nb"}
+    assert set(model_zoo()) == {"logistic", "tree", "forest", "linear_svm", "rbf_svm", "nearest", "gaussian_nb"}
