@@ -177,7 +177,7 @@ def model_zoo(dims: int = 16, key: str = "vec_id") -> dict[str, Pipeline]:
         "tree": scaled(DecisionTreeClassifier(maxDepth=8, seed=42, **common)),
         "forest": reduced(RandomForestClassifier(numTrees=50, maxDepth=8, seed=42, **common)),
         "linear_svm": reduced(LinearSVC(maxIter=50, **common)),
-        "rbf_svm": reduced(RandomFourier("scaled", "waves"), LinearSVC(maxIter=50, regParam=1e-4, featuresCol="waves", labelCol="y")),
+        "rbf_svm": reduced(RandomFourier("scaled", "waves", size=256), LinearSVC(maxIter=50, regParam=1e-4, featuresCol="waves", labelCol="y")),
         "nearest": reduced(NearestClassifier(key=key, **common)),
         "gaussian_nb": reduced(NaiveBayes(modelType="gaussian", **common)),
     }

@@ -39,9 +39,11 @@ def tier_leaks(m: DataFrame, *, source="source_key", generator="generator") -> D
     return _flagged(m, source, generator).where(~F.col("split").isin(*FITTED, "test") & (F.col("label") == "fake") & F.col("fitted_source") & F.col("fitted_generator"))
 
 
-def tier_sources(tiers: DataFrame, *, source="source_key", generator="generator", most: int = 50) -> DataFrame:
-    """tier, negatives, fakes' generators, and sources of T3 fakes that training shares: short lists of distinct names."""
-    lst = lambda c: F.array_join(F.slice(F.array_sort(F.collect_set(c)), 1, most), ", ")
+def tier_sources(tiers: DataFrame, *, source="source_key", generator="generator", most: int | None = None) -> DataFrame:
+    """tier, negatives, fakes' generators, and sources of T3 fakes that training shares: sorted distinct names, the first `most` of them if it
+    is given."""
+    first = lambda names: names if most is None else F.slice(names, 1, most)
+    lst = lambda c: F.array_join(first(F.array_sort(F.collect_set(c))), ", ")
     return tiers.groupBy("tier").agg(
         lst(F.when(F.col("label") == "real", F.col(source))).alias("negatives"),
         lst(F.when(F.col("label") == "fake", F.col(generator))).alias("generators"),
