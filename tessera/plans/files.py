@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import binary, text as T
-from ..operators import audits, extract, reports, sampling
+from ..operators import audits, extract, manifest, reports, sampling, tiers
 from ..session import shared_folder, written
 from ..sources import manifests as M
 from ..streaming import resumable
@@ -299,3 +299,18 @@ def credential_chunks(spark, d):
     """Files with credentials by how many chunks they have, and how many claim generators these name."""
     c = credential_files(spark, d).select(F.size(binary.container(F.col("content"))["chunks"]).alias("chunks"), F.try_element_at(binary.claims(F.col("content")), F.lit("claim_generator")).alias("c"))
     return c.groupBy("chunks").agg(F.count("*").alias("n"), F.countDistinct("c").alias("claimers"))
+
+
+@query(f"with {SQL_MANIFEST} select substr(sha256, 1, 2) as sha256, string_agg(distinct label, ',' order by label) as labels, count(distinct label) as n_labels, count(*) as n from m group by 1 having count(distinct label) > 1")
+def conflicting_prefixes(spark, d):
+    """Contents told apart by two digits only, so that many have both labels."""
+    return manifest.conflicting_labels(manifest_v(spark, d).withColumn("sha256", F.substring("sha256", 1, 2)))
+
+
+@query(f"""with {SQL_MANIFEST}, x as (select doc_id, split, label, case when holdout and doc_id % 4 <> 1 then source else source_key end as source_key, case when holdout then 'en' else generator end as generator from m), f as (select * from x where split in ('train', 'val'))
+select doc_id, source_key, generator from x where split not in ('train', 'val', 'test') and label = 'fake' and source_key in (select source_key from f) and generator in (select generator from f where label = 'fake')""")
+def leaking_tiers(spark, d):
+    """Held-out fakes that lost their quarantine name and carry a trained generator's: in no tier, to be mended."""
+    i = F.col("doc_id")
+    m = manifest_v(spark, d).withColumns({"source_key": F.when(F.col("holdout") & (i % 4 != 1), F.col("source")).otherwise(F.col("source_key")), "generator": F.when(F.col("holdout"), "en").otherwise(F.col("generator"))})
+    return tiers.tier_leaks(m).select("doc_id", "source_key", "generator")

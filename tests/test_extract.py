@@ -51,14 +51,14 @@ def test_sampled_carved_and_merged_splits(rows):
 
 def test_preferred_sides(spark):
     body = lambda k: bytearray(f"image {k}".encode())
-    pairs = [(i, "grok" if i % 2 else "other", body(i % 6), 500, 300, "grok" if i % 3 == 0 else "x", body(100 + i), 390 if i == 12 else 800, 100) for i in range(20)] + [(50, "grok", None, 900, 900, "x", body(1), 900, 900)]
+    pairs = [(i, "maker" if i % 2 else "other", body(i % 6), 500, 300, "maker" if i % 3 == 0 else "x", body(100 + i), 390 if i == 12 else 800, 100) for i in range(20)] + [(50, "maker", None, 900, 900, "x", body(1), 900, 900)]
     df = spark.createDataFrame(pairs, "id int, model1 string, content1 binary, width1 int, height1 int, model2 string, content2 binary, width2 int, height2 int")
     sha = lambda b: hashlib.sha256(bytes(b)).hexdigest()
     seen = spark.createDataFrame([(sha(body(100)),)], "sha256 string")
     guard = spark.createDataFrame([(sha(body(3))[:16] + "0" * 48,)], "prefix string")
-    got = [(r.id, bytes(r.content)) for r in X.preferred_side(df, "grok", guard, seen, "id", quota=6, had=1).collect()]
+    got = [(r.id, bytes(r.content)) for r in X.preferred_side(df, "maker", guard, seen, "id", quota=6, had=1).collect()]
     assert got == [(1, bytes(body(1))), (5, bytes(body(5))), (6, bytes(body(106))), (18, bytes(body(118)))]
-    assert X.preferred_side(df, "grok", guard, seen, "id", quota=3, had=1).count() == 2 and X.preferred_side(df, "grok", guard, seen, "id", quota=1, had=5).count() == 0
+    assert X.preferred_side(df, "maker", guard, seen, "id", quota=3, had=1).count() == 2 and X.preferred_side(df, "maker", guard, seen, "id", quota=1, had=5).count() == 0
 
 
 def test_quotas_count_what_is_there(spark, rows):
