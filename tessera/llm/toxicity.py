@@ -21,7 +21,6 @@ named as `out` is replaced; other extra columns stay with `score_toxicity` and a
 import hashlib
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
-from itertools import accumulate
 from math import log
 from typing import Iterator
 
@@ -45,7 +44,7 @@ FOLDS = 5
 
 def words_of(text: str | None) -> list[bytes]:
     ws = text.encode("utf-8", "surrogatepass").lower().translate(PUNCTUATION).split() if text else []
-    return ws if all(len(w) <= PIECE for w in ws) else [w[i : i + PIECE] for w in ws for i in range(0, len(w), PIECE)]
+    return ws if max(map(len, ws), default=0) <= PIECE else [w[i : i + PIECE] for w in ws for i in range(0, len(w), PIECE)]
 
 
 def segments(ws: list[bytes]) -> set[bytes]:
@@ -100,11 +99,13 @@ class ToxicityModel:
 
     def windows(self, ws: list[bytes], at_once: int = 8192) -> Iterator[list[bytes]]:
         """The windows of some words between carrier and tail, some at a time."""
-        text = b" " + b" ".join(ws) + b" "
-        spaces = [*accumulate((len(w) + 1 for w in ws), initial=0)]  # before each word, and the last
-        stop = max(1, len(ws) - WINDOW + STEP) if ws else 0
-        for start in range(0, stop, STEP * at_once):
-            yield [CARRIER + text[spaces[i] : spaces[min(i + WINDOW, len(ws))] + 1] + TAIL for i in range(start, min(stop, start + STEP * at_once), STEP)]
+        text, n = b" " + b" ".join(ws) + b" ", len(ws)
+        spaces = np.zeros(n + 1, dtype=np.int64)  # before each word, and the last
+        np.cumsum(np.fromiter(map(len, ws), np.int64, n) + 1, out=spaces[1:])
+        first = np.arange(0, max(1, n - WINDOW + STEP) if n else 0, STEP)
+        starts, stops = spaces[first].tolist(), (spaces[np.minimum(first + WINDOW, n)] + 1).tolist()
+        for at in range(0, len(starts), at_once):
+            yield [CARRIER + text[i:j] + TAIL for i, j in zip(starts[at : at + at_once], stops[at : at + at_once], strict=True)]
 
     def gains(self, windows: list[bytes]) -> np.ndarray:
         """The bytes that the toxic dictionary saves against the ordinary one, for each window."""
