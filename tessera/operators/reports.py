@@ -180,8 +180,8 @@ def epoch_metrics(df: DataFrame, epochs: Sequence[str], fpr: float = 0.05) -> Da
 
 
 def most_common(df: DataFrame, value: str, order: str, most: int = 0) -> DataFrame:
-    """value, n and rank of values by their count, those of one count in the order in which they were seen first; null is
-    a value like others. With `most` only so many."""
-    g = df.groupBy(value).agg(F.count("*").alias("n"), F.min(order).alias("_first"))
-    top = g.orderBy(F.desc("n"), "_first").limit(most) if most else g
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "_first"))).drop("_first")  # a row for each value
+    """value, n and rank of values by their count, those of one count in the order in which they were seen first, those
+    seen first at the same place by value, so that reruns agree; null is a value like others. With `most` only so many."""
+    g, by = df.groupBy(value).agg(F.count("*").alias("n"), F.min(order).alias("_first")), [F.desc("n"), F.col("_first"), F.col(value)]
+    top = g.orderBy(*by).limit(most) if most else g
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*by))).drop("_first")  # a row for each value

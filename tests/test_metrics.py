@@ -93,3 +93,11 @@ def test_ordinal_splits(spark):
 def test_terciles_are_not_ntile(spark):
     df = spark.createDataFrame([(i, "real") for i in range(7)], "x int, label string")
     assert [r["count"] for r in sampling.terciles(df, "label", "x", "x").groupBy("tercile").count().orderBy("tercile").collect()] == [2, 2, 3]
+
+
+def test_values_seen_first_at_one_place_are_ranked_by_value(spark):
+    rows = [(None if v == 0 else f"v{v:02}", at) for v in range(30) for at in (5, 7)]
+    random.Random(3).shuffle(rows)
+    for parts in (1, 7):
+        got = reports.most_common(spark.createDataFrame(rows, "v string, at int").repartition(parts), "v", "at")
+        assert [r.v for r in sorted(got.collect(), key=lambda r: r["rank"])] == [None, *[f"v{v:02}" for v in range(1, 30)]]
