@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, linededup, mixing, shingles, toxicity
+from tessera.llm import decontaminate, linededup, mixing, simhash, toxicity
 from tessera.llm.shared import discard, free_names, materialise, noted, read
 
 
@@ -29,8 +29,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose sets of five-word shingles link at a Jaccard similarity of 0.8 or more."""
-    return shingles.keep_first(docs)
+    """One document of each group that SimHash fingerprints within 3 bits link, or sets of five-word shingles at a Jaccard
+    similarity of 0.8 or more."""
+    return simhash.first_of_groups(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

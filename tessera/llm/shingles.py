@@ -2,7 +2,8 @@
 
 A text is the set of its shingles of `size` words, as 64-bit hashes. Texts whose sets have a Jaccard similarity of 0.8
 or more link, and groups are the components of the links. Texts of equal sets form a class; only classes are joined.
-SimHash fingerprints of a radius that can be searched lose a part of these links (README), so this takes their place.
+SimHash fingerprints of a radius that can be searched lose a part of these links (README): `simhash.first_of_groups` links
+by both.
 
 1. Shingles are counted in hash buckets, and each set is put in the order of these counts, rarest first. Two linked sets
    share a shingle among the n - ceil(0.8 n) + 1 rarest of each, whatever the order, so only these prefixes are joined;
@@ -133,11 +134,12 @@ def sets_of(docs: DataFrame, marked: DataFrame, classes: DataFrame, place: str,
     return texts.dropDuplicates(["at"]).select("sh", whole(F.col("text"), size).alias("w"))
 
 
-def groups(docs: DataFrame, place: str, *, key="doc_id", text="text", size: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Each document as doc_id, at (its place) and sh (class), and the components (node, component) of linked classes."""
+def groups(docs: DataFrame, place: str, *, key="doc_id", text="text", size: int = 5, also: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Each document as doc_id, at (its place), sh (class) and what is wanted `also`, and the components (node, component)
+    of linked classes."""
     counts = rarity(docs, text, size)
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(place).alias("at"), prefixed(F.col(text), size, counts).alias("s"))
-    marked = materialise(rows.select("doc_id", "at", "s.sh", "s.n", "s.prefix"))
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(place).alias("at"), prefixed(F.col(text), size, counts).alias("s"), (F.lit(None) if also is None else also).alias("also"))
+    marked = materialise(rows.select("doc_id", "at", "s.sh", "s.n", "s.prefix", "also"))
     t = Window.partitionBy("t")
     prefixes = marked.groupBy("sh", "n").agg(F.any_value("prefix").alias("prefix")).select("sh", "n", F.posexplode("prefix").alias("k", "t"))
     ends = prefixes.select("t", "sh", "n", "k", F.min(F.struct("sh", "n")).over(t).alias("head"), F.max("sh").over(t).alias("last"))
@@ -154,7 +156,17 @@ def groups(docs: DataFrame, place: str, *, key="doc_id", text="text", size: int
     most = F.least("l.k", "r.k") + F.least(F.col("l.n") - F.col("l.k"), F.col("r.n") - F.col("r.k"))
     new = (F.col("l.t") == F.col("r.t")) & (F.col("l.sh") < F.col("r.sh")) & (F.col("l.comp") != F.col("r.comp")) & similar_length(F.col("l.n"), F.col("r.n")) & enough(most, F.col("l.n"), F.col("r.n"))
     more = compared(materialise(promising(l.join(r, new).select(F.col("l.sh").alias("a"), F.col("l.n").alias("n"), F.col("r.sh").alias("b"), F.col("r.n").alias("m")))))
-    return marked.select("doc_id", "at", "sh"), connected_components(links.union(more))
+    return marked.select("doc_id", "at", "sh", "also"), connected_components(links.union(more))
+
+
+def firsts(table: DataFrame, at: str, marked: DataFrame, comps: DataFrame, key: str) -> DataFrame:
+    """The rows of the table, bucketed by `at`, that come first in the component of their class."""
+    least = marked.groupBy("sh").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("first"))
+    of_group = least.join(comps, least.sh == comps.node, "left").groupBy(F.coalesce("component", "sh")).agg(F.min("first").alias("first"))
+    k, mine = free_names(table, "_key", "_mine")
+    first = materialise(of_group.select(F.col("first.at").alias(mine), F.col("first.doc_id").alias(k)))
+    same = (F.col(at) == F.col(mine)) & F.col(key).eqNullSafe(F.col(k))
+    return table.join(first.hint("merge"), same, "left_semi").dropDuplicates([at, key])
 
 
 def keep_first(docs: DataFrame, *, key="doc_id", text="text", size: int = 5) -> DataFrame:
@@ -163,9 +175,4 @@ def keep_first(docs: DataFrame, *, key="doc_id", text="text", size: int = 5) ->
     (at,) = free_names(docs, "_at")
     table = bucketed(docs.withColumn(at, place(key, text)), at)
     marked, comps = groups(table, at, key=key, text=text, size=size)
-    least = marked.groupBy("sh").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("first"))
-    of_group = least.join(comps, least.sh == comps.node, "left").groupBy(F.coalesce("component", "sh")).agg(F.min("first").alias("first"))
-    k, mine = free_names(table, "_key", "_mine")
-    first = materialise(of_group.select(F.col("first.at").alias(mine), F.col("first.doc_id").alias(k)))
-    same = (F.col(at) == F.col(mine)) & F.col(key).eqNullSafe(F.col(k))
-    return table.join(first.hint("merge"), same, "left_semi").dropDuplicates([at, key]).select(*docs.columns)
+    return firsts(table, at, marked, comps, key).select(*docs.columns)

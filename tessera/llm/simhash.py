@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialise, read, words
-from .shingles import keep_first  # noqa: F401 - the documents without near duplicates
+from .shared import bucketed, free_names, materialise, read, words
+from .shingles import firsts, groups, keep_first, place  # noqa: F401 - keep_first: the documents without near duplicates by sets alone
 
 BATCH = 16_384
 #: A candidate costs as much as so many probes: candidates grow with the square of the input.
@@ -183,5 +183,20 @@ def near_duplicates(docs: DataFrame, *, key="doc_id", text="text", size: int = 3
     return marked.join(by_fp, "fp").select("doc_id", "th", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def first_of_groups(docs: DataFrame, *, key="doc_id", text="text", size: int = 3, bits: int = 3, set_size: int = 5) -> DataFrame:
+    """The documents without those that have an earlier near duplicate, all columns kept. Fingerprints within `bits` link,
+    as in near_duplicates, and so do sets of `set_size`-word shingles at a similarity of 0.8, of which fingerprints miss
+    a part; a group is a component of both kinds of links, and of it the row with the least key stays, null keys last."""
+    at, fp = free_names(docs, "_at", "_fp")
+    table = bucketed(add_fingerprint(docs, text=text, size=size, out=fp).withColumn(at, place(key, text)), at)
+    marked, by_sets = groups(table, at, key=key, text=text, size=set_size, also=F.col(fp))
+    by_bits = fingerprint_components(materialise(marked.select(F.col("also").alias("fp")).distinct()), bits)
+    of_bits = marked.join(by_bits, marked.also == by_bits.node, "left").select("sh", F.coalesce("component", "also").alias("group")).distinct()
+    heads = of_bits.groupBy("group").agg(F.min("sh").alias("a"))
+    links = of_bits.join(heads, "group").select("a", F.col("sh").alias("b"))
+    comps = connected_components(links.union(by_sets.select(F.col("component").alias("a"), F.col("node").alias("b"))))
+    return firsts(table, at, marked, comps, key).select(*docs.columns)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")

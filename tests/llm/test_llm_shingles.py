@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tessera.llm import shingles
+from tessera.llm import shingles, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -79,3 +79,17 @@ def test_near_duplicates_of_the_smallest_tables(spark):
 
 def test_no_documents(spark):
     assert shingles.keep_first(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_fingerprints_within_three_bits_link_whatever_their_sets(spark):
+    # changed words far apart: the sets of five-word shingles are less alike than 0.8, while few bits of three-word shingles differ
+    texts = [" ".join("other" if i and at % 19 == i and at < 400 else f"w{at % 7}x{at // 40}" for at in range(600)) for i in range(8)]
+    prints = [simhash.fingerprint(t, 3) for t in texts]
+    sets = [brute_shingles(t) for t in texts]
+    links = [(i, j) for i, j in combinations(range(8), 2) if bin(prints[i] ^ prints[j]).count("1") <= 3]
+    assert links and all(5 * len(sets[i] & sets[j]) < 4 * len(sets[i] | sets[j]) for i, j in combinations(range(8), 2))
+    comp = list(range(8))
+    while changed := [(i, j) for i, j in links if comp[i] != comp[j]]:
+        for i, j in changed:
+            comp[i] = comp[j] = min(comp[i], comp[j])
+    assert kept(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")) == [(False, c) for c in sorted(set(comp))]
