@@ -1,6 +1,6 @@
 """Scalar text functions as Column expressions."""
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,10 +18,15 @@ def flat_text(value: Column, limit: int = 500) -> Column:
     return F.substring(F.coalesce(*inner, value, F.lit("")), 1, limit)
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def terms_in(text: Column, terms: Sequence[str]) -> Column:
     """The terms that occur anywhere in the text, sorted: substring matching, so 'seed' is in 'linseed'."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.filter(F.array(*[F.lit(t) for t in sorted(set(terms))]), lambda t: F.contains(low, t))
+    some = F.array(*[F.lit(t) for t in sorted(set(terms))])
+    return bound(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.filter(some, lambda t: F.contains(low, t)))
 
 
 def safe_name(value: Column) -> Column:
