@@ -21,6 +21,7 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,13 +96,27 @@ def interleave(html: str | None) -> list[tuple]:
     return [(i, *x) for i, x in enumerate(p.items)]
 
 
+def sequences(pages: pa.Array, most: int = 1 << 20) -> pa.Array:
+    """The items of pages, parsed in cuts of about `most` bytes, so that few pages are held as Python objects at a time."""
+    kinds = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.string())
+    names, at, out = ("position", "kind", "text", "ref", "caption"), 0, []
+    ends = np.cumsum(pc.fill_null(pc.binary_length(pages), 0).to_numpy(zero_copy_only=False))
+    while at < len(pages) or not out:
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most))) if len(pages) else 0
+        found = [interleave(h.as_py()) for h in pages[at:upto]]
+        cols = list(zip(*(x for items in found for x in items), strict=True)) or [()] * 5
+        items = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+        out.append(pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)], dtype=np.int32), items))
+        at = max(upto, 1)
+    return pa.concat_arrays(out)
+
+
 def parse_interleaved(pages: DataFrame, *, html="html", out="items") -> DataFrame:
     """Add the page's sequence of items."""
 
     def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())]))
         for a in it:
-            yield pa.array([[dict(zip(("position", "kind", "text", "ref", "caption"), x, strict=True)) for x in interleave(h.as_py())] for h in a], kind)
+            yield sequences(a)
 
     return pages.withColumn(out, F.arrow_udf(run, ITEMS)(html))
 
