@@ -3,7 +3,10 @@
 import json
 
 import pytest
+from pyspark.sql import DataFrameWriter
+from pyspark.sql import functions as F
 
+from tessera.plans import registry, serving
 from tessera.sources import manifests as M
 
 
@@ -57,3 +60,17 @@ def test_stamps_reports_and_metrics(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == ["sha256", "source_sha256"]
     (tmp_path / "m.json").write_text(json.dumps({"auc": 0.5, "by": {"a": 1}}, indent=1))
     assert M.read_metrics(spark, str(tmp_path / "m.json")).first().by.a == 1
+
+
+def test_shards_are_written_without_a_sort(spark, monkeypatch, tmp_path):
+    # a sort by shard holds all lines of a task at once
+    rows = spark.range(3000).selectExpr("id as l_orderkey", "case id % 3 when 0 then 'R' when 1 then 'A' else 'N' end as l_returnflag", "cast(id % 50 as double) as l_quantity")
+    rows.write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, **kw: plans.append((self._df, self._jwrite)) or write(self, path, **kw))
+    got = {r.l_returnflag: (r.n, r.quantity) for r in registry.QUERIES["row_group_scan"](spark, str(tmp_path)).collect()}
+    want = {f: [i for i in range(3000) if i % 30 in serving.CHOSEN and i % 3 == m] for m, f in enumerate("RAN")}
+    assert got == {f: (len(x), float(sum(i % 50 for i in x))) for f, x in want.items() if x}
+    lines = plans[0][0]
+    per_task = {(r.t, r.s) for r in lines.select(F.spark_partition_id().alias("t"), (F.col("l_orderkey") % 30).alias("s")).distinct().collect()}
+    assert len(per_task) == 30 == len({t for t, _ in per_task})
