@@ -23,6 +23,8 @@ they have its name; they are ignored by the query.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,20 +32,24 @@ from pyspark.sql import functions as F
 from .shared import free_names, materialise, read
 
 BUCKETS = 1 << 16
+BLANKS = "\t\x0b\x0c\r"
+MANY = 0xFFFF  # sets of so many words and more pass the filters of the prefix join
 
 
 def words_of(line: Column) -> Column:
     """The different words of a lower-cased line."""
-    for blank in "\t\x0b\x0c\r":  # replacing bytes is far cheaper than splitting at a pattern
-        line = F.replace(line, F.lit(blank), F.lit(" "))
-    return F.array_distinct(F.array_remove(F.split(line, " "), ""))
+    plain = line
+    for blank in BLANKS:  # replacing bytes is far cheaper than splitting at a pattern, and looking for them than replacing
+        plain = F.replace(plain, F.lit(blank), F.lit(" "))
+    blanks = reduce(or_, (F.contains(line, F.lit(blank)) for blank in BLANKS))
+    return F.array_distinct(F.array_remove(F.split(F.when(blanks, plain).otherwise(line), " "), ""))
 
 
 def parity(w: Column) -> Column:
-    """Two numbers of 64 bits: for each of 128 cells the parity of the number of words that fall to it. Two sets differ
-    in at least as many words as their parities differ in bits."""
-    odd = lambda half: F.aggregate(F.filter(w, lambda x: F.call_function("getbit", x, F.lit(6)) == half), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x)))
-    return F.struct(odd(0).alias("x"), odd(1).alias("y"))
+    """Two numbers: for each of 112 cells the parity of the number of words that fall to it, in the 64 bits of x and the
+    upper 48 of y. Two sets differ in at least as many words as their parities differ in bits."""
+    flips = lambda one, cell: F.aggregate(w, F.lit(0).cast("long"), lambda acc, v: acc.bitwiseXOR(F.call_function("shiftleft", one(v).bitwiseAND(F.lit(1)).cast("long"), cell(F.shiftright(v, 1)))))
+    return F.struct(flips(F.bitwise_not, lambda v: v).alias("x"), flips(lambda v: v, lambda v: F.shiftright(v.bitwiseAND(F.lit(63)) * 3, 2) + 16).alias("y"))
 
 
 def lines_of(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
@@ -55,7 +61,7 @@ def lines_of(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
 
 def rarity(classes: DataFrame) -> Column:
     """1 + log2 of the count of a word's bucket over all classes, as a table of BUCKETS bytes."""
-    counts = classes.select(F.explode("w").alias("w")).groupBy(F.pmod("w", F.lit(BUCKETS)).alias("b")).agg(F.count("*").alias("n"))
+    counts = classes.select(F.explode("w").alias("w")).groupBy(F.col("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg(F.count("*").alias("n"))
     table = [1] * BUCKETS
     for r in counts.collect():  # BUCKETS rows at most
         table[r.b] = r.n.bit_length()
@@ -63,10 +69,10 @@ def rarity(classes: DataFrame) -> Column:
 
 
 def rarest(words: Column, table: Column, most: Column) -> Column:
-    """The `most` rarest words, rarest first, hashes breaking ties."""
-    rank = lambda w: F.get(table, F.pmod(w, F.lit(BUCKETS)))
-    keys = F.sort_array(F.transform(words, lambda w: F.shiftleft(rank(w), 32).bitwiseOR(w.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))))
-    return F.transform(F.slice(keys, F.lit(1), most), lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int"))
+    """The `most` rarest words, rarest first, hashes breaking ties; the low 32 bits of each number are the word's hash."""
+    rank = lambda w: F.get(table, w.bitwiseAND(F.lit(BUCKETS - 1)))
+    # numbers that cannot be null are sorted as such, not as objects
+    return F.slice(F.sort_array(F.transform(words, lambda w: F.coalesce(F.shiftleft(rank(w), 33) + w, F.lit(0).cast("long")))), F.lit(1), most)
 
 
 def enough(common: Column, n: Column, m: Column) -> Column:
@@ -85,14 +91,15 @@ def may_match(n: Column, m: Column, b: Column, d: Column) -> Column:
 
 class Classes:
     """The classes of all lines, in a table bucketed by class: c, o (first line), line (lower-cased), w (a hash for each
-    different word), n (their number), b (parity); those of fewer than `least` words are not read; drop() removes it."""
+    different word), n (their number), b (parity), lo and hi (least and greatest of w); those of fewer than `least` words
+    are not read; drop() removes it."""
 
     def __init__(self, lines: DataFrame, least: int):
         self.spark, self.least, self.name = lines.sparkSession, least, f"tessera_classes_{uuid.uuid4().hex}"
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         first = lines.groupBy("c").agg(F.min(F.struct("doc_id", "th", "pos", "line")).alias("o"))
         hashed = first.select("c", F.struct("o.doc_id", "o.th", "o.pos").alias("o"), "o.line", F.transform(words_of(F.col("o.line")), lambda x: F.hash(x)).alias("w"))
-        hashed.withColumns({"n": F.size("w"), "b": parity(F.col("w"))}).write.bucketBy(parts, "c").sortBy("c").option("compression", "zstd").saveAsTable(self.name)
+        hashed.withColumns({"n": F.size("w"), "b": parity(F.col("w")), "lo": F.array_min("w"), "hi": F.array_max("w")}).write.bucketBy(parts, "c").sortBy("c").option("compression", "zstd").option("parquet.dictionary.page.size", 4 << 20).saveAsTable(self.name)
 
     @property
     def rows(self) -> DataFrame:
@@ -112,10 +119,9 @@ class Classes:
 
 def head_pairs(classes: DataFrame) -> DataFrame:
     """For each class the likeliest of two earlier ones: the first classes of its least and of its greatest word hash."""
-    ends = F.inline(F.array(*[F.struct(F.lit(k).alias("k"), end("w").alias("s")) for k, end in enumerate((F.array_min, F.array_max))]))
-    narrow = classes.select("c", "o", "n", "b", ends)
-    heads = narrow.groupBy("k", "s").agg(F.min(F.struct("o", "c", "n", "b")).alias("h"))
-    pairs = narrow.join(heads, ["k", "s"]).where((F.col("c") != F.col("h.c")) & may_match(F.col("n"), F.col("h.n"), F.col("b"), F.col("h.b")))
+    ends = F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(end).alias("s")) for k, end in enumerate(("lo", "hi"))]))
+    heads = classes.select("c", "o", "n", "b", ends).groupBy("k", "s").agg(F.min(F.struct("o", "c", "n", "b")).alias("h")).select("k", "s", F.struct("h.c", "h.n", "h.b").alias("h"))
+    pairs = classes.select("c", "n", "b", ends).join(heads, ["k", "s"]).where((F.col("c") != F.col("h.c")) & may_match(F.col("n"), F.col("h.n"), F.col("b"), F.col("h.b")))
     return pairs.groupBy(F.col("c").alias("a")).agg(F.min(F.struct(differing(F.col("b"), F.col("h.b")).alias("d"), F.col("h.c").alias("b")))["b"].alias("b"))
 
 
@@ -124,16 +130,17 @@ def prefix_pairs(classes: DataFrame, settled: DataFrame, table: Column) -> DataF
     marked = classes.join(settled.select("c", F.lit(0).alias("open")), "c", "left").withColumn("open", F.coalesce("open", F.lit(1)))
     n = F.col("n")
     prefix = rarest(F.col("w"), table, n - F.floor((n * 4 + 4) / 5).cast("int") + 1)
-    # one row: word, class, parity and a number packed of the set's size, the place of the word and whether it is open
-    rows = marked.select("c", "b", "n", "open", F.posexplode(prefix).alias("k", "t")).select("t", "c", "b.x", "b.y", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("k") * 2 + F.col("open")).alias("v"))
+    # one row: word, class, parity with the set's size in the free bits of y, the place of the word and whether it is open
+    word = F.shiftright(F.shiftleft("t", 32), 32).cast("int").alias("t")
+    rows = marked.select("c", "b", "n", "open", F.posexplode(prefix).alias("k", "t")).select(word, "c", "b.x", F.col("b.y").bitwiseOR(F.least("n", F.lit(MANY))).alias("y"), (F.col("k") * 2 + F.col("open")).alias("v"))
     l, r = rows.alias("l"), rows.alias("r")
-    size = lambda v: F.shiftright(v, 32)
-    place = lambda v: F.shiftright(v.bitwiseAND(F.lit(0xFFFFFFFF)), 1)
+    low = F.lit(MANY).cast("long")
+    n, m = F.col("l.y").bitwiseAND(low), F.col("r.y").bitwiseAND(low)
     v, u = F.col("l.v"), F.col("r.v")
-    position = F.least(size(v) - place(v), size(u) - place(u)) * 9 >= (size(v) + size(u)) * 4
+    position = F.least(n - F.shiftright(v, 1), m - F.shiftright(u, 1)) * 9 >= (n + m) * 4
     either = F.greatest(v % 2, u % 2) == 1
     # the cheap conditions first: they settle most pairs
-    near = either & position & may_match(size(v), size(u), F.struct("l.x", "l.y"), F.struct("r.x", "r.y"))
+    near = either & ((F.greatest(n, m) == MANY) | position & may_match(n, m, F.struct("l.x", F.col("l.y").bitwiseOR(low).alias("y")), F.struct("r.x", F.col("r.y").bitwiseOR(low).alias("y"))))
     return l.join(r, (F.col("l.t") == F.col("r.t")) & (F.col("l.c") < F.col("r.c")) & near).select(F.col("l.c").alias("a"), F.col("r.c").alias("b")).distinct()
 
 

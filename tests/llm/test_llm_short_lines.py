@@ -33,3 +33,28 @@ def test_words_of_one_hash_are_different_words(spark):
 def test_removed_lines_beside_a_column_of_that_name(spark):
     df = spark.createDataFrame([(1, "a b\na b", "mine"), (2, " ".join(f"w{i}" for i in range(200_000)), None)], "doc_id long, text string, removed string")
     assert [tuple(r) for r in linededup.with_removed(df).select("doc_id", "removed", "removed_").orderBy("doc_id").collect()] == [(1, "mine", [1]), (2, None, None)]
+
+
+def test_sets_of_very_many_words(spark):
+    """Sizes of 65,535 words and more do not fit beside the parity."""
+    words = [f"w{i}" for i in range(70_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[7_000:] + ["x"])), (3, " ".join(words[:55_000])), (4, " ".join(words[:65_535])), (5, " ".join(words[30_000:])), (6, "w1 w2")]
+    out = linededup.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in out.collect() if r.text == ""} == {2, 4}
+
+
+def test_parities_differ_in_no_more_bits_than_sets_in_words(spark):
+    sets = spark.range(2000).select(F.col("id"), F.transform(F.sequence(F.lit(1), F.col("id") % 90 + 10), lambda i: F.hash(i, F.col("id") % 7)).alias("w"), F.transform(F.sequence(F.lit(1), F.col("id") % 60 + 20), lambda i: F.hash(i, F.col("id") % 7)).alias("v"))
+    b = sets.select((F.size("w") + F.size("v") - 2 * F.size(F.array_intersect("w", "v"))).alias("n"), linededup.differing(linededup.parity(F.col("w")), linededup.parity(F.col("v"))).alias("bits"), linededup.parity(F.col("w"))["y"].bitwiseAND(F.lit(linededup.MANY)).alias("free"))
+    assert b.where("bits > n or bits % 2 <> n % 2 or free <> 0").count() == 0 and b.where("bits > 20").count() > 100
+
+
+def test_heads_read_no_words_and_ranks_are_not_null(spark):
+    """What op10_line_dedup spends its time on: arrays of words read again, numbers sorted as objects."""
+    classes = linededup.Classes(linededup.lines_of(spark.createDataFrame([(1, "a b c\na b d")], "doc_id long, text string"), "doc_id", "text", 1), 1)
+    try:
+        assert "w:array" not in linededup.head_pairs(classes.rows)._jdf.queryExecution().executedPlan().toString()
+        ranks = classes.rows.select(linededup.rarest(F.col("w"), F.array(F.lit(1).cast("long")), F.lit(1)).alias("r"))
+        assert not ranks.schema["r"].dataType.containsNull
+    finally:
+        classes.drop()
