@@ -7,8 +7,9 @@ hash, position), has a Jaccard similarity of 0.8 or more. Lines that are equal b
 word) only lead to candidates: words that share a hash make more of them, none is lost, and every pair that removes a
 line is compared by the words of the lines themselves.
 
-1. A class holds its first line, its hashed words and their parity bits, in a table bucketed by class. Words are counted
-   in 2^16 hash buckets over all classes; a word's rarity is the logarithm of its bucket's count.
+1. A class holds its first line, its hashed words and their parity bits, in a table bucketed by class. Words of a line
+   are told apart by 64 bits there. They are counted in 2^17 hash buckets over all classes; a word's rarity is the
+   logarithm of its bucket's count, in quarters.
 2. Heads: each class is compared with the likelier of the first classes that share its least and its greatest word
    hash. Most members of large groups of near copies are settled here, by one comparison each.
 3. Prefix join: classes share a word among the n - ceil(0.8 n) + 1 rarest of their words; pairs pass the positional,
@@ -31,40 +32,56 @@ from pyspark.sql import functions as F
 
 from .shared import free_names, materialise, read
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 17
 BLANKS = "\t\x0b\x0c\r"
-MANY = 0xFFFF  # sets of so many words and more pass the filters of the prefix join
+MANY = 0x7FFF  # sizes are held at this beside the parity, which only lets more pairs through
+FREE = 0xFFFF  # bits of parity.y that hold no cells
+NARROW = 72  # sets of so many words and fewer are told apart by x alone, and their y is 0
 
 
-def words_of(line: Column) -> Column:
-    """The different words of a lower-cased line."""
+def split_words(line: Column) -> Column:
+    """The words of a lower-cased line, repeats and empty strings included."""
     plain = line
     for blank in BLANKS:  # replacing bytes is far cheaper than splitting at a pattern, and looking for them than replacing
         plain = F.replace(plain, F.lit(blank), F.lit(" "))
     blanks = reduce(or_, (F.contains(line, F.lit(blank)) for blank in BLANKS))
-    return F.array_distinct(F.array_remove(F.split(F.when(blanks, plain).otherwise(line), " "), ""))
+    return F.split(F.when(blanks, plain).otherwise(line), " ")
+
+
+def words_of(line: Column) -> Column:
+    """The words of a lower-cased line, repeats included."""
+    return F.array_remove(split_words(line), "")
+
+
+def hashes_of(line: Column) -> Column:
+    """A hash of 32 bits for each different word of a lower-cased line. Words are told apart by 64 bits, since numbers
+    are made distinct far faster than strings."""
+    wide = F.array_remove(F.array_distinct(F.transform(split_words(line), lambda x: F.xxhash64(x))), F.xxhash64(F.lit("")))
+    return F.transform(wide, lambda x: F.hash(x))
 
 
 def parity(w: Column) -> Column:
-    """Two numbers: for each of 112 cells the parity of the number of words that fall to it, in the 64 bits of x and the
-    upper 48 of y. Two sets differ in at least as many words as their parities differ in bits."""
-    flips = lambda one, cell: F.aggregate(w, F.lit(0).cast("long"), lambda acc, v: acc.bitwiseXOR(F.call_function("shiftleft", one(v).bitwiseAND(F.lit(1)).cast("long"), cell(F.shiftright(v, 1)))))
-    return F.struct(flips(F.bitwise_not, lambda v: v).alias("x"), flips(lambda v: v, lambda v: F.shiftright(v.bitwiseAND(F.lit(63)) * 3, 2) + 16).alias("y"))
+    """Two numbers: x has for each of 64 cells the parity of the number of words that fall to it, y in its upper 48 bits
+    that of the words of a cell whose next bit is set. `differing` makes 112 cells of them: two sets differ in at least
+    as many words as these."""
+    flips = lambda one: F.aggregate(w, F.lit(0).cast("long"), lambda acc, v: acc.bitwiseXOR(F.call_function("shiftleft", one(v), v)))
+    return F.struct(flips(lambda v: F.lit(1).cast("long")).alias("x"), flips(lambda v: F.shiftright(v, 6).bitwiseAND(F.lit(1)).cast("long")).bitwiseAND(F.lit(~FREE).cast("long")).alias("y"))
 
 
 def lines_of(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
     """c (class), doc_id, th (hash of the text), pos, line (lower-cased) for each line that is long enough for `least` words."""
-    rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
+    hashed = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.split(F.col(text), "\n").alias("lines"))  # once a text
+    rows = hashed.select("doc_id", "th", F.posexplode("lines").alias("pos", "line"))
     rows = rows.where(F.octet_length("line") >= 2 * least - 1)
     return rows.select("doc_id", "th", "pos", F.lower("line").alias("line")).withColumn("c", F.xxhash64("line"))
 
 
 def rarity(classes: DataFrame) -> Column:
-    """1 + log2 of the count of a word's bucket over all classes, as a table of BUCKETS bytes."""
+    """Four times log2 of the count of a word's bucket over all classes, as a table of BUCKETS small numbers."""
     counts = classes.select(F.explode("w").alias("w")).groupBy(F.col("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg(F.count("*").alias("n"))
-    table = [1] * BUCKETS
-    for r in counts.collect():  # BUCKETS rows at most
-        table[r.b] = r.n.bit_length()
+    table = [0] * BUCKETS
+    for b, rank in counts.select("b", F.floor(F.log2("n") * 4).cast("int")).collect():  # BUCKETS rows at most
+        table[b] = rank
     return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # folded to one constant array
 
 
@@ -81,25 +98,46 @@ def enough(common: Column, n: Column, m: Column) -> Column:
 
 
 def differing(b: Column, d: Column) -> Column:
-    return F.bit_count(b["x"].bitwiseXOR(d["x"])) + F.bit_count(b["y"].bitwiseXOR(d["y"]))
+    y = b["y"].bitwiseXOR(d["y"])
+    return F.bit_count(b["x"].bitwiseXOR(d["x"]).bitwiseXOR(y)) + F.bit_count(y)
+
+
+def packed(b: Column, n: Column, open: Column) -> list[Column]:
+    """Columns x and y: the parity, with the set's size and whether it is open (0 or 1) in the free bits of y."""
+    return [b["x"].alias("x"), b["y"].bitwiseOR(F.shiftleft(F.least(n, F.lit(MANY)), 1) + open).alias("y")]
+
+
+def size_of(y: Column) -> Column:
+    return F.shiftright(y.bitwiseAND(F.lit(FREE).cast("long")), 1)
+
+
+def apart(x: Column, y: Column, u: Column, v: Column) -> Column:
+    """`differing` on packed columns: by x alone, which has all words, if one set is narrow."""
+    d = F.when(F.least(size_of(y), size_of(v)) > NARROW, y.bitwiseXOR(v).bitwiseAND(F.lit(~FREE).cast("long"))).otherwise(F.lit(0).cast("long"))
+    return F.bit_count(x.bitwiseXOR(u).bitwiseXOR(d)) + F.bit_count(d)
 
 
-def may_match(n: Column, m: Column, b: Column, d: Column) -> Column:
-    """Length filter and parity filter: sets within Jaccard 4/5 differ in at most (n + m) / 9 words."""
-    return (F.least(n, m) * 5 >= F.greatest(n, m) * 4) & (differing(b, d) * 9 <= n + m)
+def may_match(x: Column, y: Column, u: Column, v: Column) -> Column:
+    """Length filter and parity filter on packed columns: sets within Jaccard 4/5 differ in at most (n + m) / 9 words."""
+    n, m = size_of(y), size_of(v)
+    return (F.least(n, m) * 5 >= F.greatest(n, m) * 4) & (apart(x, y, u, v) * 9 <= n + m)
 
 
 class Classes:
     """The classes of all lines, in a table bucketed by class: c, o (first line), line (lower-cased), w (a hash for each
-    different word), n (their number), b (parity), lo and hi (least and greatest of w); those of fewer than `least` words
+    different word), n (their number), b (parity, y 0 up to NARROW words), lo and hi (least and greatest of w); those of fewer than `least` words
     are not read; drop() removes it."""
 
     def __init__(self, lines: DataFrame, least: int):
         self.spark, self.least, self.name = lines.sparkSession, least, f"tessera_classes_{uuid.uuid4().hex}"
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         first = lines.groupBy("c").agg(F.min(F.struct("doc_id", "th", "pos", "line")).alias("o"))
-        hashed = first.select("c", F.struct("o.doc_id", "o.th", "o.pos").alias("o"), "o.line", F.transform(words_of(F.col("o.line")), lambda x: F.hash(x)).alias("w"))
-        hashed.withColumns({"n": F.size("w"), "b": parity(F.col("w")), "lo": F.array_min("w"), "hi": F.array_max("w")}).write.bucketBy(parts, "c").sortBy("c").option("compression", "zstd").option("parquet.dictionary.page.size", 4 << 20).saveAsTable(self.name)
+        hashed = first.select("c", F.struct("o.doc_id", "o.th", "o.pos").alias("o"), "o.line", hashes_of(F.col("o.line")).alias("w"))
+        cells = parity(F.col("w"))
+        b = F.struct(cells["x"].alias("x"), F.when(F.size("w") > NARROW, cells["y"]).otherwise(F.lit(0).cast("long")).alias("y"))
+        out = hashed.withColumns({"n": F.size("w"), "b": b, "lo": F.array_min("w"), "hi": F.array_max("w")}).write.bucketBy(parts, "c").sortBy("c").option("compression", "zstd")
+        # lines and classes are all different: no dictionary holds them, one of words does
+        out.options(**{"parquet.compression.codec.zstd.level": 1, "parquet.dictionary.page.size": 4 << 20, "parquet.enable.dictionary#line": "false", "parquet.enable.dictionary#c": "false"}).saveAsTable(self.name)
 
     @property
     def rows(self) -> DataFrame:
@@ -112,17 +150,20 @@ class Classes:
         """The classes that have an earlier similar one among the pairs (columns a, b, distinct), by the words of both lines."""
         one = self.rows.select(F.col("c").alias("a"), F.col("o").alias("ao"), F.col("line").alias("al"), F.col("n").alias("an"))
         two = self.rows.select(F.col("c").alias("b"), F.col("o").alias("bo"), F.col("line").alias("bl"), F.col("n").alias("bn"))
-        common = F.size(F.array_intersect(words_of(F.col("al")), words_of(F.col("bl"))))
-        near = pairs.join(one, "a").join(two, "b").where(enough(common, F.col("an"), F.col("bn")))
+        common = F.size(F.array_intersect(words_of(F.col("al")), words_of(F.col("bl"))))  # an intersection has no repeats
+        # pairs are few beside lines, which stream past them unsorted
+        near = two.join(one.join(pairs.hint("shuffle_hash"), "a").hint("shuffle_hash"), "b").where(enough(common, F.col("an"), F.col("bn")))
         return near.select(F.when(F.col("ao") > F.col("bo"), F.col("a")).otherwise(F.col("b")).alias("c")).distinct()
 
 
 def head_pairs(classes: DataFrame) -> DataFrame:
-    """For each class the likeliest of two earlier ones: the first classes of its least and of its greatest word hash."""
-    ends = F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(end).alias("s")) for k, end in enumerate(("lo", "hi"))]))
-    heads = classes.select("c", "o", "n", "b", ends).groupBy("k", "s").agg(F.min(F.struct("o", "c", "n", "b")).alias("h")).select("k", "s", F.struct("h.c", "h.n", "h.b").alias("h"))
-    pairs = classes.select("c", "n", "b", ends).join(heads, ["k", "s"]).where((F.col("c") != F.col("h.c")) & may_match(F.col("n"), F.col("h.n"), F.col("b"), F.col("h.b")))
-    return pairs.groupBy(F.col("c").alias("a")).agg(F.min(F.struct(differing(F.col("b"), F.col("h.b")).alias("d"), F.col("h.c").alias("b")))["b"].alias("b"))
+    """For each class the likeliest of two earlier ones: classes of the least key with its least or its greatest word hash."""
+    narrow = classes.select("c", F.col("o.doc_id").alias("d"), *packed(F.col("b"), F.col("n"), F.lit(0)), F.explode(F.array("lo", "hi")).alias("s"))
+    # numbers alone, so that they are aggregated by hash; all take the same row, since they see the same ones in turn
+    heads = narrow.groupBy("s").agg(*[F.min_by(k, "d").alias(f"h{k}") for k in ("c", "x", "y")])
+    both = [F.col(k) for k in ("x", "y", "hx", "hy")]
+    pairs = narrow.select("c", "x", "y", "s").join(heads, "s").where((F.col("c") != F.col("hc")) & may_match(*both))
+    return pairs.groupBy(F.col("c").alias("a")).agg(F.min_by("hc", apart(*both)).alias("b"))
 
 
 def prefix_pairs(classes: DataFrame, settled: DataFrame, table: Column) -> DataFrame:
@@ -130,17 +171,14 @@ def prefix_pairs(classes: DataFrame, settled: DataFrame, table: Column) -> DataF
     marked = classes.join(settled.select("c", F.lit(0).alias("open")), "c", "left").withColumn("open", F.coalesce("open", F.lit(1)))
     n = F.col("n")
     prefix = rarest(F.col("w"), table, n - F.floor((n * 4 + 4) / 5).cast("int") + 1)
-    # one row: word, class, parity with the set's size in the free bits of y, the place of the word and whether it is open
     word = F.shiftright(F.shiftleft("t", 32), 32).cast("int").alias("t")
-    rows = marked.select("c", "b", "n", "open", F.posexplode(prefix).alias("k", "t")).select(word, "c", "b.x", F.col("b.y").bitwiseOR(F.least("n", F.lit(MANY))).alias("y"), (F.col("k") * 2 + F.col("open")).alias("v"))
+    rows = marked.select("c", *packed(F.col("b"), n, F.col("open")), F.posexplode(prefix).alias("k", "t")).select(word, "c", "x", "y", "k")
     l, r = rows.alias("l"), rows.alias("r")
-    low = F.lit(MANY).cast("long")
-    n, m = F.col("l.y").bitwiseAND(low), F.col("r.y").bitwiseAND(low)
-    v, u = F.col("l.v"), F.col("r.v")
-    position = F.least(n - F.shiftright(v, 1), m - F.shiftright(u, 1)) * 9 >= (n + m) * 4
-    either = F.greatest(v % 2, u % 2) == 1
+    either = F.col("l.y").bitwiseOR(F.col("r.y")).bitwiseAND(F.lit(1)) == 1
     # the cheap conditions first: they settle most pairs
-    near = either & ((F.greatest(n, m) == MANY) | position & may_match(n, m, F.struct("l.x", F.col("l.y").bitwiseOR(low).alias("y")), F.struct("r.x", F.col("r.y").bitwiseOR(low).alias("y"))))
+    n, m = size_of(F.col("l.y")), size_of(F.col("r.y"))
+    position = (F.greatest(n, m) == MANY) | (F.least(n - F.col("l.k"), m - F.col("r.k")) * 9 >= (n + m) * 4)
+    near = either & position & may_match(*map(F.col, ("l.x", "l.y", "r.x", "r.y")))
     return l.join(r, (F.col("l.t") == F.col("r.t")) & (F.col("l.c") < F.col("r.c")) & near).select(F.col("l.c").alias("a"), F.col("r.c").alias("b")).distinct()
 
 
@@ -178,10 +216,10 @@ def remove_repeated_lines(docs: DataFrame, *, key="doc_id", text="text", least:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    narrow = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
+    narrow = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).alias("n_lines"))
     gone = repeated_lines(docs).withColumnsRenamed({"doc_id": "_id", "th": "_th"})
     out = narrow.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
-    return out.select("doc_id", F.greatest("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.transform("removed", lambda x: x.cast("string")), ","), F.lit("")).alias("removed"))
+    return out.select("doc_id", F.col("n_lines").cast("long"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.transform("removed", lambda x: x.cast("string")), ","), F.lit("")).alias("removed"))
 
 
 OP10_SQL = r"""

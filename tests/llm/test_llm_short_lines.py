@@ -58,3 +58,25 @@ def test_heads_read_no_words_and_ranks_are_not_null(spark):
         assert not ranks.schema["r"].dataType.containsNull
     finally:
         classes.drop()
+
+
+def test_packed_parities_of_narrow_and_wide_sets(spark):
+    """Sets of up to NARROW words have no y; no comparison may count more bits than words that differ."""
+    sets = spark.range(2000).select(*[F.transform(F.sequence(F.lit(1), F.col("id") % k + 40), lambda i: F.hash(i, F.col("id") % 3)).alias(c) for k, c in ((90, "w"), (70, "v"))])
+    n, m = F.size("w"), F.size("v")
+    zero = F.lit(0).cast("long")
+    side = lambda c, s: linededup.packed((lambda p: {"x": p["x"], "y": F.when(s > linededup.NARROW, p["y"]).otherwise(zero)})(linededup.parity(F.col(c))), s, F.lit(1))
+    bits = linededup.apart(*side("w", n), *side("v", m))
+    found = sets.select((n + m - 2 * F.size(F.array_intersect("w", "v"))).alias("differ"), bits.alias("bits"), n.alias("n"), linededup.size_of(side("w", n)[1]).alias("packed"))
+    assert found.where("bits > differ or n <> packed").count() == 0 and found.where("bits > 20").count() > 50
+
+
+def test_heads_and_lines_are_not_sorted(spark):
+    """Heads are aggregated by hash, and lines stream past the pairs to be verified."""
+    classes = linededup.Classes(linededup.lines_of(spark.createDataFrame([(1, "a b c\na b d")], "doc_id long, text string"), "doc_id", "text", 1), 1)
+    try:
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan(linededup.head_pairs(classes.rows))
+        assert "SortMergeJoin" not in plan(classes.verified(classes.rows.select(F.col("c").alias("a"), F.col("c").alias("b"))))
+    finally:
+        classes.drop()
