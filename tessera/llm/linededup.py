@@ -30,7 +30,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import free_names, materialise, read
+from .shared import free_names, materialise, read, release
 
 BUCKETS = 1 << 17
 BLANKS = "\t\x0b\x0c\r"
@@ -151,8 +151,9 @@ class Classes:
         one = self.rows.select(F.col("c").alias("a"), F.col("o").alias("ao"), F.col("line").alias("al"), F.col("n").alias("an"))
         two = self.rows.select(F.col("c").alias("b"), F.col("o").alias("bo"), F.col("line").alias("bl"), F.col("n").alias("bn"))
         common = F.size(F.array_intersect(words_of(F.col("al")), words_of(F.col("bl"))))  # an intersection has no repeats
-        # pairs are few beside lines, which stream past them unsorted
-        near = two.join(one.join(pairs.hint("shuffle_hash"), "a").hint("shuffle_hash"), "b").where(enough(common, F.col("an"), F.col("bn")))
+        # pairs are narrow and few beside lines, which stream past them unsorted; the second join can spill, since one head
+        # may have very many pairs and these hold lines
+        near = two.join(one.join(pairs.hint("shuffle_hash"), "a").hint("merge"), "b").where(enough(common, F.col("an"), F.col("bn")))
         return near.select(F.when(F.col("ao") > F.col("bo"), F.col("a")).otherwise(F.col("b")).alias("c")).distinct()
 
 
@@ -187,8 +188,12 @@ def repeated_lines(docs: DataFrame, *, key="doc_id", text="text", least: int = 1
     lines = lines_of(docs, key, text, least)
     classes = Classes(lines, least)
     try:
+        release(classes.spark)  # the lines
         settled = materialise(classes.verified(head_pairs(classes.rows)))
-        late = materialise(settled.union(classes.verified(prefix_pairs(classes.rows, settled, rarity(classes.rows)))).distinct())
+        table = rarity(classes.rows)
+        release(classes.spark)  # heads and counts
+        late = materialise(settled.union(classes.verified(prefix_pairs(classes.rows, settled, table))).distinct())
+        release(classes.spark)  # prefixes
         first = materialise(classes.rows.select("c", "o").join(late.select("c", F.lit(1).alias("late")), "c", "left"))
     finally:
         classes.drop()

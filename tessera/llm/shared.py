@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -80,6 +81,12 @@ def discard(spark: SparkSession, names: list[str]) -> None:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files that nothing needs any more; else they stay until the driver's heap fills up."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The names, lengthened until no column of df has them."""
     taken, out = {c.lower() for c in df.columns}, []
